@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import char_entropy, mean_token_entropy, words
+from ..functions.entropy import char_entropy, mean_token_entropy
+from ..functions.text import words
 from ..model.forest import coerce_features, numeric_features
 from ..operators.features import event_flags, feature_table
 from ..operators.quantiles import RobustScaler, robust_parameters

@@ -282,16 +282,19 @@ FROM three"""
 
 
 def daily_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as the day-partitioned store, read back, counted."""
-    events_of_all = _three_sources(spark, sf_dir)
+    """Events of two sources, written as the day-partitioned store, read back, counted."""
+    v0 = events(spark, sf_dir)
+    failed = F.col("event_code") == "4625"
+    both = union_sources({"windows_evtx": v0.filter(failed), "zeek_conn": v0.filter(~failed)})
     path = new_folder(spark, "store")
-    write_store(events_of_all, path)
+    write_store(both, path)
     return report(available_days(read_store(spark, path)))
 
 
 DAILY_PARTITION_COUNTS = f"""
-WITH {_THREE_SOURCES_SQL}
-SELECT source, {day_sql('CAST(event_ts AS DATE)')} AS dt, count(*) AS n_rows FROM three GROUP BY ALL"""
+WITH {EVENTS_SQL}
+SELECT CASE WHEN event_code = '4625' THEN 'windows_evtx' ELSE 'zeek_conn' END AS source, {day_sql()} AS dt,
+  count(*) AS n_rows FROM v0 GROUP BY ALL"""
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

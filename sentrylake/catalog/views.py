@@ -14,23 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as ECS events."""
     raw = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return raw.withColumn("k", k).select(
-        F.col("event_id").alias("event_uid"),
-        F.col("ts").cast("timestamp").alias("event_ts"),
-        F.to_date("ts").alias("dt"),
-        F.when(F.col("event_id") % 50 != 0, F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("user_name"),
-        F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")).alias("host_name"),
-        F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string")).alias("source_ip"),
-        F.concat(F.lit("198.51.100."), (F.col("k") % 5).cast("string")).alias("destination_ip"),
-        F.when(F.col("k") < 5, 4444).otherwise(F.col("k") + 1000).alias("destination_port"),
-        F.when(F.col("k") % 2 == 1, "udp").otherwise("tcp").alias("network_transport"),
-        F.when(F.col("event_type") == "error", "4625").otherwise("4624").alias("event_code"),
-        F.when(F.col("event_type") == "error", "Failure").when(F.col("k") == 99, "S0").otherwise("Success")
-        .alias("event_outcome"),
-        F.concat_ws(" ", "event_type", "props").alias("process_command_line"),
-        F.col("event_type").alias("event_type"),
-        F.col("value").alias("score_proxy"),
+    return raw.selectExpr("*", "try_cast(get_json_object(props, '$.k') AS int) AS k").selectExpr(
+        "event_id AS event_uid",
+        "CAST(ts AS timestamp) AS event_ts",
+        "CAST(ts AS date) AS dt",
+        "CASE WHEN event_id % 50 <> 0 THEN 'user' || user_id END AS user_name",
+        "'host' || (user_id % 10) AS host_name",
+        "'10.0.0.' || (user_id % 50) AS source_ip",
+        "'198.51.100.' || (k % 5) AS destination_ip",
+        "CASE WHEN k < 5 THEN 4444 ELSE 1000 + k END AS destination_port",
+        "CASE WHEN k % 2 = 1 THEN 'udp' ELSE 'tcp' END AS network_transport",
+        "CASE WHEN event_type = 'error' THEN '4625' ELSE '4624' END AS event_code",
+        "CASE WHEN event_type = 'error' THEN 'Failure' WHEN k = 99 THEN 'S0' ELSE 'Success' END AS event_outcome",
+        "event_type || ' ' || props AS process_command_line",
+        "event_type",
+        "value AS score_proxy",
         "k",
     )
 

@@ -1,4 +1,4 @@
-"""Text expressions: entropy, patterns, line tokens."""
+"""Text expressions: patterns and tokens."""
 
 from __future__ import annotations
 
@@ -24,28 +24,6 @@ def first_ipv4(text: Column) -> Column:
     return extract(text, IPV4)
 
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; null and empty text give 0.
-
-    Sorting the characters turns every distinct one into a run, so one linear pass over the
-    runs gives all frequencies: H = log2(n) - sum(c * log2(c)) / n. It stays inside the row
-    (no shuffle) and costs the same however many distinct characters there are.
-    """
-    n = F.length(text)
-    runs = F.regexp_extract_all(
-        F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)
-    )
-    weighted = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + F.length(run) * F.log2(F.length(run)))
-    return F.when(n > 0, F.log2(n) - weighted / n).otherwise(F.lit(0.0))
-
-
-def mean_token_entropy(tokens: Column) -> Column:
-    """Mean character entropy over the non-empty tokens of an array; 0 if there is none."""
-    kept = F.filter(tokens, lambda t: F.length(t) > 0)
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, t: acc + char_entropy(t))
-    return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(0.0))
-
-
 def words(text: Column) -> Column:
     """The whitespace-separated tokens of a text."""
     return F.split(F.trim(text), r"\s+")

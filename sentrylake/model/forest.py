@@ -175,8 +175,12 @@ def tree_arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def mean_paths(trees: list[dict[str, np.ndarray]], points: np.ndarray) -> np.ndarray:
-    """Mean path length of each point over all trees, one vectorised step per tree level."""
+def mean_paths(trees: list[dict[str, np.ndarray]], batch: np.ndarray) -> np.ndarray:
+    """Mean path length of each point over all trees, one vectorised step per tree level.
+
+    Log features repeat a lot, so each distinct point of the batch is followed only once.
+    """
+    points, back = np.unique(batch, axis=0, return_inverse=True)
     total = np.zeros(len(points))
     rows = np.arange(len(points))
     for tree in trees:
@@ -187,7 +191,7 @@ def mean_paths(trees: list[dict[str, np.ndarray]], points: np.ndarray) -> np.nda
             go_left = points[rows, np.maximum(feature, 0)] <= tree["split"][node]
             node = np.where(inner, np.where(go_left, tree["left"][node], tree["right"][node]), node)
         total += tree["path"][node]
-    return total / len(trees)
+    return total[back.reshape(-1)] / len(trees)
 
 
 def scaled_points(forest: Forest) -> Callable[[tuple[pd.Series, ...]], np.ndarray]:

@@ -16,11 +16,13 @@ def rolling_counts(
     reset_daily: bool = True,
     ts: str = "event_ts",
     dt: str = "dt",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<flag>_count_<w>m<suffix>``: sum of the flag over (t - w, t] per key.
 
     All rows of one time count for each other. Rows with a null key get 0.0. With
-    ``reset_daily`` a window does not reach back over midnight.
+    ``reset_daily`` a window does not reach back over midnight. ``source`` may name a cheaper frame
+    with the same rows to count from, when ``df`` already has a long plan behind it.
 
     A sliding RANGE frame would put a key into one task and re-add the whole frame on every row.
     Here each flagged time adds +f when it happens and -f when it leaves the window, so the count
@@ -51,7 +53,7 @@ def rolling_counts(
     any_flag = F.greatest(*[F.abs(F.col(f)) for f in flags], F.lit(0)) > 0
     entries = F.when(any_flag, F.array_compact(F.array(arrival, *leaving))).otherwise(F.array(arrival))
 
-    keyed = df.filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    keyed = (df if source is None else source).filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
     points = keyed.select(
         *scope, us.alias("us"), *[F.coalesce(F.col(f), F.lit(0)).cast("long").alias(f) for f in flags]
     ).select(*scope, *flags, F.inline(entries))
