@@ -126,7 +126,7 @@ def tree_samples(df: DataFrame, uid: str, trees: int, samples: int, n: int, seed
     rank (four times the expected cut) are left out before the shuffle.
     """
     pool_size = trees * samples
-    pool = smallest_by_hash(df, pool_size, uid, seed)
+    pool = smallest_by_hash(df, pool_size, uid, seed) if n > pool_size else df
     offered = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))
     )
@@ -134,7 +134,9 @@ def tree_samples(df: DataFrame, uid: str, trees: int, samples: int, n: int, seed
     if share < 1.0:
         offered = offered.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
     rank = Window.partitionBy("tree_id").orderBy("_h", F.col(uid))
-    return offered.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= samples)
+    # a stated number of partitions: AQE would put these few rows, and so all trees, into one task
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    return offered.repartition(tasks, "tree_id").withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= samples)
 
 
 def fit_forest(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import FLOW_KEYS
+from ..session import stage
 from .ranges import running_total
 
 SECOND = 1_000_000
+NUMBERS = ["session_ordinal", "session_number"]
 
 
 def _key_text(keys: list[str]) -> Column:
@@ -16,9 +18,9 @@ def _key_text(keys: list[str]) -> Column:
 
 
 def _numbered_times(
-    df: DataFrame, scope: list[str], timeout_seconds: float, chunk_minutes: int, ts: str
-) -> tuple[DataFrame, DataFrame]:
-    """(key, time) -> ordinal of its session, and per key the number of sessions.
+    df: DataFrame, scope: list[str], timeout_seconds: float, chunk_minutes: int, ts: str, dense: bool
+) -> DataFrame:
+    """(key, time) -> ordinal of its session; with ``dense`` also its number over all keys.
 
     Times are cut into chunks so that a hot key is many window groups. Inside a chunk gaps are
     found by ``lag``; between chunks only one summary row per chunk (first, last, breaks) is
@@ -31,6 +33,8 @@ def _numbered_times(
         df.select(*scope, F.unix_micros(F.col(ts)).alias("t"))
         .distinct()
         .withColumn("chunk", F.col("t") - F.pmod(F.col("t"), F.lit(chunk)))
+        # said here, not left to the join below, so that both uses of the times share their shuffles
+        .filter(F.col("chunk").isNotNull())
     )
     inside = Window.partitionBy(*scope, "chunk").orderBy("t")
     gaps = times.withColumn(
@@ -50,11 +54,25 @@ def _numbered_times(
         F.sum(F.col("opens") + F.col("breaks")).over(along.rowsBetween(Window.unboundedPreceding, 0))
         - F.col("breaks"),
     )
-    numbered = local.join(based.select(*scope, "chunk", "base"), [*scope, "chunk"]).select(
-        *scope, "t", (F.col("base") + F.col("inner")).alias("session_ordinal")
-    )
-    per_key = opened.groupBy(*scope).agg(F.sum(F.col("opens") + F.col("breaks")).alias("n_sessions"))
-    return numbered, per_key
+    if dense:
+        based = _with_earlier(stage(based, "session-chunks"), scope)
+    base = [c for c in ("base", "earlier") if c in based.columns]
+    joined = local.join(based.select(*scope, "chunk", *base), [*scope, "chunk"])
+    numbered = joined.withColumn("session_ordinal", F.col("base") + F.col("inner"))
+    if dense:
+        numbered = numbered.withColumn("session_number", F.col("earlier") + F.col("session_ordinal"))
+    return numbered.select(*scope, "t", *[c for c in NUMBERS if c in numbered.columns])
+
+
+def _with_earlier(chunks: DataFrame, scope: list[str]) -> DataFrame:
+    """Add ``earlier``: the sessions of all keys sorted before this one (of the same day, if daily)."""
+    per_key = chunks.groupBy(*scope).agg(F.sum(F.col("opens") + F.col("breaks")).alias("n_sessions"))
+    starts = running_total(per_key, scope, "n_sessions", out="earlier")
+    if len(scope) > 1:
+        # one row per day
+        day_start = starts.groupBy(scope[0]).agg(F.min("earlier").alias("_day"))
+        starts = starts.join(F.broadcast(day_start), scope[0]).withColumn("earlier", F.col("earlier") - F.col("_day"))
+    return chunks.join(starts.select(*scope, "earlier"), scope)
 
 
 def sessionize(
@@ -76,28 +94,12 @@ def sessionize(
     keys = FLOW_KEYS if keys is None else keys
     scope = ([dt] if reset_daily else []) + ["_key"]
     keyed = df.withColumn("_key", _key_text(keys))
-    numbered, per_key = _numbered_times(keyed, scope, timeout_seconds, chunk_minutes, ts)
+    numbered = _numbered_times(keyed, scope, timeout_seconds, chunk_minutes, ts, dense)
     left = keyed.withColumn("_us", F.unix_micros(F.col(ts))).alias("l")
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in scope] + [F.col("l._us") == F.col("r.t")]
     out = left.join(numbered.alias("r"), on, "left").select(
-        *[F.col(f"l.{c}") for c in df.columns], F.col("l._key"), "r.session_ordinal"
+        *[F.col(f"l.{c}") for c in df.columns], *[F.col(f"r.{c}") for c in NUMBERS if c in numbered.columns]
     )
     day = [F.col(dt).cast("string")] if reset_daily else []
     label = day + [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] + [F.col("session_ordinal")]
-    out = out.withColumn("session_id", F.concat_ws("|", *label))
-    if not dense:
-        return out.drop("_key")
-    starts = running_total(per_key, scope, "n_sessions", out="_before")
-    if reset_daily:
-        # one row per day
-        day_start = starts.groupBy(dt).agg(F.min("_before").alias("_day"))
-        starts = starts.join(F.broadcast(day_start), dt).withColumn("_before", F.col("_before") - F.col("_day"))
-    numbers = starts.select(*scope, "_before").alias("s")
-    on = [F.col(f"o.{c}") == F.col(f"s.{c}") for c in scope]
-    return (
-        out.alias("o").join(numbers, on)
-        .select(
-            *[F.col(f"o.{c}") for c in out.columns if c != "_key"],
-            (F.col("s._before") + F.col("o.session_ordinal")).alias("session_number"),
-        )
-    )
+    return out.withColumn("session_id", F.concat_ws("|", *label))
