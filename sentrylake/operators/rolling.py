@@ -35,42 +35,38 @@ def rolling_counts(
     scope = keys + ([dt] if reset_daily else [])
     us = F.unix_micros(F.col(ts))
 
-    def floor(t: Column) -> Column:
+    def chunk_of(t: Column) -> Column:
         return t - F.pmod(t, F.lit(chunk))
 
-    def entry(t: Column, window: int, sign: int) -> Column:
-        return F.struct(
-            t.alias("t"), floor(t).alias("chunk"), F.lit(window).alias("w"), F.lit(sign).alias("sign")
-        )
-
-    # window 0 marks the arrival, which counts for every window
-    arrival = entry(F.col("us"), 0, 1)
-    leaving = []
-    for w in windows:
-        end = F.col("us") + F.lit(w * MINUTE)
-        leaving.append(entry(end, w, -1))
-        leaving.append(F.when(floor(end) > floor(F.col("us")), entry(floor(end), w, 1)))
+    # steps of a time: 0 is its arrival, w its end in that window, -w its carry into the next chunk
+    arrival, flagged = F.array(F.lit(0)), F.array(F.lit(0), *[F.lit(s) for w in windows for s in (w, -w)])
     any_flag = F.greatest(*[F.abs(F.col(f)) for f in flags], F.lit(0)) > 0
-    entries = F.when(any_flag, F.array_compact(F.array(arrival, *leaving))).otherwise(F.array(arrival))
-
-    keyed = (df if source is None else source).filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
-    points = keyed.select(
-        *scope, us.alias("us"), *[F.coalesce(F.col(f), F.lit(0)).cast("long").alias(f) for f in flags]
-    ).select(*scope, *flags, F.inline(entries))
+    step, end = F.col("step"), F.col("us") + F.abs("step").cast("long") * F.lit(MINUTE)
+    rows = df if source is None else source
+    points = (
+        rows.filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+        .select(
+            *scope, us.alias("us"), *[F.coalesce(F.col(f), F.lit(0)).cast("long").alias(f) for f in flags]
+        )
+        .select("*", F.explode(F.when(any_flag, flagged).otherwise(arrival)).alias("step"))
+        .filter((step >= 0) | (chunk_of(end) > chunk_of(F.col("us"))))
+        .withColumn("t", F.when(step >= 0, end).otherwise(chunk_of(end)))
+        .withColumn("chunk", chunk_of(F.col("t")))
+    )
     if reset_daily:
         points = points.filter(F.to_date(F.timestamp_micros("t")) == F.col(dt))
 
-    def step(flag: str, w: int) -> Column:
-        return F.when(F.col("w").isin(0, w), F.col(flag) * F.col("sign")).otherwise(F.lit(0))
+    def change(flag: str, w: int) -> Column:
+        return F.when(step.isin(0, -w), F.col(flag)).when(step == w, -F.col(flag)).otherwise(F.lit(0))
 
     names = {(f, w): f"{f}_count_{w}m{suffix}" for w in windows for f in flags}
-    steps = points.groupBy(*scope, "chunk", "t").agg(
-        F.max(F.col("w") == 0).alias("is_event"),
-        *[F.sum(step(f, w)).alias(name) for (f, w), name in names.items()],
+    changes = points.groupBy(*scope, "chunk", "t").agg(
+        F.max(step == 0).alias("is_event"),
+        *[F.sum(change(f, w)).alias(name) for (f, w), name in names.items()],
     )
     upto = Window.partitionBy(*scope, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     counts = (
-        steps.select(
+        changes.select(
             *scope, "t", "is_event",
             *[F.sum(name).over(upto).cast("double").alias(name) for name in names.values()],
         )
