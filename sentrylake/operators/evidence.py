@@ -28,7 +28,8 @@ def file_hashes(
     """``path``, ``sha256``, ``size`` of every file below a folder (partition folders included).
 
     Files up to ``in_memory`` bytes are hashed as one value; larger ones are read in blocks
-    inside the task, so no file has to fit into memory.
+    inside the task, so no file has to fit into memory. Spark's file sources leave out files of
+    zero bytes.
     """
     files = (
         spark.read.format("binaryFile")
