@@ -10,10 +10,11 @@ from ..operators.alerts import (
 from ..operators.evidence import (
     Run, bundle_documents, bundle_manifest, content_hashes, context_lines, custody_records, file_hashes,
 )
-from ..operators.explain import explain_by_size, triage
+from ..operators.explain import ACTIONS, explain_by_size, triage
 from ..operators.features import feature_table
 from ..operators.quantiles import score_threshold
 from ..operators.sampling import capped
+from ..schema import ECS_NAMES, ENTROPY
 from .features import FEATURES, FEATURES_SQL
 from .views import EVENTS_SQL, day_sql, events, report, table, ts_sql
 
@@ -192,7 +193,9 @@ def _triaged(spark: SparkSession, sf_dir: str, top_n: int | None) -> DataFrame:
     """Alerts by ``value``, scaled to a score, with their features, explanation and triage."""
     scores = events(spark, sf_dir).select("event_uid", (F.col(SCORE) / 500).alias("anom_score"))
     alerts = select_alerts(scores, "anom_score", top_n)
-    rows = feature_table(events(spark, sf_dir)).join(alerts, "event_uid")
+    rows = feature_table(events(spark, sf_dir)).join(alerts, "event_uid").withColumns(
+        {"threshold": F.round("threshold", 6), ENTROPY: F.round(ENTROPY, 6)}  # printed as text below
+    )
     return triage(explain_by_size(rows, FEATURES), created_at="2025-01-01T00:00:00Z").withColumn(
         "alert_id", F.concat(F.lit("alert-"), F.col("event_uid").cast("string"))
     )
@@ -238,7 +241,7 @@ written AS (
   FROM triaged)"""
 
 
-_ACTIONS_SQL = """'Review correlated events in the provided context.;Verify account activity and process tree.;Isolate endpoint if needed; rotate credentials.'"""
+_ACTIONS_SQL = f"'{';'.join(ACTIONS)}'"
 
 ALERT_TRIAGE = f"""
 WITH {_triage_sql(None)}
@@ -313,19 +316,66 @@ WITH {EVENTS_SQL}, {_TOP_SQL}, {_context_sql('top', 5)}
 SELECT alert_id, event_uid, {_LINE_SQL} AS content FROM context"""
 
 
+def _documents(spark: SparkSession, sf_dir: str, top_n: int | None) -> DataFrame:
+    return bundle_documents(_triaged(spark, sf_dir, top_n), FEATURES, params="{}")
+
+
+def bundle_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single documents of every row at or above the threshold."""
+    return report(_documents(spark, sf_dir, None))
+
+
+def _documents_sql(top_n: int | None) -> str:
+    """CTEs up to ``documents`` (alert_id, file_name, content)."""
+    named = [("host.name", "host_name"), ("user.name", "user_name"), ("source.ip", "source_ip"),
+             ("destination.ip", "destination_ip"), ("session.id", "session_id")]
+    ids = ", ".join(_text_field(name, column) for name, column in named)
+    numbers = ", ".join(f"""'"{ECS_NAMES.get(f, f)}":' || {f}""" for f in FEATURES)
+    iocs = ", ".join(f"""'{{"type":"{n}","value":"' || {c} || '"}}'""" for n, c in [*named[2:4], *named[:2]])
+    actions = ",".join(f'"{a}"' for a in ACTIONS)
+    return f"""{_triage_sql(top_n)},
+tops AS (
+  SELECT event_uid, string_agg('{{"feature":"' || feature || '","value":' || value || '}}', ',' ORDER BY rank) AS top
+  FROM ranked WHERE rank <= 5 GROUP BY event_uid),
+documents_of AS (
+  SELECT 'alert-' || event_uid AS alert_id,
+    '{{' || concat_ws(',', '"@timestamp":"' || shown || '"', {ids}, {numbers}, '"anom.score":' || anom_score) || '}}' AS f,
+    '{{"top_features":[' || top || '],"note":"fallback_no_shap"}}' AS e,
+    '{{"algorithm":"IsolationForest","params":"{{}}","score_threshold":' || round(threshold, 6) || ',"alert_score":'
+      || anom_score || '}}' AS m,
+    '{{"created_at":"2025-01-01T00:00:00Z","risk_level":"' || risk_level || '","score":' || anom_score || ',"reason":"'
+      || reason || '","iocs":[' || concat_ws(',', {iocs}) || '],"actions":[{actions}],"markdown":"'
+      || replace(markdown, chr(10), chr(92) || 'n') || '"}}' AS a,
+    markdown
+  FROM written JOIN tops USING (event_uid)),
+documents AS (
+  SELECT alert_id, 'features.json' AS file_name, f AS content FROM documents_of
+  UNION ALL SELECT alert_id, 'shap_explanation.json', e FROM documents_of
+  UNION ALL SELECT alert_id, 'model_meta.json', m FROM documents_of
+  UNION ALL SELECT alert_id, 'ai_analysis.json', a FROM documents_of
+  UNION ALL SELECT alert_id, 'ai_analysis.md', markdown FROM documents_of)"""
+
+
+BUNDLE_DOCUMENTS = f"WITH {_documents_sql(None)} SELECT alert_id, file_name, content FROM documents"
+
+
 def bundle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and context lines of the top alerts."""
     lines = _lines(spark, sf_dir).select(
         F.concat(F.lit("alert-"), F.col("alert_id").cast("string")).alias("alert_id"),
         F.lit("raw_logs.jsonl").alias("file_name"), "content",
     )
-    documents = bundle_documents(_triaged(spark, sf_dir, 10), FEATURES, params='{"n_estimators": 150}')
-    return report(bundle_manifest(documents.unionByName(lines)))
+    return report(bundle_manifest(_documents(spark, sf_dir, 10).unionByName(lines)))
 
 
-def bundle_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single documents of every row at or above the threshold; JSON text is not compared."""
-    return report(bundle_documents(_triaged(spark, sf_dir, None), FEATURES, params='{"n_estimators": 150}'))
+BUNDLE_MANIFEST = f"""
+WITH {_documents_sql(10)}, {_TOP_SQL}, {_context_sql('top', 5)},
+files AS (
+  SELECT * FROM documents
+  UNION ALL SELECT 'alert-' || alert_id, 'raw_logs.jsonl', {_LINE_SQL} FROM context)
+SELECT alert_id, file_name, count(*) AS n_lines, CAST(sum(strlen(content) + 1) AS BIGINT) AS size,
+  CAST(sum(CAST('0x' || substr(sha256(content), 1, 8) AS BIGINT)) AS BIGINT) AS digest
+FROM files GROUP BY alert_id, file_name"""
 
 
 QUERIES = {
@@ -348,6 +398,6 @@ QUERIES = {
     "evidence_files": (evidence_files, None),
     "custody_records": (custody_records_query, CUSTODY_RECORDS),
     "bundle_raw_logs": (bundle_raw_logs, BUNDLE_RAW_LOGS),
-    "bundle_documents": (bundle_documents_query, None),
-    "bundle_manifest": (bundle_manifest_query, None),
+    "bundle_documents": (bundle_documents_query, BUNDLE_DOCUMENTS),
+    "bundle_manifest": (bundle_manifest_query, BUNDLE_MANIFEST),
 }

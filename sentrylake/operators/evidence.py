@@ -114,13 +114,11 @@ def bundle_documents(
 
     Expects the columns of ``triage``. ``params`` is the model's settings as JSON text.
     """
-    ids = [c for c in ("event_ts", "host_name", "user_name", "source_ip", "destination_ip", "session_id") if c in triaged.columns]
-    names = ecs_names(triaged.select(*ids)).columns
+    ids = ("event_ts", "host_name", "user_name", "source_ip", "destination_ip", "session_id")
+    row = triaged.select(*[c for c in ids if c in triaged.columns], *features)
     options = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"}
-    feature_row = F.struct(
-        *[F.col(c).alias(name) for c, name in zip(ids, names)], *[F.col(c) for c in features],
-        F.col(score).alias("anom.score"),
-    )
+    named = [F.col(c).alias(name) for c, name in zip(row.columns, ecs_names(row).columns)]
+    feature_row = F.struct(*named, F.col(score).alias("anom.score"))
     explanation = F.struct(*[F.col(c) for c in ("top_features", "note") if c in triaged.columns])
     meta = F.struct(
         F.lit(algorithm).alias("algorithm"), F.lit(params).alias("params"),

@@ -31,7 +31,11 @@ ECS_COLUMNS = [
 ]
 
 TYPES = {name: dtype for name, _, dtype in ECS_COLUMNS}
-ECS_NAMES = {name: ecs for name, ecs, _ in ECS_COLUMNS}
+ECS_NAMES = {name: ecs for name, ecs, _ in ECS_COLUMNS} | {
+    "session_id": "session.id",
+    "process_command_line_entropy": "process.command_line_entropy",
+    "anom_score": "anom.score",
+}
 FROM_ECS = {ecs: name for name, ecs, _ in ECS_COLUMNS}
 
 EVENT_SCHEMA = T.StructType([T.StructField(name, dtype) for name, _, dtype in ECS_COLUMNS])
