@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Day-first layouts in order of trial, then the month-first ones for dates that
-# cannot be day-first (25 is no month).
-DAY_FIRST = [
-    "d/M/yyyy H:mm:ss.SSSSSS", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a",
-    "d/M/yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy",
-    "M/d/yyyy H:mm:ss.SSSSSS", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
-    "M/d/yyyy",
-]
+# day, separator, month, year, and optionally hour, minute, second, AM/PM
+DAY_FIRST = (
+    r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*([AaPp][Mm])?)?$"
+)
 
 
 def number(value: Column) -> Column:
@@ -31,10 +27,24 @@ def utc_time(value: Column) -> Column:
 
 
 def day_first_time(value: Column) -> Column:
-    """As ``utc_time``, with the day-first layouts tried for all other texts."""
+    """As ``utc_time``; all other texts are read day-first, or month-first if there is no such month.
+
+    The parts are taken by one pattern and put together: trying layouts one after the other would
+    raise and catch an error for every layout that does not fit.
+    """
     text = F.trim(value.cast("string"))
-    tried = [F.try_to_timestamp(text, F.lit(layout)) for layout in DAY_FIRST]
-    return F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")).otherwise(F.coalesce(*tried))
+
+    def part(group: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, DAY_FIRST, group), F.lit("")), F.lit("0"))
+
+    first, second, clock_hour, half = part(1).cast("int"), part(3).cast("int"), part(5).cast("int"), F.lower(part(8))
+    month_first = second > 12
+    hour = F.when(half == "0", clock_hour).otherwise(clock_hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    built = F.try_make_timestamp(
+        part(4).cast("int"), F.when(month_first, first).otherwise(second),
+        F.when(month_first, second).otherwise(first), hour, part(6).cast("int"), part(7).cast("decimal(8,6)"),
+    )
+    return F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")).when(text.rlike(DAY_FIRST), built)
 
 
 def syslog_time(month: Column, day: Column, clock: Column, year: int, tz: str = "UTC") -> Column:

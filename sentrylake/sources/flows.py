@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.once import with_once
 from ..functions.values import day_first_time, integer, number
 from ..schema import EVENT_SCHEMA, conform
 from .files import first_lines, list_files
@@ -61,8 +62,8 @@ def normalize_flows(df: DataFrame, time_col: str | None = None) -> DataFrame | N
     total = F.lit(None).cast("double")
     if forward is not None and backward is not None:
         total = F.coalesce(number(forward), F.lit(0.0)) + F.coalesce(number(backward), F.lit(0.0))
-    events = df.select(
-        day_first_time(time).alias("event_ts"),
+    events = with_once(df, event_ts=day_first_time(time)).filter(F.col("event_ts").isNotNull()).select(
+        "event_ts",
         F.lit("custom_csv").alias("event_dataset"),
         F.coalesce(text(label), F.lit("flow")).alias("event_action"),
         text(pick("host")).alias("host_name"),
@@ -74,7 +75,7 @@ def normalize_flows(df: DataFrame, time_col: str | None = None) -> DataFrame | N
         F.lower(text(pick("protocol"))).alias("network_transport"),
         total.alias("network_bytes"),
     )
-    return conform(events).filter(F.col("event_ts").isNotNull())
+    return conform(events)
 
 
 def read_flows(

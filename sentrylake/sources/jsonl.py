@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.once import with_once
 from ..functions.values import integer, number, utc_time
 from ..schema import FROM_ECS, TYPES, conform
 from .files import text_lines
@@ -85,12 +86,9 @@ def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     record breaks the array or shifts the marker, so such a line is malformed too.
     """
     wrapped = F.concat(F.lit("["), F.trim(F.col(column)), F.lit(f',"{_END}"]'))
-    parsed = lines.filter(F.trim(F.col(column)) != "").withColumn("_array", F.try_parse_json(wrapped))
-    return (
-        parsed.filter(F.try_variant_get("_array", "$[1]", "string") == _END)
-        .withColumn("record", F.try_variant_get("_array", "$[0]", "variant"))
-        .drop("_array")
-    )
+    parsed = with_once(lines.filter(F.trim(F.col(column)) != ""), _array=F.try_parse_json(wrapped))
+    whole = parsed.filter(F.try_variant_get("_array", "$[1]", "string") == _END)
+    return whole.withColumn("record", F.try_variant_get("_array", "$[0]", "variant")).drop("_array")
 
 
 def _step(key: str) -> str:
@@ -129,8 +127,9 @@ def map_records(records: DataFrame, source: JsonSource) -> DataFrame:
             columns.append(_typed(json_path(record, path), FROM_ECS[ecs]).alias(FROM_ECS[ecs]))
     time = F.coalesce(json_path(record, source.timestamp), mapped_time, json_path(record, "@timestamp"))
     columns += [F.lit(value).alias(name) for name, value in source.constants.items()]
-    mapped = records.select(utc_time(time).alias("event_ts"), *columns)
-    return conform(mapped).filter(F.col("event_ts").isNotNull())
+    mapped = records.select(time.alias("_time"), *columns)
+    timed = with_once(mapped, event_ts=utc_time(F.col("_time")))
+    return conform(timed.filter(F.col("event_ts").isNotNull()))
 
 
 def read_json_source(spark: SparkSession, path: str, source: JsonSource) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.once import with_once
 from ..functions.text import ACCEPTED_USER, CBS_LINE, FAILED_USER, SYSLOG_LINE, extract, first_ipv4
 from ..functions.values import syslog_time, utc_time
 from ..schema import conform
@@ -20,27 +21,26 @@ def parse_log_lines(
     """
     line = F.col("value")
 
-    def sys(group: int) -> Column:
-        return F.regexp_extract(line, SYSLOG_LINE, group)
+    def groups(pattern: str, n: int) -> Column:
+        # a line holds no newline, so it can separate the groups of one replacement
+        return F.split(F.regexp_replace(line, pattern, "\n".join(f"${i}" for i in range(1, n + 1))), "\n", n)
 
-    def cbs(group: int) -> Column:
-        return F.regexp_extract(line, CBS_LINE, group)
-
-    kind = F.when(line.rlike(SYSLOG_LINE), "syslog").when(line.rlike(CBS_LINE), "cbs")
     path = F.col("file_path") if "file_path" in lines.columns else F.lit(None).cast("string")
-    split = lines.select("*", kind.alias("kind"), path.alias("log_file_path")).filter(F.col("kind").isNotNull())
-
+    kind = F.when(line.rlike(SYSLOG_LINE), "syslog").when(line.rlike(CBS_LINE), "cbs")
+    known = with_once(lines.select(line, path.alias("log_file_path")), kind=kind).filter(F.col("kind").isNotNull())
     is_syslog = F.col("kind") == "syslog"
-    text = split.select(
-        "*",
-        F.when(is_syslog, sys(6)).otherwise(cbs(4)).alias("message"),
-        F.when(is_syslog, sys(5)).otherwise(cbs(3)).alias("process_name"),
-        F.when(is_syslog, syslog_time(sys(1), sys(2), sys(3), default_year, tz))
-        .otherwise(utc_time(F.regexp_replace(cbs(1), r"(?U)\s+", " ")))
-        .alias("event_ts"),
-        F.when(is_syslog, sys(4)).otherwise(F.lit(host)).alias("host_name"),
-        F.when(~is_syslog, cbs(2)).alias("level"),
-    )
+    split = with_once(known, part=F.when(is_syslog, groups(SYSLOG_LINE, 6)).otherwise(groups(CBS_LINE, 4)))
+    part = F.col("part")
+    text = with_once(
+        split,
+        message=F.when(is_syslog, part[5]).otherwise(part[3]),
+        process_name=F.when(is_syslog, part[4]).otherwise(part[2]),
+        event_ts=F.when(is_syslog, syslog_time(part[0], part[1], part[2], default_year, tz)).otherwise(
+            utc_time(F.regexp_replace(part[0], r"(?U)\s+", " "))
+        ),
+        host_name=F.when(is_syslog, part[3]).otherwise(F.lit(host)),
+        level=F.when(~is_syslog, part[1]),
+    ).filter(F.col("event_ts").isNotNull())
 
     message, component = F.col("message"), F.col("process_name")
     failed = message.contains("Failed password") | message.contains("authentication failure")
@@ -60,7 +60,7 @@ def parse_log_lines(
         .alias("user_name"),
         first_ipv4(message).alias("source_ip"),
     )
-    return conform(events).filter(F.col("event_ts").isNotNull())
+    return conform(events)
 
 
 def read_logs(
