@@ -29,22 +29,28 @@ def utc_time(value: Column) -> Column:
 def day_first_time(value: Column) -> Column:
     """As ``utc_time``; all other texts are read day-first, or month-first if there is no such month.
 
-    The parts are taken by one pattern and put together: trying layouts one after the other would
-    raise and catch an error for every layout that does not fit.
+    One pattern splits all layouts into their parts, which are put together in ISO order: trying
+    layouts one after the other would raise and catch an error for each that does not fit.
     """
     text = F.trim(value.cast("string"))
-
-    def part(group: int) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(text, DAY_FIRST, group), F.lit("")), F.lit("0"))
-
-    first, second, clock_hour, half = part(1).cast("int"), part(3).cast("int"), part(5).cast("int"), F.lower(part(8))
-    month_first = second > 12
-    hour = F.when(half == "0", clock_hour).otherwise(clock_hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    built = F.try_make_timestamp(
-        part(4).cast("int"), F.when(month_first, first).otherwise(second),
-        F.when(month_first, second).otherwise(first), hour, part(6).cast("int"), part(7).cast("decimal(8,6)"),
-    )
-    return F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")).when(text.rlike(DAY_FIRST), built)
+    groups = "\n".join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8))
+    parts = F.split(F.regexp_replace(text, DAY_FIRST, groups), "\n")
+
+    def put_together(part: Column) -> Column:
+        month_first = part[1].try_cast("int") > 12
+        hour, half = part[3], F.lower(part[6])
+        hour = F.when(half == "", F.when(hour == "", "0").otherwise(hour)).otherwise(
+            hour.try_cast("int") % 12 + F.when(half == "pm", 12).otherwise(0)
+        )
+        day = [part[2], F.when(month_first, part[0]).otherwise(part[1]), F.when(month_first, part[1]).otherwise(part[0])]
+        clock = [hour, F.when(part[4] == "", "0").otherwise(part[4]), F.when(part[5] == "", "0").otherwise(part[5])]
+        return F.when(
+            F.size(part) == 7, F.concat_ws(" ", F.concat_ws("-", *day), F.concat_ws(":", *clock)).try_cast("timestamp")
+        )
+
+    # the one-element transform names the parts, so that they are split only once
+    other = F.transform(F.array(parts), put_together)[0]
+    return F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")).otherwise(other)
 
 
 def syslog_time(month: Column, day: Column, clock: Column, year: int, tz: str = "UTC") -> Column:
