@@ -89,14 +89,14 @@ ALERT_CONTEXT_5M = f"WITH {EVENTS_SQL}, {_TOP_SQL}, {_context_sql('top', 5)} SEL
 
 
 def alert_context_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For all rows at or above the threshold: an alert set without a limit."""
-    context = _context(spark, sf_dir, _top(spark, sf_dir, None), 5, salt=8)
+    """For the top 50 alerts, with the hot-bucket salt that a large alert set would use."""
+    context = _context(spark, sf_dir, _top(spark, sf_dir, 50), 5, salt=8)
     return report(context.select("alert_id", "alert_ts", "event_uid", "event_ts", "host_name"))
 
 
-ALERT_CONTEXT_BUCKETED = (
-    f"WITH {EVENTS_SQL}, {_OVER_SQL}, {_context_sql('over', 5)} SELECT {_CONTEXT_COLUMNS} FROM context"
-)
+ALERT_CONTEXT_BUCKETED = f"""
+WITH {EVENTS_SQL}, {_OVER_SQL}, top50 AS (SELECT * FROM over ORDER BY score_proxy DESC, event_uid LIMIT 50),
+{_context_sql('top50', 5)} SELECT {_CONTEXT_COLUMNS} FROM context"""
 
 
 def alert_context_preview(spark: SparkSession, sf_dir: str) -> DataFrame:

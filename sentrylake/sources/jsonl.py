@@ -88,7 +88,7 @@ def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     wrapped = F.concat(F.lit("["), F.trim(F.col(column)), F.lit(f',"{_END}"]'))
     parsed = with_once(lines.filter(F.trim(F.col(column)) != ""), _array=F.try_parse_json(wrapped))
     whole = parsed.filter(F.try_variant_get("_array", "$[1]", "string") == _END)
-    return whole.withColumn("record", F.try_variant_get("_array", "$[0]", "variant")).drop("_array")
+    return with_once(whole, record=F.try_variant_get("_array", "$[0]", "variant")).drop("_array")
 
 
 def _step(key: str) -> str:
