@@ -56,7 +56,7 @@ def _zeek_lines(v0: DataFrame) -> DataFrame:
 
 
 def _mapped(lines: DataFrame, source: JsonSource) -> DataFrame:
-    return map_records(parse_json_lines(lines), source)
+    return map_records(parse_json_lines(lines, source), source)
 
 
 def jsonl_ecs_map(spark: SparkSession, sf_dir: str) -> DataFrame:

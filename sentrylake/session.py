@@ -7,11 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Semantics (time zone, duplicate JSON keys: last one wins) and skew handling.
-# All are runtime settings, so they also apply to a session made elsewhere.
+# Time zone and skew handling. All are runtime settings, so they also apply to a session made elsewhere.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.once import with_once
 from ..functions.values import integer, number, utc_time
@@ -79,28 +79,53 @@ ZEEK_CONN = JsonSource(
 )
 
 
-def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Add VARIANT column ``record``; blank and malformed lines are dropped.
+def record_schema(source: JsonSource) -> T.StructType:
+    """Every mapped path as a literal key and as a nested path; all values are read as text."""
+    tree: dict = {}
+    paths = [*source.mapping, source.timestamp, "@timestamp"]
+    for path in paths:
+        at = tree
+        *parents, leaf = path.split(".")
+        for key in parents:
+            if not isinstance(at.get(key), dict):
+                at[key] = {}
+            at = at[key]
+        at.setdefault(leaf, None)
 
-    A line is parsed as the first element of an array that ends in a marker. Text after the
-    record breaks the array or shifts the marker, so such a line is malformed too.
-    """
-    wrapped = F.concat(F.lit("["), F.trim(F.col(column)), F.lit(f',"{_END}"]'))
-    parsed = with_once(lines.filter(F.trim(F.col(column)) != ""), _array=F.try_parse_json(wrapped))
-    whole = parsed.filter(F.try_variant_get("_array", "$[1]", "string") == _END)
-    return with_once(whole, record=F.try_variant_get("_array", "$[0]", "variant")).drop("_array")
+    def struct(node: dict, literal: list[str]) -> T.StructType:
+        fields = [T.StructField(k, struct(v, []) if isinstance(v, dict) else T.StringType()) for k, v in node.items()]
+        return T.StructType(fields + [T.StructField(path, T.StringType()) for path in literal])
+
+    return struct(tree, list(dict.fromkeys(path for path in paths if "." in path)))
 
 
-def _step(key: str) -> str:
-    return "['" + key + "']"
+def parse_json_lines(lines: DataFrame, source: JsonSource, column: str = "value") -> DataFrame:
+    """Add struct ``record`` with the mapped fields; blank and malformed lines are dropped.
+
+    Only the mapped fields are read, in one pass per line. The line is parsed as the first member of
+    an object that ends in a marker: text after the record breaks the object or loses the marker, so
+    such a line is malformed too. A field of unexpected shape is null and does not spoil the rest.
+    """
+    schema = T.StructType(
+        [T.StructField("record", record_schema(source)), T.StructField("end", T.StringType())]
+    )
+    text = F.trim(F.col(column))
+    wrapped = F.concat(F.lit('{"record":'), text, F.lit(f',"end":"{_END}"}}'))
+    parsed = with_once(
+        lines.filter(text != ""), _line=F.from_json(wrapped, schema, {"allowSingleQuotes": "false"})
+    )
+    whole = parsed.filter(F.col("_line")["end"] == _END)
+    return whole.withColumn("record", F.col("_line")["record"]).drop("_line")
 
 
 def json_path(record: Column, path: str) -> Column:
-    """A field by dotted path, as text: a literal key of that name first, then the nested path."""
-    literal = F.try_variant_get(record, "$" + _step(path), "string")
+    """A field by dotted path: a literal key of that name first, then the nested path."""
+    literal = record.getField(path)
     if "." not in path:
         return literal
-    nested = F.try_variant_get(record, "$" + "".join(_step(part) for part in path.split(".")), "string")
+    nested = record
+    for key in path.split("."):
+        nested = nested.getField(key)
     return F.coalesce(literal, nested)
 
 
@@ -114,7 +139,7 @@ def _typed(text: Column, name: str) -> Column:
 
 
 def map_records(records: DataFrame, source: JsonSource) -> DataFrame:
-    """Project VARIANT ``record`` to the event schema and drop rows without a usable time.
+    """Project struct ``record`` to the event schema and drop rows without a usable time.
 
     Time: the configured raw path, else the mapped ``@timestamp`` unless empty, else the raw one.
     """
@@ -134,4 +159,4 @@ def map_records(records: DataFrame, source: JsonSource) -> DataFrame:
 
 def read_json_source(spark: SparkSession, path: str, source: JsonSource) -> DataFrame:
     """One JSON-lines source as events; a missing path gives an empty frame."""
-    return map_records(parse_json_lines(text_lines(spark, path)), source)
+    return map_records(parse_json_lines(text_lines(spark, path), source), source)

@@ -54,7 +54,7 @@ def lines(spark, values):
 
 
 def mapped(spark, values, source):
-    return map_records(parse_json_lines(lines(spark, values)), source)
+    return map_records(parse_json_lines(lines(spark, values), source), source)
 
 
 def test_windows_features(spark):
@@ -105,12 +105,21 @@ def test_time_precedence(spark):
 
 def test_malformed_lines_are_dropped(spark):
     good = WINDOWS[0]
-    values = ["", "   ", good[:40], good + " x", good + good, good + "] x", "5", "null", '"text"', "[1]", f"  {good} ",
+    values = ["", "   ", good[:40], good.replace('"', "'"), good + " x", good + good, good + "] x", "5", "null", '"text"', "[1]", f"  {good} ",
               '{"@timestamp":null}', '{"@timestamp":"2025-10-01T00:00:00Z","@timestamp":"2025-10-02T00:00:00Z"}']
     rows = mapped(spark, values, WINDOWS_EVTX).orderBy("event_ts").collect()
     assert [r["event_ts"].day for r in rows] == [1, 2]
 
 
+def test_field_of_other_shape_is_null(spark):
+    values = ['{"@timestamp":"2025-10-01T00:00:00Z","Event":5}',
+              '{"@timestamp":"2025-10-01T00:00:01Z","Event":{"System":[1],"EventData":{"Status":"Failure","LogonType":2}}}',
+              '{"@timestamp":"2025-10-01T00:00:02Z","x":NaN,"Event":{"System":{"EventID":null,"Computer":"h"}}}']
+    rows = mapped(spark, values, WINDOWS_EVTX).orderBy("event_ts").collect()
+    assert [(r["event_outcome"], r["event_action"], r["host_name"]) for r in rows] == [
+        (None, None, None), ("Failure", "2", None), (None, None, "h")]
+
+
 def test_missing_file_is_empty(spark, tmp_path):
     assert read_json_source(spark, str(tmp_path / "none.jsonl"), SYSMON).count() == 0
     (tmp_path / "zeek_conn.jsonl").write_text("\n".join(ZEEK) + "\n")
