@@ -23,19 +23,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
         df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).groupBy("feature", "value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_total(counts, ["feature", "value"], "n")
-    # one row per column
-    totals = ranked.groupBy("feature").agg(F.sum("n").alias("total"), F.min("before").alias("start"))
-    placed = ranked.join(F.broadcast(totals), "feature").withColumn("at", F.col("before") - F.col("start"))
+    ranked = running_total(counts, ["feature"], ["value"], "n")
 
     def spot(p: float) -> Column:
         return (F.col("total") - 1) * F.lit(float(p))
 
     def value_at(position: Column) -> Column:
-        inside = (F.col("at") <= position) & (position < F.col("at") + F.col("n"))
+        inside = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
         return F.max(F.when(inside, F.col("value")))
 
-    picked = placed.groupBy("feature", "total").agg(
+    picked = ranked.groupBy("feature", "total").agg(
         *[value_at(F.floor(spot(p))).alias(f"lo{i}") for i, p in enumerate(probs)],
         *[value_at(F.ceil(spot(p))).alias(f"hi{i}") for i, p in enumerate(probs)],
     )

@@ -7,27 +7,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import stage
 
 
-def running_total(df: DataFrame, order_by: list[str], weight: str, out: str = "before") -> DataFrame:
-    """Add ``out``: the sum of ``weight`` over all rows sorted before this one.
+def running_total(df: DataFrame, group: list[str], order_by: list[str], weight: str) -> DataFrame:
+    """Add ``before``: the sum of ``weight`` over the rows of the group that sort before this one,
+    and ``total``: the sum over the whole group.
 
-    ``order_by`` must be unique. Rows are range-partitioned, the partition number is written with
-    them (range bounds are sampled, so a recomputation could draw others), each partition is
-    summed on its own, and the partition totals give the offsets. One row per partition is
-    all that is seen in one place.
+    ``group`` and ``order_by`` together must be unique. Rows are range-partitioned by both, the
+    partition number is written with them (range bounds are sampled, so a recomputation could draw
+    others), each partition is summed on its own, and the totals per group and partition give the
+    offsets. Ranges follow the group order, so there are at most groups + partitions such totals.
     """
     ranged = stage(
-        df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()), "running-total"
+        df.repartitionByRange(*group, *order_by).withColumn("_part", F.spark_partition_id()), "running-total"
     )
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    scope = Window.partitionBy(*(group or [F.lit(0)]))
+    earlier = scope.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_part")
-        .agg(F.sum(weight).alias("_total"))
-        .select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+        ranged.groupBy(*group, "_part")
+        .agg(F.sum(weight).alias("_sum"))
+        .select(
+            *group, "_part",
+            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+            F.sum("_sum").over(scope).alias("total"),
+        )
     )
-    inside = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
+        .join(F.broadcast(offsets), [*group, "_part"])
+        .withColumn("before", F.col("_offset") + F.col("_inside"))
         .drop("_part", "_offset", "_inside")
     )

@@ -67,11 +67,7 @@ def _numbered_times(
 def _with_earlier(chunks: DataFrame, scope: list[str]) -> DataFrame:
     """Add ``earlier``: the sessions of all keys sorted before this one (of the same day, if daily)."""
     per_key = chunks.groupBy(*scope).agg(F.sum(F.col("opens") + F.col("breaks")).alias("n_sessions"))
-    starts = running_total(per_key, scope, "n_sessions", out="earlier")
-    if len(scope) > 1:
-        # one row per day
-        day_start = starts.groupBy(scope[0]).agg(F.min("earlier").alias("_day"))
-        starts = starts.join(F.broadcast(day_start), scope[0]).withColumn("earlier", F.col("earlier") - F.col("_day"))
+    starts = running_total(per_key, scope[:-1], scope[-1:], "n_sessions").withColumnRenamed("before", "earlier")
     return chunks.join(starts.select(*scope, "earlier"), scope)
 
 

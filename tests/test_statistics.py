@@ -45,12 +45,14 @@ def test_robust_scaling_keeps_constant_columns(spark):
     assert sorted(r["a"] for r in scaler.transform(df).collect()) == pytest.approx([-1, -1 / 3, 1 / 3, 1])
 
 
-def test_running_total(spark):
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_running_total(spark, group):
     values = list(range(1000))
     random.Random(1).shuffle(values)
-    df = spark.createDataFrame([(v, v % 7) for v in values], "k int, w int").repartition(9)
-    got = {r["k"]: r["before"] for r in running_total(df, ["k"], "w").collect()}
-    assert got == {k: sum(j % 7 for j in range(k)) for k in range(1000)}
+    df = spark.createDataFrame([(v, v % 7, v % 3) for v in values], "k int, w int, g int").repartition(9)
+    for r in running_total(df, group, ["k"], "w").collect():
+        mine = [j for j in range(1000) if not group or j % 3 == r["g"]]
+        assert r["before"] == sum(j % 7 for j in mine if j < r["k"]) and r["total"] == sum(j % 7 for j in mine)
 
 
 def brute_sample(rows, k, seed=42):
