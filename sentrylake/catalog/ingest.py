@@ -55,6 +55,12 @@ def _zeek_lines(v0: DataFrame) -> DataFrame:
     return v0.select("*", line.alias("value"))
 
 
+def _nullable(df: DataFrame) -> DataFrame:
+    """Whole numbers that may be null as doubles, so that both engines print them alike."""
+    ports = [c for c in ("source_port", "destination_port") if c in df.columns]
+    return df.withColumns({c: F.col(c).cast("double") for c in ports})
+
+
 def _mapped(lines: DataFrame, source: JsonSource) -> DataFrame:
     return map_records(parse_json_lines(lines, source), source)
 
@@ -63,7 +69,7 @@ def jsonl_ecs_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     v0 = events(spark, sf_dir)
     frames = [_mapped(_windows_lines(v0), WINDOWS_EVTX), _mapped(_sysmon_lines(v0), SYSMON)]
     return report(
-        frames[0].unionByName(frames[1]).select(
+        _nullable(frames[0].unionByName(frames[1])).select(
             "event_ts", "event_module", "event_dataset", "event_code", "event_outcome", "host_name", "user_name",
             "source_ip", "destination_ip", "destination_port", "network_transport", "process_command_line",
         )
@@ -73,12 +79,12 @@ def jsonl_ecs_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSONL_ECS_MAP = f"""
 WITH {EVENTS_SQL}
 SELECT {ts_sql('event_ts')} AS event_ts, 'windows' AS event_module, 'security' AS event_dataset, event_code,
-  event_outcome, host_name, user_name, source_ip, NULL::VARCHAR AS destination_ip, NULL::BIGINT AS destination_port,
+  event_outcome, host_name, user_name, source_ip, NULL::VARCHAR AS destination_ip, NULL::DOUBLE AS destination_port,
   NULL::VARCHAR AS network_transport, process_command_line
 FROM v0
 UNION ALL
 SELECT {ts_sql('event_ts')}, 'sysmon', 'sysmon', '3', NULL, host_name, user_name, source_ip, destination_ip,
-  CAST(destination_port AS BIGINT), network_transport, process_command_line
+  CAST(destination_port AS DOUBLE), network_transport, process_command_line
 FROM v0"""
 
 
@@ -215,7 +221,7 @@ def csv_flow_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(even, F.col("l_linenumber").cast("string")).otherwise("?").alias("Tot Bwd Bytes"),
     )
     return report(
-        normalize_flows(flows).select(
+        _nullable(normalize_flows(flows)).select(
             "event_ts", "event_dataset", "event_action", "host_name", "source_ip", "destination_ip", "source_port",
             "destination_port", "network_transport", "network_bytes",
         )
@@ -227,8 +233,8 @@ SELECT {ts_sql("CASE WHEN l_orderkey % 2 = 0 THEN date_trunc('minute', l_shipdat
   'custom_csv' AS event_dataset, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE 'flow' END AS event_action,
   NULL::VARCHAR AS host_name,
   '10.1.0.' || (l_suppkey % 250) AS source_ip, '10.2.0.' || (l_partkey % 250) AS destination_ip,
-  CAST(l_partkey % 60000 AS BIGINT) AS source_port,
-  CASE WHEN l_linenumber <> 7 THEN 4444::BIGINT END AS destination_port,
+  CAST(l_partkey % 60000 AS DOUBLE) AS source_port,
+  CASE WHEN l_linenumber <> 7 THEN 4444::DOUBLE END AS destination_port,
   CASE WHEN l_orderkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS network_transport,
   round(l_quantity + CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber ELSE 0 END, 6) AS network_bytes
 FROM lineitem WHERE l_linenumber <> 6"""
@@ -266,7 +272,7 @@ _THREE_SOURCES_SQL = f"""
 
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(
-        _three_sources(spark, sf_dir).select(
+        _nullable(_three_sources(spark, sf_dir)).select(
             "source", "dt", "event_ts", "user_name", "event_action", "event_outcome", "source_port",
             "destination_port", "network_bytes",
         )
@@ -276,7 +282,7 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE_UNION = f"""
 WITH {_THREE_SOURCES_SQL}
 SELECT source, {day_sql('CAST(event_ts AS DATE)')} AS dt, {ts_sql('event_ts')} AS event_ts, user_name, event_action,
-  event_outcome, CAST(source_port AS BIGINT) AS source_port, CAST(destination_port AS BIGINT) AS destination_port,
+  event_outcome, CAST(source_port AS DOUBLE) AS source_port, CAST(destination_port AS DOUBLE) AS destination_port,
   round(network_bytes, 6) AS network_bytes
 FROM three"""
 
