@@ -1,10 +1,10 @@
-"""Queries of the operators that stay within DataFrame functions: mixing, quality rules."""
+"""Queries of the operators that stay within DataFrame functions: mixing, quality rules, secret scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, secret_scan
 from .common import table
 
 
@@ -113,4 +113,17 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
 FROM m JOIN ok ON m.doc_id = ok.doc_id
 """
 
-QUERIES = {"op2_source_mix": (op2_source_mix, OP2_SQL), "op3_quality_rules": (op3_quality_rules, OP3_SQL)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[secret_scan.number_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]],
+        F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {
+    "op2_source_mix": (op2_source_mix, OP2_SQL),
+    "op3_quality_rules": (op3_quality_rules, OP3_SQL),
+    "op9_secret_scan": (op9_secret_scan, None),
+}
