@@ -1,11 +1,11 @@
-"""Queries of the operators over whole texts: encoding."""
+"""Queries of the operators over whole texts: encoding, fingerprints."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, iblt
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,4 +27,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": (op4_bpe, None)}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_fingerprints": (op6_fingerprints, None), "op4_bpe": (op4_bpe, None)}
