@@ -1,11 +1,11 @@
-"""Queries of the operators over whole texts: encoding, fingerprints."""
+"""Queries of the operators over whole texts: extraction, encoding, fingerprints."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, iblt
+from . import bpe, html_diff, iblt
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,4 +31,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_fingerprints": (op6_fingerprints, None), "op4_bpe": (op4_bpe, None)}
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_html_extract": (op1_html_extract, None),
+    "op4_bpe": (op4_bpe, None),
+    "op6_fingerprints": (op6_fingerprints, None),
+}
