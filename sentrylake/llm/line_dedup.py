@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import new_folder
+from ..session import new_folder, stage
 from .common import SPACES
 
 KEYS = "h bigint, g bigint, doc_id bigint, text_hash bigint, at array<int>"
@@ -109,7 +109,8 @@ class LineRuns:
     def going(self, keys: DataFrame, min_docs: int) -> DataFrame:
         """Line numbers that go, per document: (doc_id, text_hash, gone)."""
         earlier = (F.col("doc_id") < F.col("last")) | (F.col("doc_id").isNull() & F.col("last").isNotNull())
-        merged = keys.join(self.repeated(min_docs), ["h", "g"]).where(earlier)
+        repeated = stage(self.repeated(min_docs), "lines-repeated")  # few; keys held by very many documents can be split
+        merged = keys.join(repeated, ["h", "g"]).where(earlier)
         return merged.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("gone"))
 
 
