@@ -1,11 +1,11 @@
-"""Queries of the operators over whole texts: extraction, encoding, fingerprints."""
+"""Queries of the operators over whole texts: extraction, encoding, fingerprints, scores."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html_diff, iblt
+from . import bpe, html_diff, iblt, quality_model
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,8 +35,14 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.score(documents, quality_model.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_html_extract": (op1_html_extract, None),
     "op4_bpe": (op4_bpe, None),
     "op6_fingerprints": (op6_fingerprints, None),
+    "op8_quality_model": (op8_quality_model, None),
 }
