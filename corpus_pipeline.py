@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrylake.llm import mixing, quality_rules
+from sentrylake.llm import line_dedup, mixing, quality_rules, simhash
 from sentrylake.llm.common import table
+from sentrylake.llm.queries_text import encoded_documents
 from sentrylake.session import stage
 
 
@@ -18,14 +19,32 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
+def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go from all but one of them."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs, shingle=4, max_bits=4)
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix emits it."""
     return mixing.mixed_rows(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of the ids and of the text decoded from them."""
+    return encoded_documents(docs, carry=["source", "ids"])
+
+
 STAGES = [
     ("quality rules", good_documents),
+    ("line dedup", deduplicated_lines),
+    ("near-duplicates", distinct_documents),
     ("mixing", mixed_sources),
+    ("encoding", token_ids),
 ]
 
 ORACLE_SQL = None  # fingerprints and token ids have no SQL form
