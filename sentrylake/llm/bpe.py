@@ -27,10 +27,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .lexicon import Lexicon, compile_lexicon
+from .quality_rules import bucket
+
+NEVER = 1 << 60  # the rank of a pair that is never joined
+TOGETHER = 4 << 20  # code points of texts that are encoded together
 
 # Unicode white space; Python's own notion of it has the separators 0x1C to 0x1F besides.
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -85,9 +91,27 @@ class Encoder:
 
     def merge(self, piece: str) -> list[int]:
         """Join the neighbours of lowest rank, leftmost first, until none can be joined."""
-        ranks = self.vocabulary.ranks
-        parts: list[str | None] = [self.characters[b] for b in piece.encode("utf-8")]
+        parts = [self.characters[b] for b in piece.encode("utf-8")]
         parts[-1] += self.vocabulary.suffix
+        parts = self._merge_short(parts) if len(parts) <= 64 else self._merge_long(parts)
+        return [self.vocabulary.ids[p] for p in parts]
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        rank = self.vocabulary.ranks.get
+        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks and (lowest := min(ranks)) != NEVER:
+            at = ranks.index(lowest)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), NEVER)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[str | None]) -> list[str]:
+        """The same with a heap, for pieces that are long."""
+        ranks = self.vocabulary.ranks
         after, earlier = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(ranks[pair], at) for at, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
         heapq.heapify(heap)
@@ -104,7 +128,7 @@ class Encoder:
             for left, right in ((earlier[at], at), (at, after[at])):
                 if left >= 0 and right < len(parts) and (joined := ranks.get((parts[left], parts[right]))) is not None:
                     heapq.heappush(heap, (joined, left))
-        return [self.vocabulary.ids[p] for p in parts if p is not None]
+        return [p for p in parts if p is not None]
 
     def words(self, text: str) -> list[str | int]:
         """Normalized words between white space; special tokens as their ids."""
@@ -118,45 +142,68 @@ class Encoder:
             return [word for word in _SPACE.split(text) if word]
         return text.split()
 
-    def ids_of_words(self, words: Sequence[str | int]) -> list[list[int]]:
+    def ids_of_words(self, words: Sequence[str | int]) -> list[Sequence[int]]:
         """Ids of each of the (different) words."""
-        split = [[w] if isinstance(w, int) else self.pieces.findall(w) for w in words]
-        pieces = list({p: None for own in split for p in own if isinstance(p, str)})
-        known: dict[str | int, list[int]] = {n: [n] for n in self.vocabulary.special.values()}
-        if self.lexicon:
-            ranks = self.lexicon.ranks([p.encode("utf-8") for p in pieces]).tolist()
-        else:
-            ranks = [-1] * len(pieces)
-        for piece, rank in zip(pieces, ranks):
-            known[piece] = self.lexicon.ids_of(rank) if rank >= 0 else self.merged(piece)
-        return [known[own[0]] if len(own) == 1 else [i for p in own for i in known[p]] for own in split]
+        split = {w: self.pieces.findall(w) for w in words if isinstance(w, str) and not w.isalpha()}
+        pieces = list(dict.fromkeys(chain(
+            chain.from_iterable(split.values()), (w for w in words if isinstance(w, str) and w not in split)
+        )))
+        ranks = self.lexicon.ranks([p.encode("utf-8") for p in pieces]).tolist() if self.lexicon else [-1] * len(pieces)
+        known: dict[str | int, Sequence[int]] = {
+            p: self.lexicon.ids_of(r) if r >= 0 else self.merged(p) for p, r in zip(pieces, ranks)
+        }
+        joined = {w: [i for p in own for i in known[p]] for w, own in split.items()}
+        return list(map({**known, **joined, **{n: (n,) for n in self.vocabulary.special.values()}}.__getitem__, words))
 
     def encode(self, texts: Sequence[str]) -> pa.ListArray:
-        """Ids of every text. Each different word of the texts is worked out once."""
-        numbers: dict[str | int, int] = {}
-        coded = [np.array([numbers.setdefault(w, len(numbers)) for w in self.words(t)], np.int64) for t in texts]
-        own = self.ids_of_words(list(numbers))
+        """Ids of every text. Each different word of some hundred texts is worked out once."""
+        parts, chosen, size = [], [], 0
+        for text in texts:
+            chosen.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                parts.append(self._encode(chosen))
+                chosen, size = [], 0
+        return pa.concat_arrays([*parts, self._encode(chosen)])
+
+    def _encode(self, texts: Sequence[str]) -> pa.ListArray:
+        words = [self.words(t) for t in texts]
+        different = list(dict.fromkeys(chain.from_iterable(words)))
+        number = {w: i for i, w in enumerate(different)}.__getitem__
+        coded = [np.fromiter(map(number, own), np.int32, len(own)) for own in words]
+        del words, number
+        own = self.ids_of_words(different)
         lengths = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.fromiter(chain.from_iterable(own), np.int32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
-        lists, ends = [], [0]
+        lists, ends = [np.zeros(0, np.int32)], [0]
         for codes in coded:
             sizes = lengths[codes]
             inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             lists.append(flat[np.repeat(starts[codes], sizes) + inside])
             ends.append(ends[-1] + len(lists[-1]))
-        values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
 
 
 def frequent_words(documents: DataFrame, size: int) -> list[str]:
-    """The ``size`` most frequent runs of letters of the whole corpus, in lower case."""
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
-
+    """The most frequent runs of letters of the whole corpus, in lower case: ``size`` or somewhat fewer.
 
-def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 << 16) -> bytes:
+    The least count is chosen from a histogram of the counts (to 7 bits), so that no more than ``size`` words
+    reach the driver, whatever the number of partitions.
+    """
+    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-counts")
+    histogram = counts.groupBy(bucket(F.col("n")).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = None, 0
+    for row in sorted(histogram, key=lambda r: -r["n"]):
+        total += row["words"]
+        if total > size:
+            break
+        least = row["n"]
+    return [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
+
+
+def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 << 17) -> bytes:
     """The compiled lexicon of the corpus's frequent words."""
     exact = Encoder(vocabulary)
     listed = sorted({w.encode("utf-8"): exact.merge(w) for w in frequent_words(documents, size)}.items())
@@ -187,8 +234,8 @@ def decode(documents: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text:
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        tokens = shared.value
-        return pa.array([" ".join([tokens[i] for i in own or ()]) for own in lists.to_pylist()], pa.string())
+        lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pa.array(shared.value, pa.string()).take(lists.values)), " ")
 
     return documents.withColumn(text, decoded(F.col(ids)))
 
