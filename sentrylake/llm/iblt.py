@@ -16,7 +16,6 @@ never read.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 import zlib
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .neighbours import with_neighbours
 
-ROWS, WIDTH = 3, 8
+ROWS, WIDTH = 3, 4
 LONG = 48  # code points of a paragraph from which it is cut further
 _PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -184,14 +183,14 @@ def likeness(left: Sets, right: Sets, built: tuple[Sketches, Sketches] | None =
     return np.where(everything > 0, shared / np.maximum(everything, 1), 1.0)
 
 
-def written(cells: Sketches) -> list[str]:
-    """Each text's sketch as base64 of counts (16 bits), digest sums (64) and checksums (32)."""
-    parts = (cells.count.astype("<i2"), cells.key.astype("<u8"), cells.check.astype("<u4"))
-    return [base64.b64encode(b"".join(p[i].tobytes() for p in parts)).decode() for i in range(len(cells.count))]
+def written(cells: Sketches) -> list[bytes]:
+    """Each text's sketch as counts (16 bits), digest sums (64) and checksums (16), low bits first."""
+    parts = (cells.count.astype("<i2"), cells.key.astype("<u8"), cells.check.astype("<u2"))
+    return [b"".join(p[i].tobytes() for p in parts) for i in range(len(cells.count))]
 
 
 RESULT = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
 
@@ -218,8 +217,8 @@ def _compare(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
         [
             rows.column(0).slice(start, count),
             pa.array([len(t) for t in texts[:count]], pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in changed], pa.string()),
-            pa.array(written(own_cells), pa.string()), pa.array(written(changed_cells), pa.string()),
+            pa.array([hashlib.sha256(t.encode("utf-8")).digest() for t in changed], pa.binary()),
+            pa.array(written(own_cells), pa.binary()), pa.array(written(changed_cells), pa.binary()),
             pa.array(likeness(own, after, (own_cells, changed_cells)), pa.float64()),
             pa.array(likeness(own, following, (own_cells, next_cells)), pa.float64()),
         ],
@@ -231,4 +230,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """Every document against its edited text and the next one in descending doc_id (nulls last, equal ones by text hash)."""
     rows = documents.select(F.col("doc_id").cast("bigint"), "text")
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # keys are sampled: no text among them
-    return with_neighbours(rows, order, _compare, RESULT, wrap=True, name="fingerprints")
+    found = with_neighbours(rows, order, _compare, RESULT, wrap=True, name="fingerprints")
+    return found.withColumns({
+        "edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"),
+        "edited_fingerprint": F.base64("edited_fingerprint"),
+    })
