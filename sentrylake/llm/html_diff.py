@@ -9,7 +9,8 @@ Markup has its say too: lines inside elements marked as navigation, advert, form
 has text in an article or main element, text outside it goes. Sharing does not delete paragraphs, headings and
 list items of an article: passages that several articles quote are text.
 
-Hosts may be of any size: pages are dealt by ranges of (host, path), and a task holds a batch of them.
+Lines are compared by 64-bit hashes. Hosts may be of any size: pages are dealt by ranges of (host, path), and a
+task holds a batch of them.
 
 Defined cases: null and empty html has an empty text; a page without host (null or odd URL) and a lone page
 of a host is not compared; repeated rows are copies of each other; an empty table gives an empty result;
@@ -21,23 +22,24 @@ from __future__ import annotations
 import os.path
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..session import stage
 from .html_lines import INSIDE, OPEN, PROSE, lines
 from .neighbours import with_neighbours
 
 COPY = 0.9  # share of the text that may be main text from which a neighbour is a copy
-RESULT = "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
 
 
-def common_lines(left: list[str], right: list[str]) -> list[int]:
+def common_lines(left: list, right: list) -> list[int]:
     """Places on the left of a longest common subsequence of lines.
 
     Bit-parallel (Hyyrö 2004): one whole number per line on the left, with a bit per line on the right; a
     zero bit says that the best length grows there. The numbers are kept and walked back.
     """
-    places: dict[str, int] = {}
+    places: dict = {}
     for at, line in enumerate(right):
         places[line] = places.get(line, 0) | 1 << at
     full = (1 << len(right)) - 1
@@ -58,18 +60,28 @@ def common_lines(left: list[str], right: list[str]) -> list[int]:
     return shared[::-1]
 
 
-def main_text(own: list[str], kinds: str, neighbours: list[list[str]]) -> tuple[list[str], int]:
-    """Lines that stay, and how many are shared with the neighbour compared (nearest first)."""
+def candidates(kinds: str) -> list[int]:
+    """Lines that may be main text: those of an article if one is marked, else all that are not boilerplate."""
     marked = PROSE in kinds or INSIDE in kinds
-    candidates = [i for i, kind in enumerate(kinds) if kind in ((PROSE, INSIDE) if marked else (OPEN,))]
-    size = sum(len(own[i]) for i in candidates)
-    site: set[int] = set()
+    return [i for i, kind in enumerate(kinds) if kind in ((PROSE, INSIDE) if marked else (OPEN,))]
+
+
+def site_lines(own: list, sizes: list[int], kinds: str, neighbours: list[list]) -> list[int]:
+    """Lines shared with the neighbour compared (the nearest that is no copy): they belong to the site."""
+    may_be = candidates(kinds)
+    size = sum(sizes[i] for i in may_be)
     for other in neighbours:
-        found = set(common_lines(own, other))
-        if sum(len(own[i]) for i in candidates if i in found) <= COPY * size:
-            site = found
-            break
-    return [own[i] for i in candidates if kinds[i] == PROSE or i not in site], len(site)
+        shared = common_lines(own, other)
+        found = set(shared)
+        if sum(sizes[i] for i in may_be if i in found) <= COPY * size:
+            return shared
+    return []
+
+
+def main_text(own: list[str], kinds: str, site: list[int]) -> str:
+    """The lines that stay, joined."""
+    gone = set(site)
+    return "\n".join(own[i] for i in candidates(kinds) if kinds[i] == PROSE or i not in gone)
 
 
 def host_and_path(url: Column) -> list[Column]:
@@ -79,37 +91,66 @@ def host_and_path(url: Column) -> list[Column]:
     return [host.alias("host"), F.regexp_extract(address, r"^(?://[^/?#]*)?(.*)$", 1).alias("path")]
 
 
-@F.arrow_udf(StructType([StructField("lines", StringType()), StructField("kinds", StringType())]))
-def page_lines(pages: pa.Array) -> pa.Array:
-    """The lines, one per row of the string, and their kinds."""
-    found = [lines(page or "") for page in pages.to_pylist()]
+@F.arrow_udf(StructType([
+    StructField("hashes", ArrayType(LongType())), StructField("sizes", ArrayType(IntegerType())), StructField("kinds", StringType()),
+]))
+def line_hashes(pages: pa.Array) -> pa.Array:
+    """Hash, size and kind of each line."""
+    hashes, sizes, kinds = [], [], []
+    for page in pages:
+        found, kind = lines(page.as_py() or "")
+        hashes.append([xxhash.xxh64_intdigest(line) >> 1 for line in found])
+        sizes.append([len(line) for line in found])
+        kinds.append(kind)
     return pa.StructArray.from_arrays(
-        [pa.array(["\n".join(texts) for texts, _ in found], pa.string()), pa.array([kinds for _, kinds in found], pa.string())],
-        ["lines", "kinds"],
+        [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(kinds, pa.string())],
+        ["hashes", "sizes", "kinds"],
     )
 
 
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("n_lines", IntegerType())]))
+def text_without(pages: pa.Array, site: pa.Array) -> pa.Array:
+    """The main text of each page without the lines of its site, and the number of all lines."""
+    texts, numbers = [], []
+    for page, gone in zip(pages, site):
+        found, kinds = lines(page.as_py() or "")
+        texts.append(main_text(found, kinds, gone.as_py() or []))
+        numbers.append(len(found))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(numbers, pa.int32())], ["text", "n_lines"])
+
+
 def _differenced(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
     first, last = max(0, start - 1), min(rows.num_rows, stop + 1)
     near = rows.slice(first, last - first)
-    ids, urls, hosts, paths, texts, kinds = (c.to_pylist() for c in near.columns)
-    split = [t.split("\n") if t else [] for t in texts]
-    out: list[list] = [[], [], [], [], [], []]
+    hosts, paths, hashes, sizes, kinds = (near.column(c).to_pylist() for c in ("host", "path", "hashes", "sizes", "kinds"))
+    found = []
     for at in range(start - first, stop - first):
-        beside = [i for i in (at - 1, at + 1) if 0 <= i < len(ids) and hosts[i] and hosts[i] == hosts[at]]
+        beside = [i for i in (at - 1, at + 1) if 0 <= i < len(hosts) and hosts[i] and hosts[i] == hosts[at]]
         beside.sort(key=lambda i: -len(os.path.commonprefix([paths[i], paths[at]])))
-        stays, shared = main_text(split[at], kinds[at], [split[i] for i in beside])
-        text = "\n".join(stays)
-        for column, value in zip(out, (ids[at], urls[at], text, len(text), len(split[at]), shared)):
-            column.append(value)
-    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-    names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        found.append(site_lines(hashes[at], sizes[at], kinds[at], [hashes[i] for i in beside]))
+    own = rows.slice(start, stop - start)
+    return pa.RecordBatch.from_arrays(
+        [own.column("_page"), own.column("_key"), pa.array(found, pa.list_(pa.int32()))], ["_page", "_key", "site"]
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """The main text of every page."""
-    rows = pages.select(F.col("page_id").cast("bigint"), "url", *host_and_path(F.col("url")), page_lines("html").alias("_p"))
-    rows = rows.select("page_id", "url", "host", "path", "_p.lines", "_p.kinds")
-    order = [F.col("host"), F.col("path"), F.col("page_id"), F.xxhash64("lines")]
-    return with_neighbours(rows, order, _differenced, RESULT, name="pages")
+    """The main text of every page.
+
+    Only hashes of lines go through the order; the pages themselves move once, to where their site lines
+    are. Rows equal in id, URL and html are one page in the order.
+    """
+    key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    slim = pages.select(
+        F.col("page_id").cast("bigint").alias("_page"), key.alias("_key"), *host_and_path(F.col("url")), line_hashes("html").alias("_l")
+    )
+    rows = stage(slim.select("_page", "_key", "host", "path", "_l.*"), "page-lines").dropDuplicates(["_page", "_key"])
+    order = [F.col("host"), F.col("path"), F.col("_page"), F.col("_key")]
+    site = stage(with_neighbours(rows, order, _differenced, "_page bigint, _key bigint, site array<int>", name="pages"), "site")
+    same = F.col("page_id").cast("bigint").eqNullSafe(F.col("_page")) & (key == F.col("_key"))
+    joined = pages.select("page_id", "url", "html").join(site, same, "left")
+    text = joined.select("page_id", "url", text_without("html", "site").alias("_t"), F.size("site").alias("n_shared"))
+    return text.select(
+        "page_id", "url", F.col("_t.text").alias("text"), F.length("_t.text").cast("long").alias("n_chars"),
+        F.col("_t.n_lines").cast("long").alias("n_lines"), F.col("n_shared").cast("long").alias("n_shared"),
+    )
