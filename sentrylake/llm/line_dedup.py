@@ -127,13 +127,13 @@ def dedup(
     for number in range(batches):
         runs.add(keys.where(F.col("batch") == number))
     going = runs.going(keys, min_docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    text = F.coalesce("text", F.lit(""))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    lines = F.split(text, "\n")
-    gone = F.array_distinct("gone")
-    return documents.join(going, same, "left").select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(lines, gone)).alias("text") if c == "text" else c
-          for c in documents.columns],
+    rows = documents.select(F.struct(*documents.columns).alias("_row"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    same = F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    lines, gone = F.split(text, "\n"), F.array_distinct("gone")
+    left = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(_without(lines, gone))
+    return rows.join(going, same, "left").select(
+        *[left.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns],
         F.size(lines).cast("long").alias("_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("_dropped"),
     )
