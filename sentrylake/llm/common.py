@@ -41,6 +41,7 @@ def position_in_group(df: DataFrame, group: list[str], order: list[Column], name
         .agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     )
+    starts = stage(starts, f"{name}-starts")  # the planner then knows its size before it moves rows to it
     same = part == F.col("_part")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))

@@ -130,7 +130,7 @@ def quartiles(sketched: DataFrame, group: list[str]) -> DataFrame:
 
 
 def fences(sketched: DataFrame, min_docs: int = 200, reach: int = 3) -> DataFrame:
-    """One row per (lang, source): arrays-free columns ``<rate>_low`` and ``<rate>_high``.
+    """One row per (lang, source) with columns ``<rate>_high``, and ``<rate>_low`` for two-sided rates.
 
     A group with fewer than ``min_docs`` documents takes the quartiles of its language, and a small
     language those of all documents. The tables joined have one row per group and rate.
@@ -176,7 +176,8 @@ def assess(documents: DataFrame, carry: list[Column] | None = None, min_docs: in
     slim = documents.select("doc_id", "lang", "source", "text", *(carry or []))
     measured = measure(slim)
     measured = stage(measured.drop("text"), "quality-measures")
-    judged = judge(measured, fences(sketch(measured), min_docs, reach))
+    # written, so that the planner knows how small they are before it moves documents to them
+    judged = judge(measured, stage(fences(sketch(measured), min_docs, reach), "quality-fences"))
     extra = [c for c in slim.columns if c not in ("doc_id", "lang", "source", "text")]
     return judged.select(
         "doc_id", *[F.col(f"_m.{m}").alias(m) for m in MEASURES],
