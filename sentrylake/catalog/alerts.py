@@ -15,6 +15,7 @@ from ..operators.features import feature_table
 from ..operators.quantiles import score_threshold
 from ..operators.sampling import capped
 from ..schema import ECS_NAMES, ENTROPY
+from ..session import prepare
 from .features import FEATURES, FEATURES_SQL
 from .views import EVENTS_SQL, day_sql, events, report, table, ts_sql
 
@@ -89,14 +90,13 @@ ALERT_CONTEXT_5M = f"WITH {EVENTS_SQL}, {_TOP_SQL}, {_context_sql('top', 5)} SEL
 
 
 def alert_context_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the top 50 alerts, with the hot-bucket salt that a large alert set would use."""
-    context = _context(spark, sf_dir, _top(spark, sf_dir, 50), 5, salt=8)
+    """For all rows at or above the threshold, as a shuffled join with salted buckets."""
+    context = _context(spark, sf_dir, _top(spark, sf_dir, None), 5, salt=8)
     return report(context.select("alert_id", "alert_ts", "event_uid", "event_ts", "host_name"))
 
 
 ALERT_CONTEXT_BUCKETED = f"""
-WITH {EVENTS_SQL}, {_OVER_SQL}, top50 AS (SELECT * FROM over ORDER BY score_proxy DESC, event_uid LIMIT 50),
-{_context_sql('top50', 5)} SELECT {_CONTEXT_COLUMNS} FROM context"""
+WITH {EVENTS_SQL}, {_OVER_SQL}, {_context_sql('over', 5)} SELECT {_CONTEXT_COLUMNS} FROM context"""
 
 
 def alert_context_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ EVIDENCE_MANIFEST = "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size
 
 def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every given Parquet file with hash and size."""
-    table(spark, sf_dir, "events")
+    prepare(spark)
     return report(file_hashes(spark, sf_dir, "*.parquet"))
 
 
@@ -372,10 +372,14 @@ BUNDLE_MANIFEST = f"""
 WITH {_documents_sql(10)}, {_TOP_SQL}, {_context_sql('top', 5)},
 files AS (
   SELECT * FROM documents
-  UNION ALL SELECT 'alert-' || alert_id, 'raw_logs.jsonl', {_LINE_SQL} FROM context)
-SELECT alert_id, file_name, count(*) AS n_lines, CAST(sum(strlen(content) + 1) AS BIGINT) AS size,
-  CAST(sum(CAST('0x' || substr(sha256(content), 1, 8) AS BIGINT)) AS BIGINT) AS digest
-FROM files GROUP BY alert_id, file_name"""
+  UNION ALL SELECT 'alert-' || alert_id, 'raw_logs.jsonl', {_LINE_SQL} FROM context),
+lines_of AS (SELECT *, sha256(content) AS line FROM files),
+parts AS (
+  SELECT alert_id, file_name, substr(line, 1, 3) AS part, count(*) AS n, sum(strlen(content) + 1) AS size,
+    sha256(string_agg(line, '' ORDER BY line)) AS digest FROM lines_of GROUP BY ALL)
+SELECT alert_id, file_name, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(size) AS BIGINT) AS size,
+  sha256(string_agg(digest, '' ORDER BY part)) AS sha256
+FROM parts GROUP BY alert_id, file_name"""
 
 
 QUERIES = {

@@ -4,31 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model.forest import Forest, fit_forest, score
+from ..model.forest import Forest, fit_and_score
 from ..model.shap import explain_by_shap
 from ..operators.alerts import select_alerts
 from ..operators.features import feature_table
-from ..operators.sampling import sample_per_day
 from ..schema import feature_names
-from ..session import stage
 from .views import events, report
 
 
-def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Forest]:
-    features = stage(feature_table(events(spark, sf_dir)), "features")
-    return features, fit_forest(sample_per_day(features), feature_names())
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[Forest, DataFrame]:
+    return fit_and_score(feature_table(events(spark, sf_dir)), feature_names())
 
 
 def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, forest = _fitted(spark, sf_dir)
-    return report(score(features, forest).select("event_uid", "event_ts", "host_name", "anom_score"))
+    _, scored = _fitted(spark, sf_dir)
+    return report(scored.select("event_uid", "event_ts", "host_name", "anom_score"))
 
 
 def iforest_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset, and the share of rows that score above 0 with it."""
-    features, forest = _fitted(spark, sf_dir)
+    forest, scored = _fitted(spark, sf_dir)
     return report(
-        score(features, forest).agg(
+        scored.agg(
             F.lit(forest.offset).alias("offset"), F.lit(forest.samples).alias("samples"),
             F.avg((F.col("anom_score") > 0).cast("double")).alias("share_over_zero"),
         )
@@ -37,8 +34,8 @@ def iforest_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_shap_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contributions to the top alerts of the forest."""
-    features, forest = _fitted(spark, sf_dir)
-    explained = explain_by_shap(select_alerts(score(features, forest)), forest)
+    forest, scored = _fitted(spark, sf_dir)
+    explained = explain_by_shap(select_alerts(scored), forest)
     top = explained.select("event_uid", "anom_score", F.posexplode("top_features").alias("rank", "top"))
     return report(
         top.select("event_uid", "anom_score", (F.col("rank") + 1).alias("rank"),

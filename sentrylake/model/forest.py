@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions.values import number
 from ..operators.quantiles import RobustScaler, exact_quantiles
-from ..operators.sampling import smallest_by_hash
 from ..schema import ID_COLUMNS
 from ..session import stage
 
@@ -119,33 +118,41 @@ def grow_tree(points: np.ndarray, tree_id: int, seed: int, depth_limit: int) ->
 
 
 def tree_samples(df: DataFrame, uid: str, trees: int, samples: int, n: int, seed: int) -> DataFrame:
-    """Each tree's own sample of ``samples`` rows without replacement, as rows with ``tree_id``.
+    """Each tree's own sample of ``samples`` rows of all, without replacement, as rows with ``tree_id``.
 
-    First a pool of at most trees x samples rows is taken by hash, so only the pool is repeated
-    per tree. Within a tree rows are ranked by another hash; rows that are far beyond the needed
-    rank (four times the expected cut) are left out before the shuffle.
+    A tree takes the rows of smallest hash of (id, tree). Every row is offered to every tree, and those under
+    a limit that somewhat more than ``samples`` rows are expected to pass are written; should a tree get too
+    few, the limit is doubled. The cut to ``samples`` is exact.
     """
-    pool_size = trees * samples
-    pool = smallest_by_hash(df, pool_size, uid, seed) if n > pool_size else df
-    offered = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))
-    )
-    share = 4.0 * samples / min(n, pool_size)
-    if share < 1.0:
-        offered = offered.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
+    share = (samples + 6 * math.sqrt(samples) + 16) / max(n, 1)
+    while True:
+        offered = df.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+            "_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))
+        )
+        if share < 1.0:
+            offered = offered.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
+        offered = stage(offered, "tree-samples")
+        full = offered.groupBy("tree_id").count().filter(F.col("count") >= min(samples, n)).count()
+        if full == trees or share >= 1.0:
+            break
+        share *= 2
     rank = Window.partitionBy("tree_id").orderBy("_h", F.col(uid))
     # a stated number of partitions: AQE would put these few rows, and so all trees, into one task
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
     return offered.repartition(tasks, "tree_id").withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= samples)
 
 
-def fit_forest(
+def fit_and_score(
     train: DataFrame, features: list[str] | None = None, config: ForestConfig = ForestConfig(),
     uid: str = "event_uid",
-) -> Forest:
-    """Robust scaling, the trees, and the score offset, all fitted on ``train``."""
+) -> tuple[Forest, DataFrame]:
+    """The forest fitted on ``train``, and ``train`` with ``anom_score``, as a written table.
+
+    Scaling, trees and offset come from all rows. Every row goes through the trees once: the offset is a
+    quantile of the scores that are written.
+    """
     features = features or numeric_features(train)
-    rows = stage(coerce_features(train, features).select(uid, *features), "train")
+    rows = stage(coerce_features(train, features), "train")
     n = rows.count()
     if n == 0:
         raise ValueError("feature table is empty")
@@ -153,7 +160,7 @@ def fit_forest(
     samples = min(config.max_samples, n)
     depth_limit = math.ceil(math.log2(max(samples, 2)))
     seed = config.random_state
-    drawn = tree_samples(scaler.transform(rows), uid, config.n_estimators, samples, n, seed)
+    drawn = tree_samples(scaler.transform(rows.select(uid, *features)), uid, config.n_estimators, samples, n, seed)
 
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values("_rank", kind="stable")
@@ -161,10 +168,20 @@ def fit_forest(
 
     grown = drawn.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
     nodes = grown.toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
-    forest = Forest(features, scaler, nodes, samples, 0.0, config)
-    trained = rows.select((-isolation(forest)).alias("score_samples"))
-    offset = exact_quantiles(trained, ["score_samples"], [config.contamination]).collect()[0]["q0"]
-    return Forest(features, scaler, nodes, samples, offset, config)
+    bare = Forest(features, scaler, nodes, samples, 0.0, config)
+    scored = stage(rows.withColumn("anom_score", isolation(bare)), "scored")
+    trained = scored.select((-F.col("anom_score")).alias("score_samples"))
+    offset = exact_quantiles(trained, ["score_samples"], [config.contamination]).first()["q0"]
+    forest = Forest(features, scaler, nodes, samples, offset, config)
+    return forest, scored.withColumn("anom_score", F.col("anom_score") + F.lit(offset))
+
+
+def fit_forest(
+    train: DataFrame, features: list[str] | None = None, config: ForestConfig = ForestConfig(),
+    uid: str = "event_uid",
+) -> Forest:
+    """The forest of ``fit_and_score`` alone."""
+    return fit_and_score(train, features, config, uid)[0]
 
 
 def tree_arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
@@ -221,6 +238,8 @@ def isolation(forest: Forest) -> Column:
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
-    """Add ``anom_score``: larger is more anomalous, above 0 for about the contamination share."""
-    scored = coerce_features(df, forest.features).withColumn("_isolation", isolation(forest))
-    return scored.withColumn("anom_score", F.col("_isolation") + F.lit(forest.offset)).drop("_isolation")
+    """Add ``anom_score``: larger is more anomalous, above 0 for about the contamination share.
+
+    The scores are lazy: a table that is read more than once should be written first.
+    """
+    return coerce_features(df, forest.features).withColumn("anom_score", isolation(forest) + F.lit(forest.offset))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .quantiles import score_threshold
+from .quantiles import threshold
 
 MINUTE = 60_000_000
 
@@ -19,9 +19,10 @@ def select_alerts(
 ) -> DataFrame:
     """The ``top_n`` highest scores at or above the threshold, with the threshold attached.
 
-    ``top_n=None`` gives all rows at or above the threshold.
+    ``top_n=None`` gives all rows at or above the threshold. The threshold is one number, worked out
+    first; ``scores`` is read for it and again for the filter, so scores of a model should be a written table.
     """
-    limit = score_threshold(scores, score, method, contamination).select("threshold").scalar()
+    limit = F.lit(threshold(scores, score, method, contamination)).cast("double")
     over = scores.filter(F.col(score) >= limit).withColumn("threshold", limit)
     if top_n is None:
         return over
@@ -95,7 +96,10 @@ def last_rows(
 
 def rows_of_host(scores: DataFrame, host: str) -> DataFrame:
     """The rows of one host; a missing host is called ``unknown``."""
-    return scores.fillna("unknown", ["host_name", "user_name"]).filter(F.col("host_name") == host)
+    own = F.col("host_name") == host  # on the stored column, so that it reaches the scan
+    if host == "unknown":
+        own = own | F.col("host_name").isNull()
+    return scores.filter(own).fillna("unknown", ["host_name", "user_name"])
 
 
 def host_list(scores: DataFrame) -> DataFrame:

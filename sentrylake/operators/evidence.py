@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import ecs_names
-from ..sources.files import open_file
+from ..sources.files import empty_files, open_file
 
-IN_MEMORY = 256 * 1024 * 1024
 BLOCK = 8 * 1024 * 1024
+PART_DIGITS = 3
 
 
 def content_hashes(df: DataFrame, content: str) -> DataFrame:
@@ -22,23 +22,18 @@ def content_hashes(df: DataFrame, content: str) -> DataFrame:
     return df.withColumn("sha256", F.sha2(data, 256)).withColumn("size", F.length(data).cast("long"))
 
 
-def file_hashes(
-    spark: SparkSession, path: str, pattern: str = "*", in_memory: int = IN_MEMORY
-) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path``, ``sha256``, ``size`` of every file below a folder (partition folders included).
 
-    Files up to ``in_memory`` bytes are hashed as one value; larger ones are read in blocks
-    inside the task, so no file has to fit into memory. Spark's file sources leave out files of
-    zero bytes.
+    Files are read in blocks inside the tasks, so no file has to fit into memory. Spark's file sources
+    leave out files of zero bytes; these are listed apart.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
-    )
-    small = files.filter(F.col("length") <= in_memory).select(
-        "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")
+        .select("path", F.col("length").alias("size"))
     )
 
     def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,12 +47,9 @@ def file_hashes(
                 digests.append(digest.hexdigest())
             yield pd.DataFrame({"path": batch["path"], "sha256": digests, "size": batch["size"]})
 
-    large = (
-        files.filter(F.col("length") > in_memory)
-        .select("path", F.col("length").alias("size"))
-        .mapInPandas(in_blocks, "path string, sha256 string, size bigint")
-    )
-    return small.unionByName(large)
+    hashed = files.mapInPandas(in_blocks, "path string, sha256 string, size bigint")
+    empty = empty_files(spark, path, pattern).withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
+    return hashed.unionByName(empty)
 
 
 @dataclass(frozen=True)
@@ -92,17 +84,35 @@ def context_lines(context: DataFrame) -> DataFrame:
 
 
 def bundle_manifest(files: DataFrame) -> DataFrame:
-    """One row per alert and file: number of lines, bytes, and an order-free digest of the lines.
+    """One row per alert and file: number of lines, bytes, and the SHA-256 of its lines.
 
-    For bundle content before it is written. The digest adds up line hashes, so it is computed
-    map-side and a long context is never brought together; the hashes of the written files come from
-    ``file_hashes``.
+    For bundle content before it is written, where lines have no order yet: lines stand in the order of
+    their own SHA-256. Line hashes are dealt to parts by their first digits, each part is hashed
+    over its sorted line hashes, and the file over the hashes of its parts, so a long context is never brought
+    together. The hashes of the written files come from ``file_hashes``.
     """
-    piece = F.conv(F.substring(F.sha2("content", 256), 1, 8), 16, 10).cast("long")
-    return files.groupBy("alert_id", "file_name").agg(
-        F.count("*").alias("n_lines"),
-        F.sum(F.octet_length("content") + 1).cast("long").alias("size"),
-        F.sum(piece).alias("digest"),
+    line = F.sha2("content", 256)
+    parts = (
+        files.withColumn("_line", line)
+        .groupBy("alert_id", "file_name", F.substring("_line", 1, PART_DIGITS).alias("_part"))
+        .agg(
+            F.count("*").alias("_n"), F.sum(F.octet_length("content") + 1).alias("_size"),
+            F.sha2(F.array_join(F.sort_array(F.collect_list("_line")), ""), 256).alias("_digest"),
+        )
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("_part", "_digest")))  # 16 ** PART_DIGITS at most
+    return parts.groupBy("alert_id", "file_name").agg(
+        F.sum("_n").cast("long").alias("n_lines"),
+        F.sum("_size").cast("long").alias("size"),
+        F.sha2(F.array_join(F.transform(ordered, lambda p: p["_digest"]), ""), 256).alias("sha256"),
+    )
+
+
+def manifest_documents(manifest: DataFrame) -> DataFrame:
+    """The manifest of each alert as a file of its bundle: one JSON line per file."""
+    return manifest.select(
+        "alert_id", F.lit("manifest.json").alias("file_name"),
+        F.to_json(F.struct("file_name", "n_lines", "size", "sha256")).alias("content"),
     )
 
 

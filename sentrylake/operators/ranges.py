@@ -14,7 +14,8 @@ def running_total(df: DataFrame, group: list[str], order_by: list[str], weight:
     ``group`` and ``order_by`` together must be unique. Rows are range-partitioned by both, the
     partition number is written with them (range bounds are sampled, so a recomputation could draw
     others), each partition is summed on its own, and the totals per group and partition give the
-    offsets. Ranges follow the group order, so there are at most groups + partitions such totals.
+    offsets. Ranges follow the group order, so there are at most groups + partitions such totals; they are
+    written, so that the planner decides by their size how to join them.
     """
     ranged = stage(
         df.repartitionByRange(*group, *order_by).withColumn("_part", F.spark_partition_id()), "running-total"
@@ -33,7 +34,7 @@ def running_total(df: DataFrame, group: list[str], order_by: list[str], weight:
     inside = Window.partitionBy(*group, "_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), [*group, "_part"])
+        .join(stage(offsets, "running-total-offsets"), [*group, "_part"])
         .withColumn("before", F.col("_offset") + F.col("_inside"))
         .drop("_part", "_offset", "_inside")
     )

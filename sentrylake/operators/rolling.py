@@ -17,6 +17,7 @@ def rolling_counts(
     ts: str = "event_ts",
     dt: str = "dt",
     source: DataFrame | None = None,
+    chunk_minutes: int = 15,
 ) -> DataFrame:
     """Add ``<flag>_count_<w>m<suffix>``: sum of the flag over (t - w, t] per key.
 
@@ -26,22 +27,20 @@ def rolling_counts(
 
     A sliding RANGE frame would put a key into one task and re-add the whole frame on every row.
     Here each flagged time adds +f when it happens and -f when it leaves the window, so the count
-    is one running sum. The running sum is cut into time chunks (at least the longest window) by
-    carrying what is still open into the next chunk, so a hot key spreads over its chunks. Copies
-    of a time collapse in the map-side part of the aggregation before any shuffle, and the counts
-    return to the rows by an equi-join on key and time, which AQE splits if one time is hot.
+    is one running sum. It is cut into chunks of ``chunk_minutes``, whatever the windows are: times are
+    summed inside their chunk, and one row per key and chunk carries the sums of the chunks before, so
+    a hot key spreads over its chunks. Copies of a time collapse in the map-side part of the
+    aggregation before any shuffle, and the counts return to the rows by an equi-join on key and time,
+    which AQE splits if one time is hot.
     """
-    chunk = max(windows) * MINUTE
+    chunk = chunk_minutes * MINUTE
     scope = keys + ([dt] if reset_daily else [])
     us = F.unix_micros(F.col(ts))
 
-    def chunk_of(t: Column) -> Column:
-        return t - F.pmod(t, F.lit(chunk))
-
-    # steps of a time: 0 is its arrival, w its end in that window, -w its carry into the next chunk
-    arrival, flagged = F.array(F.lit(0)), F.array(F.lit(0), *[F.lit(s) for w in windows for s in (w, -w)])
+    # steps of a time: 0 is its arrival, w its end in that window
+    arrival, flagged = F.array(F.lit(0)), F.array(F.lit(0), *[F.lit(w) for w in windows])
     any_flag = F.greatest(*[F.abs(F.col(f)) for f in flags], F.lit(0)) > 0
-    step, end = F.col("step"), F.col("us") + F.abs("step").cast("long") * F.lit(MINUTE)
+    step = F.col("step")
     rows = df if source is None else source
     points = (
         rows.filter(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
@@ -49,31 +48,32 @@ def rolling_counts(
             *scope, us.alias("us"), *[F.coalesce(F.col(f), F.lit(0)).cast("long").alias(f) for f in flags]
         )
         .select("*", F.explode(F.when(any_flag, flagged).otherwise(arrival)).alias("step"))
-        .filter((step >= 0) | (chunk_of(end) > chunk_of(F.col("us"))))
-        .withColumn("t", F.when(step >= 0, end).otherwise(chunk_of(end)))
-        .withColumn("chunk", chunk_of(F.col("t")))
+        .withColumn("t", F.col("us") + step.cast("long") * F.lit(MINUTE))
+        .withColumn("chunk", F.col("t") - F.pmod("t", F.lit(chunk)))
     )
     if reset_daily:
         points = points.filter(F.to_date(F.timestamp_micros("t")) == F.col(dt))
 
     def change(flag: str, w: int) -> Column:
-        return F.when(step.isin(0, -w), F.col(flag)).when(step == w, -F.col(flag)).otherwise(F.lit(0))
+        return F.when(step == 0, F.col(flag)).when(step == w, -F.col(flag)).otherwise(F.lit(0))
 
-    names = {(f, w): f"{f}_count_{w}m{suffix}" for w in windows for f in flags}
+    names = [f"{f}_count_{w}m{suffix}" for w in windows for f in flags]
     changes = points.groupBy(*scope, "chunk", "t").agg(
         F.max(step == 0).alias("is_event"),
-        *[F.sum(change(f, w)).alias(name) for (f, w), name in names.items()],
+        *[F.sum(change(f, w)).alias(f"{f}_count_{w}m{suffix}") for w in windows for f in flags],
+    )
+    inside = Window.partitionBy(*scope, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*scope).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        changes.groupBy(*scope, "chunk").agg(*[F.sum(name).alias(name) for name in names])
+        .select(*scope, "chunk", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in names])
     )
-    upto = Window.partitionBy(*scope, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    running = changes.select(*scope, "chunk", "t", "is_event", *[F.sum(name).over(inside).alias(name) for name in names])
     counts = (
-        changes.select(
-            *scope, "t", "is_event",
-            *[F.sum(name).over(upto).cast("double").alias(name) for name in names.values()],
-        )
-        .filter("is_event")
-        .drop("is_event")
+        running.filter("is_event").join(carried, [*scope, "chunk"])
+        .select(*scope, "t", *[(F.col(name) + F.col(f"_{name}")).cast("double").alias(name) for name in names])
     )
-    return _attach(df, counts, scope, us, list(names.values()))
+    return _attach(df, counts, scope, us, names)
 
 
 def _attach(df: DataFrame, counts: DataFrame, scope: list[str], us: Column, names: list[str]) -> DataFrame:

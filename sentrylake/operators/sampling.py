@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PREFIX = 4  # hex digits: at most 65,536 histogram rows per group
+from ..session import stage
+
+DIGITS = 4  # hex digits looked at in one pass: at most 65,536 histogram rows per group
+WHOLE = 32  # hex digits of the hash
+EDGE = 1_000  # rows of the last prefix from which they are ranked one by one
 SPREAD = 64
 
 
@@ -19,42 +23,48 @@ def smallest_by_hash(
     """The ``k`` rows of smallest hash (per value of ``by``); all rows where there are fewer.
 
     Ranking a whole day would sort it in one task. Counting hash prefixes finds the prefix in
-    which the k-th row lies: rows below it are taken as they come, and only the rows of that one
-    prefix (a 65,536th) are ranked, first in parts so that copies of one id cannot pile up.
-    ``by`` must have few values (a day): its cut-offs are broadcast, one row per value.
+    which the k-th row lies; that prefix alone is counted again by longer ones until it holds few rows, or
+    copies of one id, which are ranked in parts. Rows below it are taken as they come. Each pass reads
+    the ids and writes one row per value of ``by``.
     """
-    group = [by] if by else []
-    hashed = df.withColumn("_hash", hash_order(uid, seed)).withColumn("_prefix", F.substring("_hash", 1, PREFIX))
-    histogram = hashed.groupBy(*group, "_prefix").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(by or F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        histogram.withColumn("_upto", F.sum("_n").over(upto))
-        .filter((F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k))
-        .select(
-            *group, F.col("_prefix").alias("_cut"), (F.lit(k) - F.col("_upto") + F.col("_n")).alias("_need")
+    hashed = df.withColumn("_hash", hash_order(uid, seed)).withColumn("_by", F.col(by) if by else F.lit(0))
+    cuts, digits = None, 0
+    while cuts is None or (digits < WHOLE and cuts.filter(F.col("_edge") > EDGE).limit(1).count()):
+        digits += DIGITS
+        rows = hashed.select("_by", "_hash")
+        if cuts is None:
+            rows = rows.withColumn("_need", F.lit(k).cast("long"))
+        else:
+            known = cuts.select(F.col("_by").alias("_of"), "_cut", "_need")
+            rows = rows.join(known, F.col("_by").eqNullSafe(F.col("_of"))).filter(F.startswith("_hash", "_cut"))
+        counted = rows.groupBy("_by", "_need", F.substring("_hash", 1, digits).alias("_prefix")).agg(F.count("*").alias("_n"))
+        upto = Window.partitionBy("_by").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+        found = counted.withColumn("_upto", F.sum("_n").over(upto)).filter(
+            (F.col("_upto") > F.col("_need")) & (F.col("_upto") - F.col("_n") <= F.col("_need"))
         )
-    )
-    if by:
-        marked = hashed.join(F.broadcast(cuts), by, "left")
-    else:
-        marked = hashed.withColumn("_cut", cuts.select("_cut").scalar()).withColumn(
-            "_need", cuts.select("_need").scalar()
+        cuts = stage(
+            found.select("_by", F.col("_prefix").alias("_cut"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"),
+                         F.col("_n").alias("_edge")),
+            "sample-cuts",
         )
-    below = marked.filter(F.col("_cut").isNull() | (F.col("_prefix") < F.col("_cut")))
-    edge = marked.filter(F.col("_prefix") == F.col("_cut")).withColumn(
+    known = cuts.withColumnRenamed("_by", "_of")
+    marked = hashed.join(known, F.col("_by").eqNullSafe(F.col("_of")), "left")
+    prefix = F.substring("_hash", 1, digits)
+    below = marked.filter(F.col("_cut").isNull() | (prefix < F.col("_cut")))
+    edge = marked.filter(prefix == F.col("_cut")).withColumn(
         "_part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
     )
-    for scope in ([*group, "_part"], group):
-        rank = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("_hash")
+    for scope in (["_by", "_part"], ["_by"]):
+        rank = Window.partitionBy(*scope).orderBy("_hash")
         edge = edge.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= F.col("_need"))
-    return below.unionByName(edge.select(*below.columns)).select(*df.columns)
+    return below.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
-def sample_per_day(df: DataFrame, k: int = 100_000, uid: str = "event_uid", seed: int = 42) -> DataFrame:
+def sample_per_day(df: DataFrame, k: int, uid: str = "event_uid", seed: int = 42) -> DataFrame:
     """At most ``k`` rows of every day."""
     return smallest_by_hash(df, k, uid, seed, by="dt")
 
 
-def capped(df: DataFrame, max_rows: int = 2_000_000, uid: str = "event_uid", seed: int = 42) -> DataFrame:
+def capped(df: DataFrame, max_rows: int, uid: str = "event_uid", seed: int = 42) -> DataFrame:
     """The table itself, or a sample of ``max_rows`` rows if it has more."""
     return smallest_by_hash(df, max_rows, uid, seed)

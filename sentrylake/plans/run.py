@@ -6,18 +6,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model.forest import Forest, ForestConfig, fit_forest, score
+from ..model.forest import Forest, ForestConfig, fit_and_score, fit_forest, score
 from ..model.shap import explain_by_shap
 from ..operators.alerts import alert_context, select_alerts
 from ..operators.evidence import (
-    Run, bundle_documents, context_lines, custody_records, file_hashes, run_records, write_bundle,
+    Run, bundle_documents, bundle_manifest, context_lines, custody_records, file_hashes, manifest_documents, run_records,
+    write_bundle,
 )
 from ..operators.explain import triage
 from ..operators.features import feature_table
+from ..operators.quantiles import exact_quantiles
 from ..operators.sampling import capped, sample_per_day
 from ..sources.flows import read_flows
 from ..sources.jsonl import SYSMON, WINDOWS_EVTX, ZEEK_CONN, read_json_source
 from ..sources.logs import read_logs
+from ..session import stage
 from ..sources.store import isolated, read_store, read_table, union_sources, write_days, write_store
 
 
@@ -33,11 +36,14 @@ class Settings:
     time_col: str | None = None
     recursive: bool = True
     compression: str = "zstd"
-    sample_per_day: int = 100_000
-    max_scores: int = 2_000_000
+    sample_per_day: int | None = None  # train on so many rows of a day; None: on all
+    max_scores: int | None = None  # also write a copy of the scores of at most so many rows
     threshold_method: str = "quantile"
     top_n: int = 10
     context_minutes: int = 5
+    high: float = 0.95
+    medium: float = 0.85
+    risk_by_rank: bool = True  # the cut-offs apply to the share of all scores below the alert's, not to the score
     forest: ForestConfig = field(default_factory=ForestConfig)
 
     def path(self, table: str) -> str:
@@ -64,41 +70,55 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, str]:
 
 
 def featurize(spark: SparkSession, settings: Settings) -> DataFrame:
-    """Features of all days, and the training sample."""
+    """Features of all days."""
     features = feature_table(read_store(spark, settings.path("ecs")))
     write_days(features, settings.path("features"), ["dt"], ["event_ts"])
-    table = spark.read.schema(features.schema).parquet(settings.path("features"))
-    sample = sample_per_day(table, settings.sample_per_day, seed=settings.forest.random_state)
-    sample.write.mode("overwrite").parquet(settings.path("features_sample"))
-    return table
+    return spark.read.schema(features.schema).parquet(settings.path("features"))
 
 
 def train(spark: SparkSession, settings: Settings) -> Forest:
-    forest = fit_forest(read_table(spark, settings.path("features_sample")), config=settings.forest)
+    """Fit on all rows of the feature table and write their scores; on a sample only where its size is set."""
+    table = read_table(spark, settings.path("features"))
+    if settings.sample_per_day is not None:
+        sample = sample_per_day(table, settings.sample_per_day, seed=settings.forest.random_state)
+        forest = fit_forest(sample, config=settings.forest)
+        scored = score(table, forest)
+    else:
+        forest, scored = fit_and_score(table, config=settings.forest)
     forest.save(spark, settings.path("model"))
+    _write_scores(spark, settings, scored)
     return forest
 
 
-def score_all(spark: SparkSession, settings: Settings) -> DataFrame:
-    """Scores of all days. The capped copy is for viewers; alerts use the full table."""
-    forest = Forest.load(spark, settings.path("model"))
-    scored = score(read_table(spark, settings.path("features")), forest)
+def _write_scores(spark: SparkSession, settings: Settings, scored: DataFrame) -> DataFrame:
     write_days(scored, settings.path("scores"), ["dt"], ["event_ts"])
     table = read_table(spark, settings.path("scores"))
-    capped(table, settings.max_scores, seed=settings.forest.random_state).write.mode("overwrite").parquet(
-        settings.path("scores_capped")
-    )
+    if settings.max_scores is not None:
+        few = capped(table, settings.max_scores, seed=settings.forest.random_state)
+        few.write.mode("overwrite").parquet(settings.path("scores_capped"))
     return table
 
 
+def score_all(spark: SparkSession, settings: Settings) -> DataFrame:
+    """Scores of all days by the stored forest, for days that came after the training."""
+    forest = Forest.load(spark, settings.path("model"))
+    return _write_scores(spark, settings, score(read_table(spark, settings.path("features")), forest))
+
+
 def alerts(spark: SparkSession, settings: Settings, created_at: str) -> DataFrame:
     """The top alerts with explanation and triage, written as a table."""
     forest = Forest.load(spark, settings.path("model"))
+    scores = read_table(spark, settings.path("scores"))
     chosen = select_alerts(
-        read_table(spark, settings.path("scores")), "anom_score", settings.top_n, settings.threshold_method,
-        settings.forest.contamination,
+        scores, "anom_score", settings.top_n, settings.threshold_method, settings.forest.contamination,
     )
-    triaged = triage(explain_by_shap(chosen, forest), created_at=created_at)
+    if settings.risk_by_rank:
+        cuts = {"high": settings.high, "medium": settings.medium}
+        limits = exact_quantiles(scores, ["anom_score"], list(cuts.values())).first()
+        cuts = {name: limits[f"q{i}"] for i, name in enumerate(cuts)}
+    else:
+        cuts = {"high": settings.high, "medium": settings.medium}
+    triaged = triage(explain_by_shap(chosen, forest), created_at=created_at, **cuts)
     triaged.withColumn("alert_id", F.concat_ws("-", F.lit("alert"), "event_uid")).write.mode("overwrite").parquet(
         settings.path("alerts")
     )
@@ -106,7 +126,7 @@ def alerts(spark: SparkSession, settings: Settings, created_at: str) -> DataFram
 
 
 def bundles(spark: SparkSession, settings: Settings, run: Run) -> str:
-    """Evidence of all alerts in one go: documents, context, file records, custody, manifest."""
+    """Evidence of all alerts in one go: documents, context, a manifest per alert, file records, custody."""
     out = settings.path("bundles")
     forest = Forest.load(spark, settings.path("model"))
     found = spark.read.parquet(settings.path("alerts"))
@@ -114,12 +134,12 @@ def bundles(spark: SparkSession, settings: Settings, run: Run) -> str:
         read_store(spark, settings.path("ecs")), found.select("alert_id", "event_ts"), settings.context_minutes
     )
     lines = context_lines(context).select("alert_id", F.lit("raw_logs.jsonl").alias("file_name"), "content")
-    inputs = file_hashes(spark, settings.path("ecs"), "*.parquet")
+    inputs = stage(file_hashes(spark, settings.path("ecs"), "*.parquet"), "input-hashes")  # read and hashed once
     documents = bundle_documents(found, forest.features, params=forest.params())
-    content = documents.unionByName(lines).unionByName(run_records(inputs, "evidence_manifest.json"))
-    write_bundle(content, out, mode="overwrite")
-    tables = [file_hashes(spark, settings.path(t), "*.parquet") for t in ("scores", "features_sample")]
-    sources = inputs.unionByName(tables[0]).unionByName(tables[1])
+    files = stage(documents.unionByName(lines), "bundle-files")
+    content = files.unionByName(manifest_documents(bundle_manifest(files)))
+    write_bundle(content.unionByName(run_records(inputs, "evidence_manifest.json")), out, mode="overwrite")
+    sources = inputs.unionByName(file_hashes(spark, settings.path("scores"), "*.parquet"))
     outputs = file_hashes(spark, out, "*.txt")
     write_bundle(run_records(custody_records(sources, outputs, run), "coc.json"), out)
     manifest = file_hashes(spark, out, "*.txt")
@@ -128,10 +148,9 @@ def bundles(spark: SparkSession, settings: Settings, run: Run) -> str:
 
 
 def run_all(spark: SparkSession, settings: Settings, run: Run) -> str:
-    """Ingest, features, training, scores, alerts, bundles."""
+    """Ingest, features, training with scores, alerts, bundles."""
     ingest(spark, settings)
     featurize(spark, settings)
     train(spark, settings)
-    score_all(spark, settings)
     alerts(spark, settings, run.created_at)
     return bundles(spark, settings, run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 from collections.abc import Iterator
 
@@ -37,8 +38,7 @@ def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = T
     return files.select("path", F.col("length").alias("size"))
 
 
-def open_file(uri: str) -> io.BufferedIOBase:
-    """Open a file on local disk, HDFS or an object store inside a task."""
+def _system_and_path(uri: str):
     from pyarrow import fs
 
     for alias in ("s3a://", "s3n://"):
@@ -46,7 +46,33 @@ def open_file(uri: str) -> io.BufferedIOBase:
             uri = "s3://" + uri[len(alias):]
     if uri.startswith("file:/"):
         uri = "file:///" + uri[len("file:"):].lstrip("/")
-    system, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path`` and ``size`` of the files of zero bytes below a folder, listed in a task; hidden ones are left out."""
+    uri = path if "://" in path or path.startswith("file:/") else f"file://{path}"
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for root in batch["path"]:
+                system, base = _system_and_path(root)
+                scheme = root.split(":", 1)[0] + (":" if root.startswith("file:") else "://")
+                for info in system.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
+                    hidden = any(part[:1] in "._" and "=" not in part for part in info.path[len(base):].split("/") if part)
+                    if info.is_file and not info.size and not hidden and fnmatch.fnmatch(info.base_name, pattern):
+                        found.append((f"{scheme}{info.path}", 0))
+            yield pd.DataFrame(found, columns=["path", "size"])
+
+    return spark.createDataFrame([(uri,)], "path string").mapInPandas(listed, "path string, size bigint")
+
+
+def open_file(uri: str) -> io.BufferedIOBase:
+    """Open a file on local disk, HDFS or an object store inside a task."""
+    system, path = _system_and_path(uri)
     return io.BufferedReader(system.open_input_stream(path))
 
 

@@ -8,16 +8,16 @@ from sentrylake.operators.evidence import (
 )
 
 
-def test_files_are_hashed_in_memory_and_in_blocks(spark, tmp_path):
-    contents = {"a.bin": b"x" * 10, "day=1/b.bin": b"y" * 5000, "day=2/c.bin": b"z"}
+def test_files_are_hashed(spark, tmp_path):
+    contents = {"a.bin": b"x" * 10, "day=1/b.bin": b"y" * 5000, "day=2/c.bin": b"z", "day=2/e.bin": b""}
     for name, data in contents.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     expected = {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in contents.items()}
-    for limit in (100, 1 << 20):
-        rows = file_hashes(spark, str(tmp_path), "*.bin", in_memory=limit).collect()
-        got = {r["path"].split(str(tmp_path) + "/")[1]: (r["sha256"], r["size"]) for r in rows}
-        assert got == expected
+    (tmp_path / "_hidden.bin").write_bytes(b"")
+    rows = file_hashes(spark, str(tmp_path), "*.bin").collect()
+    assert {r["path"].split(str(tmp_path) + "/")[1]: (r["sha256"], r["size"]) for r in rows} == expected
+    assert {r["path"].split("/")[0] for r in rows} == {"file:"}
 
 
 def test_content_hash_counts_bytes(spark):
@@ -53,7 +53,11 @@ def test_bundle_folders_and_manifest(spark, tmp_path):
     assert {(r["alert_id"], r["file_name"]): r["v"] for r in text.collect()} == {
         ("a1", "raw_logs.jsonl"): ["one", "two"], ("a1", "x.md"): ["m1", "m2"], ("a2", "x.md"): ["é"]}
     manifest = {(r["alert_id"], r["file_name"]): r for r in bundle_manifest(files.repartition(3)).collect()}
-    piece = sum(int(hashlib.sha256(t).hexdigest()[:8], 16) for t in (b"one", b"two"))
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    whole = digest("".join(digest(line) for line in sorted(map(digest, ("one", "two")))))
     row = manifest["a1", "raw_logs.jsonl"]
-    assert (row["n_lines"], row["size"], row["digest"]) == (2, 8, piece)
-    assert manifest["a2", "x.md"]["size"] == 3
+    assert (row["n_lines"], row["size"], row["sha256"]) == (2, 8, whole)
+    assert manifest["a2", "x.md"]["size"] == 3 and manifest["a2", "x.md"]["sha256"] == digest(digest(digest("é")))

@@ -40,9 +40,10 @@ def test_run_all(spark, settings):
     assert features.count() == scores.count() == 58
     assert features.agg(F.sum("login_failed"), F.sum("conn_suspicious")).first()[:] == (7, 4)
     assert 1 <= alerts.count() <= 3
+    assert {r["risk_level"] for r in alerts.collect()} == {"HIGH"}  # above 95 of 100 scores
     files = spark.read.text(out)
     names = {(r["alert_id"], r["file_name"]) for r in files.select("alert_id", "file_name").distinct().collect()}
-    per_alert = {"raw_logs.jsonl", "features.json", "shap_explanation.json", "model_meta.json", "ai_analysis.json", "ai_analysis.md"}
+    per_alert = {"raw_logs.jsonl", "features.json", "shap_explanation.json", "model_meta.json", "ai_analysis.json", "ai_analysis.md", "manifest.json"}
     expected = {(r["alert_id"], f) for r in alerts.collect() for f in per_alert}
     assert names == expected | {("run", "evidence_manifest.json"), ("run", "coc.json")}
     meta = json.loads(files.filter("file_name = 'model_meta.json'").first()["value"])

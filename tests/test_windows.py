@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +83,23 @@ def test_rolling_plan_has_no_single_partition_window(spark):
     plan = rolling_counts(frame(spark, random_rows(10, 1)), ["user_name"], FLAGS, [1, 5])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text and "CartesianProduct" not in text
-    assert text.count("Window [") == 1
+    assert text.count("Window [") == 2  # times within a chunk, and one row per chunk
+
+
+def test_long_windows_keep_short_chunks(spark):
+    """One key, an event a minute for two days and a window of a day: no window group outgrows its chunk."""
+    start = 1_735_689_600
+    rows = [(i, dt.datetime.fromtimestamp(start + 60 * i, dt.timezone.utc), "u", int(i % 3 == 0)) for i in range(2880)]
+    df = spark.createDataFrame(rows, "event_uid int, event_ts timestamp, user_name string, login_failed int")
+    df = df.withColumn("dt", F.to_date("event_ts"))
+    counted = rolling_counts(df, ["user_name"], ["login_failed"], [1440], reset_daily=False)
+    got = {r["event_uid"]: r["login_failed_count_1440m"] for r in counted.collect()}
+    flags = [f for *_, f in rows]
+    assert got == {i: float(sum(flags[max(0, i - 1439) : i + 1])) for i in range(2880)}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[(\w+)", plan)
+    assert {order for _, order in groups} == {"t", "chunk"}
+    assert all("chunk" in keys for keys, order in groups if order == "t")
 
 
 def brute_sessions(rows, timeout, daily):
