@@ -36,7 +36,8 @@ from .lexicon import Lexicon, compile_lexicon
 from .quality_rules import bucket
 
 NEVER = 1 << 60  # the rank of a pair that is never joined
-TOGETHER = 4 << 20  # code points of texts that are encoded together
+TOGETHER = 16 << 20  # code points of texts that are encoded together
+MARKS = frozenset(".,;:!?")
 
 # Unicode white space; Python's own notion of it has the separators 0x1C to 0x1F besides.
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -142,49 +143,72 @@ class Encoder:
             return [word for word in _SPACE.split(text) if word]
         return text.split()
 
-    def ids_of_words(self, words: Sequence[str | int]) -> list[Sequence[int]]:
-        """Ids of each of the (different) words."""
-        split = {w: self.pieces.findall(w) for w in words if isinstance(w, str) and not w.isalpha()}
-        pieces = list(dict.fromkeys(chain(
-            chain.from_iterable(split.values()), (w for w in words if isinstance(w, str) and w not in split)
-        )))
-        ranks = self.lexicon.ranks([p.encode("utf-8") for p in pieces]).tolist() if self.lexicon else [-1] * len(pieces)
-        known: dict[str | int, Sequence[int]] = {
-            p: self.lexicon.ids_of(r) if r >= 0 else self.merged(p) for p, r in zip(pieces, ranks)
-        }
-        joined = {w: [i for p in own for i in known[p]] for w, own in split.items()}
-        return list(map({**known, **joined, **{n: (n,) for n in self.vocabulary.special.values()}}.__getitem__, words))
+    def pieces_of(self, word: str | int) -> list[str | int]:
+        """What the word is cut into: itself, or letters and one mark, or what the pattern says."""
+        if isinstance(word, int) or word.isalpha():
+            return [word]
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pieces.findall(word)
+
+    def ids_of_pieces(self, pieces: Sequence[str | int]) -> "Ragged":
+        """Ids of the (different) pieces: a place in the lexicon, or merged and put behind it."""
+        listed = np.zeros(0, np.int32), np.zeros(1, np.int32)
+        ranks = np.full(len(pieces), -1)
+        if self.lexicon:
+            listed = self.lexicon.ids, self.lexicon.offsets
+            ranks = self.lexicon.ranks([b"" if isinstance(p, int) else p.encode("utf-8") for p in pieces])
+        known = ranks >= 0
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[known] = listed[1][ranks[known]]
+        sizes[known] = listed[1][ranks[known] + 1] - starts[known]
+        merged = [[p] if isinstance(p, int) else self.merged(p) for p in map(pieces.__getitem__, np.flatnonzero(~known).tolist())]
+        lengths = np.fromiter(map(len, merged), np.int64, len(merged))
+        starts[~known], sizes[~known] = len(listed[0]) + np.cumsum(lengths) - lengths, lengths
+        more = np.fromiter(chain.from_iterable(merged), np.int32, int(lengths.sum()))
+        return Ragged(np.concatenate([listed[0], more]), starts, sizes)
 
     def encode(self, texts: Sequence[str]) -> pa.ListArray:
-        """Ids of every text. Each different word of some hundred texts is worked out once."""
-        parts, chosen, size = [], [], 0
+        """Ids of every text. Each different word and piece of the texts is worked out once."""
+        numbers: dict[str | int, int] = {}
+        coded = []
         for text in texts:
-            chosen.append(text)
-            size += len(text)
-            if size >= TOGETHER:
-                parts.append(self._encode(chosen))
-                chosen, size = [], 0
-        return pa.concat_arrays([*parts, self._encode(chosen)])
-
-    def _encode(self, texts: Sequence[str]) -> pa.ListArray:
-        words = [self.words(t) for t in texts]
-        different = list(dict.fromkeys(chain.from_iterable(words)))
-        number = {w: i for i, w in enumerate(different)}.__getitem__
-        coded = [np.fromiter(map(number, own), np.int32, len(own)) for own in words]
-        del words, number
-        own = self.ids_of_words(different)
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(chain.from_iterable(own), np.int32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
+            words = self.words(text)
+            for word in set(words).difference(numbers):
+                numbers[word] = len(numbers)
+            coded.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        places: dict[str | int, int] = {}
+        cut: list[int] = []
+        sizes = np.zeros(len(numbers), np.int64)
+        for at, word in enumerate(numbers):
+            own = self.pieces_of(word)
+            sizes[at] = len(own)
+            cut += [places.setdefault(piece, len(places)) for piece in own]
+        del numbers
+        words = Ragged(np.array(cut, np.int64), np.cumsum(sizes) - sizes, sizes)
+        pieces = self.ids_of_pieces(list(places))
         lists, ends = [np.zeros(0, np.int32)], [0]
         for codes in coded:
-            sizes = lengths[codes]
-            inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            lists.append(flat[np.repeat(starts[codes], sizes) + inside])
+            lists.append(pieces.joined(words.joined(codes)))
             ends.append(ends[-1] + len(lists[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
 
 
+@dataclass
+class Ragged:
+    """Runs of values in one array."""
+
+    values: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def joined(self, chosen: np.ndarray) -> np.ndarray:
+        """The runs chosen, one after the other."""
+        sizes = self.sizes[chosen]
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.values[np.repeat(self.starts[chosen], sizes) + inside]
+
+
 def frequent_words(documents: DataFrame, size: int) -> list[str]:
     """The most frequent runs of letters of the whole corpus, in lower case: ``size`` or somewhat fewer.
 
@@ -223,7 +247,14 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes, text: s
         if name not in _encoders:
             _encoders.clear()
             _encoders[name] = Encoder(shared.value[0], Lexicon.mapped(shared.value[1]))
-        return _encoders[name].encode([t or "" for t in texts.to_pylist()])
+        lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts, start = [], 0
+        while start < len(texts):
+            done = lengths[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(lengths, done + TOGETHER, side="right")))
+            parts.append(_encoders[name].encode([t or "" for t in texts.slice(start, stop - start).to_pylist()]))
+            start = stop
+        return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.int32()))])
 
     return documents.withColumn(ids, encoded(F.col(text)))
 
