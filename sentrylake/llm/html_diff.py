@@ -148,7 +148,8 @@ def extract(pages: DataFrame) -> DataFrame:
     order = [F.col("host"), F.col("path"), F.col("_page"), F.col("_key")]
     site = stage(with_neighbours(rows, order, _differenced, "_page bigint, _key bigint, site array<int>", name="pages"), "site")
     same = F.col("page_id").cast("bigint").eqNullSafe(F.col("_page")) & (key == F.col("_key"))
-    joined = pages.select("page_id", "url", "html").join(site, same, "left")
+    # a shuffled join at every size: the site lines grow with the pages
+    joined = pages.select("page_id", "url", "html").join(site.hint("merge"), same, "left")
     text = joined.select("page_id", "url", text_without("html", "site").alias("_t"), F.size("site").alias("n_shared"))
     return text.select(
         "page_id", "url", F.col("_t.text").alias("text"), F.length("_t.text").cast("long").alias("n_chars"),
