@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import first_ipv4
 from ..session import new_folder
-from ..sources.flows import normalize_flows
-from ..sources.jsonl import SYSMON, WINDOWS_EVTX, ZEEK_CONN, JsonSource, map_records, parse_json_lines
-from ..sources.lines import lines_in_range, lines_of_date, lines_with_keyword
-from ..sources.logs import parse_log_lines
-from ..sources.store import available_days, read_store, union_sources, write_store
+from ..sources.files import text_lines
+from ..sources.flows import normalize_flows, read_flows
+from ..sources.jsonl import SYSMON, WINDOWS_EVTX, ZEEK_CONN, JsonSource, map_records, parse_json_lines, read_json_source
+from ..sources.lines import lines_in_range, lines_of_date, lines_with_keyword, write_lines
+from ..sources.logs import parse_log_lines, read_logs
+from ..sources.store import available_days, read_store, union_sources, with_event_uid, write_store
 from .views import EVENTS_SQL, day_sql, events, report, table, ts_sql
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -52,7 +53,15 @@ def _zeek_lines(v0: DataFrame) -> DataFrame:
     literal = F.struct(*same, *[F.col(c).alias(f"id.{key}") for key, c in ends.items()])
     nested = F.struct(*same, F.struct(*[F.col(c).alias(key) for key, c in ends.items()]).alias("id"))
     line = F.when(F.col("event_uid") % 2 == 0, F.to_json(literal)).otherwise(F.to_json(nested))
-    return v0.select("*", line.alias("value"))
+    # a quarter of the records each: ISO, seconds since 1970 as a number, slashes, and no marks at all
+    quarter, micros = F.floor(F.col("event_uid") / 2) % 4, F.unix_micros("event_ts")
+    seconds = F.concat_ws(".", F.floor(micros / 1_000_000).cast("string"), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+    time = (
+        F.when(quarter == 1, seconds).when(quarter == 2, F.date_format("event_ts", "'\"'yyyy/MM/dd HH:mm:ss.SSSSSS'\"'"))
+        .when(quarter == 3, F.date_format("event_ts", "'\"'yyyyMMdd'T'HHmmss.SSSSSS'Z\"'"))
+        .otherwise(F.concat(F.lit('"'), _iso(), F.lit('"')))
+    )
+    return v0.select("*", F.regexp_replace(line, F.lit('"ts":"[^"]*"'), F.concat(F.lit('"ts":'), time)).alias("value"))
 
 
 def _nullable(df: DataFrame) -> DataFrame:
@@ -107,25 +116,32 @@ FROM v0"""
 
 
 def jsonl_malformed_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every ten lines one is cut off, one blank, one has text after it, one a bad time, one is a scalar."""
+    """Of every ten lines one is cut off, one blank, one has text or members after it, one a bad time, one is a scalar."""
     digit = F.col("event_uid") % 10
     value = F.col("value")
+    after = (
+        F.when(F.col("event_uid") % 4 == 0, F.lit(" trailing"))
+        .when(F.col("event_uid") % 3 == 0, F.lit(',"x":5'))
+        .otherwise(F.concat(F.lit(',"record":'), value))
+    )
     broken = (
         F.when(digit == 0, F.expr("left(value, length(value) div 2)"))
         .when(digit == 1, F.lit("   "))
-        .when(digit == 2, F.concat(value, F.lit(" trailing")))
+        .when(digit == 2, F.concat(value, after))
         .when(digit == 3, F.regexp_replace(value, '"@timestamp":"[^"]*"', '"@timestamp":"yesterday"'))
         .when(digit == 4, F.lit("5"))
         .otherwise(F.concat(F.lit("  "), value, F.lit(" ")))
     )
     lines = _windows_lines(events(spark, sf_dir)).withColumn("value", broken)
-    rows = _mapped(lines, WINDOWS_EVTX).groupBy(F.to_date("event_ts").alias("dt"))
-    return report(rows.agg(F.count("*").alias("n_rows")))
+    return report(
+        _mapped(lines, WINDOWS_EVTX).select("event_ts", "host_name", "user_name", "event_code", "process_command_line")
+    )
 
 
 JSONL_MALFORMED_SKIP = f"""
 WITH {EVENTS_SQL}
-SELECT {day_sql()} AS dt, count(*) AS n_rows FROM v0 WHERE event_uid % 10 > 4 GROUP BY dt"""
+SELECT {ts_sql('event_ts')} AS event_ts, host_name, user_name, event_code, process_command_line
+FROM v0 WHERE event_uid % 10 > 4"""
 
 
 def syslog_auth_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,22 +178,33 @@ SELECT {ts_sql("date_trunc('second', event_ts)")} AS event_ts, host_name, 'sshd[
 FROM v0"""
 
 
-def cbs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cbs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("k") < 50, "Info").otherwise("Warning")
     component = F.when(F.col("k") % 3 == 0, "CBS").when(F.col("k") % 3 == 1, "CSI").otherwise("DISM")
     message = F.when(F.col("event_outcome") == "Failure", F.concat(F.lit("Failed to reach "), "source_ip")).when(
         F.col("event_outcome") == "S0", F.lit("Error 0x1")
     ).otherwise(F.concat(F.lit("failed lower case, session "), F.col("event_uid").cast("string")))
     stamp = F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss")
-    lines = events(spark, sf_dir).select(
+    return events(spark, sf_dir).select(
         F.concat(stamp, F.lit(", "), F.rpad(level, 22, " "), component, F.lit("    "), message).alias("value")
     )
-    return report(
-        parse_log_lines(lines, default_year=2024, host="node1").select(
-            "event_ts", "host_name", "process_name", "event_module", "event_dataset", "event_action",
-            "event_outcome", "message", "source_ip",
-        )
-    )
+
+
+_CBS_COLUMNS = [
+    "event_ts", "host_name", "process_name", "event_module", "event_dataset", "event_action", "event_outcome", "message", "source_ip",
+]
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Servicing lines written as ``.log`` folders of text files and read back by the log reader."""
+    path = new_folder(spark, "logs")
+    _cbs_lines(spark, sf_dir).write.text(f"{path}/node1.log")
+    return report(read_logs(spark, f"{path}/node1.log", 2024, host="node1", pattern="*.txt").select(*_CBS_COLUMNS))
+
+
+def cbs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _cbs_lines(spark, sf_dir)
+    return report(parse_log_lines(lines, default_year=2024, host="node1").select(*_CBS_COLUMNS))
 
 
 CBS_PARSE = f"""
@@ -204,13 +231,16 @@ SELECT doc_id, ip FROM (
 WHERE ip <> ''"""
 
 
-def csv_flow_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as a CSV flow file: free header names, all columns text, two time layouts."""
+def _flow_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as CSV flow records: free column names, all text, six time layouts."""
     item = table(spark, sf_dir, "lineitem")
-    even = F.col("l_orderkey") % 2 == 0
-    flows = item.select(
-        F.when(F.col("l_linenumber") == 6, "n/a").when(even, F.date_format("l_shipdate", "dd/MM/yyyy H:mm"))
-        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias(" Timestamp"),
+    even, kind = F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 6
+    time = F.when(F.col("l_linenumber") == 6, "n/a")
+    for number, layout in enumerate(FLOW_TIMES):
+        text = F.upper(F.date_format("l_shipdate", layout)) if layout else F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")
+        time = time.when(kind == number, text)
+    return item.select(
+        time.alias(" Timestamp"),
         F.concat(F.lit("10.1.0."), (F.col("l_suppkey") % 250).cast("string")).alias("Src IP"),
         F.concat(F.lit("10.2.0."), (F.col("l_partkey") % 250).cast("string")).alias("Dst IP"),
         F.concat((F.col("l_partkey") % 60000).cast("string"), F.lit(".0")).alias("Src Port"),
@@ -220,12 +250,29 @@ def csv_flow_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("string").alias("Tot Fwd Bytes"),
         F.when(even, F.col("l_linenumber").cast("string")).otherwise("?").alias("Tot Bwd Bytes"),
     )
-    return report(
-        _nullable(normalize_flows(flows)).select(
-            "event_ts", "event_dataset", "event_action", "host_name", "source_ip", "destination_ip", "source_port",
-            "destination_port", "network_transport", "network_bytes",
-        )
-    )
+
+
+FLOW_TIMES = ["dd/MM/yyyy H:mm", "yyyy-MM-dd HH:mm:ss", "d-MMM-yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "d/M/yy H:mm", None]
+FLOW_COLUMNS = [
+    "event_ts", "event_dataset", "event_action", "host_name", "source_ip", "destination_ip", "source_port",
+    "destination_port", "network_transport", "network_bytes",
+]
+
+
+def csv_flow_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = normalize_flows(_flow_cells(spark, sf_dir), time_unit="s")
+    return report(_nullable(flows).select(*FLOW_COLUMNS))
+
+
+def csv_flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records written as CSV files of two headers, with one that has no time, and read back."""
+    cells, path = _flow_cells(spark, sf_dir), new_folder(spark, "csv")
+    even = F.col("Protocol") == "TCP"
+    cells.filter(even).write.option("header", True).csv(f"{path}/a")
+    turned = cells.filter(~even).select(*reversed(cells.columns)).withColumnsRenamed({"Src IP": "srcip", " Timestamp": "start time"})
+    turned.write.option("header", True).csv(f"{path}/b/c")
+    cells.select("Label", "Protocol").write.option("header", True).csv(f"{path}/no-time")
+    return report(_nullable(read_flows(spark, path, time_unit="s")).select(*FLOW_COLUMNS))
 
 
 CSV_FLOW_NORMALIZE = f"""
@@ -240,6 +287,27 @@ SELECT {ts_sql("CASE WHEN l_orderkey % 2 = 0 THEN date_trunc('minute', l_shipdat
 FROM lineitem WHERE l_linenumber <> 6"""
 
 
+def json_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the three JSON sources written as files and read back."""
+    v0, path = events(spark, sf_dir), new_folder(spark, "json")
+    made = {WINDOWS_EVTX: _windows_lines, SYSMON: _sysmon_lines, ZEEK_CONN: _zeek_lines}
+    frames = {}
+    for source, lines in made.items():
+        lines(v0).select("value").write.text(f"{path}/{source.file_name}")
+        frames[source.name] = read_json_source(spark, f"{path}/{source.file_name}", source)
+    return report(
+        _nullable(union_sources(frames)).select("source", "dt", "event_ts", "event_module", "source_ip", "destination_ip", "destination_port")
+    )
+
+
+JSON_SOURCE_FILES = f"""
+WITH {EVENTS_SQL}
+SELECT source, {day_sql()} AS dt, {ts_sql('event_ts')} AS event_ts, split_part(source, '_', 1) AS event_module, source_ip,
+  CASE WHEN source <> 'windows_evtx' THEN destination_ip END AS destination_ip,
+  CASE WHEN source <> 'windows_evtx' THEN CAST(destination_port AS DOUBLE) END AS destination_port
+FROM v0, (VALUES ('windows_evtx'), ('sysmon'), ('zeek_conn')) AS s(source)"""
+
+
 def _three_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, item = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return union_sources(
@@ -303,6 +371,46 @@ SELECT CASE WHEN event_code = '4625' THEN 'windows_evtx' ELSE 'zeek_conn' END AS
   count(*) AS n_rows FROM v0 GROUP BY ALL"""
 
 
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed logons written to the store, then all events appended; counted by source and day."""
+    v0, path = events(spark, sf_dir), new_folder(spark, "store")
+    write_store(union_sources({"windows_evtx": v0.filter(F.col("event_code") == "4625")}), path)
+    write_store(union_sources({"windows_evtx": v0, "zeek_conn": v0}), path, mode="append")
+    return report(available_days(read_store(spark, path)))
+
+
+STORE_APPEND = f"""
+WITH {EVENTS_SQL}
+SELECT source, {day_sql()} AS dt,
+  count(*) + CASE WHEN source = 'windows_evtx' THEN count(*) FILTER (event_code = '4625') ELSE 0 END AS n_rows
+FROM v0, (VALUES ('windows_evtx'), ('zeek_conn')) AS s(source) GROUP BY source, dt"""
+
+
+def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of events of which many are exact copies: how many ids, rows and copy numbers there are per host."""
+    v0 = events(spark, sf_dir).select(F.date_trunc("hour", "event_ts").alias("event_ts"), "host_name")
+    made = with_event_uid(union_sources({"events": v0}))
+    number = F.split_part("event_uid", F.lit("-"), F.lit(2)).cast("bigint")
+    return report(
+        made.groupBy("host_name").agg(
+            F.count("*").alias("n_rows"), F.count_distinct("event_uid").alias("n_ids"), F.sum(number).cast("bigint").alias("numbers")
+        )
+    )
+
+
+EVENT_IDS = f"""
+WITH {EVENTS_SQL}, c AS (SELECT host_name, date_trunc('hour', event_ts) AS h, count(*) AS n FROM v0 GROUP BY ALL)
+SELECT host_name, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_ids, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS numbers
+FROM c GROUP BY host_name"""
+
+
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a keyword written below a folder and read back."""
+    found = lines_with_keyword(_log_lines(spark, sf_dir), "ERROR")
+    path = write_lines(found, new_folder(spark, "lines"), "error lines.log")
+    return report(text_lines(spark, path).select("value"))
+
+
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -317,6 +425,7 @@ def line_filter_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(lines_of_date(_log_lines(spark, sf_dir), "2024-01-05"))
 
 
+LINE_FILES = f"WITH {_LOG_LINES_SQL} SELECT value FROM lines WHERE contains(lower(value), 'error')"
 LINE_FILTER_DATE = f"WITH {_LOG_LINES_SQL} SELECT event_id, value FROM lines WHERE starts_with(value, '2024-01-05')"
 
 
@@ -346,6 +455,12 @@ QUERIES = {
     "cbs_parse": (cbs_parse, CBS_PARSE),
     "extract_ipv4": (extract_ipv4, EXTRACT_IPV4),
     "csv_flow_normalize": (csv_flow_normalize, CSV_FLOW_NORMALIZE),
+    "csv_flow_files": (csv_flow_files, CSV_FLOW_NORMALIZE),
+    "json_source_files": (json_source_files, JSON_SOURCE_FILES),
+    "log_files": (log_files, CBS_PARSE),
+    "store_append": (store_append, STORE_APPEND),
+    "event_ids": (event_ids, EVENT_IDS),
+    "line_files": (line_files, LINE_FILES),
     "source_union": (source_union, SOURCE_UNION),
     "daily_partition_counts": (daily_partition_counts, DAILY_PARTITION_COUNTS),
     "line_filter_date": (line_filter_date, LINE_FILTER_DATE),

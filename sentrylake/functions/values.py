@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# day, separator, month, year, and optionally hour, minute, second, AM/PM
+# day, separator, month, year of four or two digits, and optionally hour, minute, second, AM/PM
 DAY_FIRST = (
-    r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*([AaPp][Mm])?)?$"
+    r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*([AaPp][Mm])?)?$"
 )
+NAMED_MONTH = r"^(\d{1,2})[-/ ]([A-Za-z]{3})[A-Za-z]*[-/ ](\d{4}|\d{2})\b"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2}(?:\.\d+)?)(Z|[+-]\d{2}:?\d{2})?$"
+MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+UNITS = {"s": 1e6, "ms": 1e3, "us": 1.0, "ns": 1e-3}  # microseconds
+CENTURY = 69  # two-digit years from here on are of the 1900s
 
 
 def number(value: Column) -> Column:
@@ -20,29 +25,48 @@ def integer(value: Column) -> Column:
     return number(value).try_cast("int")
 
 
-def utc_time(value: Column) -> Column:
-    """ISO-like text to a UTC timestamp. Only texts that start with a year count."""
-    text = value.cast("string")
-    return F.when(text.rlike(r"^\s*\d{4}-"), text.try_cast("timestamp"))
+def utc_time(value: Column, unit: str | None = None) -> Column:
+    """ISO text (dates also with slashes, or without any marks) to a UTC timestamp.
+
+    A bare number is a time only where its source says in which ``unit`` it counts from 1970 (s, ms, us or ns):
+    the size of a number does not tell.
+    """
+    text = F.trim(value.cast("string"))
+    iso = F.when(text.rlike(r"^\d{4}-"), text).when(
+        text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}\b"), F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/", "$1-$2-")
+    ).when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3T$4:$5:$6$7"))
+    time = iso.try_cast("timestamp")
+    if unit is None:
+        return time
+    micros = F.round(number(text) * F.lit(UNITS[unit])).try_cast("bigint")
+    return F.coalesce(time, F.when(text.rlike(r"^-?\d+(\.\d*)?([eE][+-]?\d+)?$"), F.timestamp_micros(micros)))
 
 
-def day_first_time(value: Column) -> Column:
+def day_first_time(value: Column, unit: str | None = None) -> Column:
     """As ``utc_time``; all other texts are read day-first, or month-first if there is no such month.
 
     One pattern splits all layouts into their parts, which are put together in ISO order: trying
-    layouts one after the other would raise and catch an error for each that does not fit.
+    layouts one after the other would raise and catch an error for each that does not fit. Month names
+    are put as numbers first.
     """
     text = F.trim(value.cast("string"))
+    name = F.regexp_extract(text, NAMED_MONTH, 2)
+    month = F.floor((F.instr(F.lit(MONTHS), F.upper(name)) + 2) / 3).cast("string")
+    text = F.when(name == "", text).otherwise(
+        F.regexp_replace(text, F.lit(NAMED_MONTH), F.concat(F.lit("$1/"), month, F.lit("/$3")))
+    )
     groups = "\n".join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8))
     parts = F.split(F.regexp_replace(text, DAY_FIRST, groups), "\n")
 
     def put_together(part: Column) -> Column:
         month_first = part[1].try_cast("int") > 12
+        short = part[2].try_cast("int")
+        year = F.when(F.length(part[2]) == 2, (short + F.when(short < CENTURY, 2000).otherwise(1900)).cast("string")).otherwise(part[2])
         hour, half = part[3], F.lower(part[6])
         hour = F.when(half == "", F.when(hour == "", "0").otherwise(hour)).otherwise(
             hour.try_cast("int") % 12 + F.when(half == "pm", 12).otherwise(0)
         )
-        day = [part[2], F.when(month_first, part[0]).otherwise(part[1]), F.when(month_first, part[1]).otherwise(part[0])]
+        day = [year, F.when(month_first, part[0]).otherwise(part[1]), F.when(month_first, part[1]).otherwise(part[0])]
         clock = [hour, F.when(part[4] == "", "0").otherwise(part[4]), F.when(part[5] == "", "0").otherwise(part[5])]
         return F.when(
             F.size(part) == 7, F.concat_ws(" ", F.concat_ws("-", *day), F.concat_ws(":", *clock)).try_cast("timestamp")
@@ -50,7 +74,7 @@ def day_first_time(value: Column) -> Column:
 
     # the one-element transform names the parts, so that they are split only once
     other = F.transform(F.array(parts), put_together)[0]
-    return F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")).otherwise(other)
+    return F.coalesce(utc_time(value, unit), other)
 
 
 def syslog_time(month: Column, day: Column, clock: Column, year: int, tz: str = "UTC") -> Column:

@@ -17,10 +17,10 @@ from ..operators.explain import triage
 from ..operators.features import feature_table
 from ..operators.quantiles import exact_quantiles
 from ..operators.sampling import capped, sample_per_day
-from ..sources.flows import read_flows
+from ..session import stage
+from ..sources.flows import flow_files, read_flows, skipped_files
 from ..sources.jsonl import SYSMON, WINDOWS_EVTX, ZEEK_CONN, read_json_source
 from ..sources.logs import read_logs
-from ..session import stage
 from ..sources.store import isolated, read_store, read_table, union_sources, write_days, write_store
 
 
@@ -34,6 +34,8 @@ class Settings:
     tz: str = "UTC"
     host: str | None = None
     time_col: str | None = None
+    time_unit: str | None = None  # of bare numbers in the time column of CSV files
+    quoted_newlines: bool = False
     recursive: bool = True
     compression: str = "zstd"
     sample_per_day: int | None = None  # train on so many rows of a day; None: on all
@@ -51,14 +53,21 @@ class Settings:
 
 
 def ingest(spark: SparkSession, settings: Settings) -> dict[str, str]:
-    """Read every source into the store, replacing the days that occur; returns failed sources."""
+    """Read every source into the store, replacing the days that occur; returns failed sources.
+
+    Files that give no events are listed in the table ``skipped``.
+    """
     raw = settings.raw.rstrip("/")
     readers = {
         source.name: lambda source=source: read_json_source(spark, f"{raw}/{source.file_name}", source)
         for source in (WINDOWS_EVTX, SYSMON, ZEEK_CONN)
     }
     readers["syslog_auth"] = lambda: read_logs(spark, raw, settings.default_year, settings.tz, settings.host)
-    readers["custom_csv"] = lambda: read_flows(spark, raw, settings.time_col, settings.recursive)
+    files = stage(flow_files(spark, raw, settings.time_col, settings.recursive), "flow-files")
+    skipped_files(files).write.mode("overwrite").parquet(settings.path("skipped"))
+    readers["custom_csv"] = lambda: read_flows(
+        spark, raw, time_unit=settings.time_unit, recursive=settings.recursive, quoted_newlines=settings.quoted_newlines, files=files
+    )
     frames, failures = isolated(readers)
     for name, frame in frames.items():
         # one write per source: a source that fails at run time leaves the others in place

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.files import system_and_path
+
 # Time zone and skew handling. All are runtime settings, so they also apply to a session made elsewhere.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,15 +41,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor sees, taken from ``spark.checkpoint.dir``.
 
-    Where the setting is missing a temporary folder is made, but only for a local
-    master: a machine-local folder on a cluster would lose the stage tables.
+    A cluster must name it. With a local master, where all tasks share one disk, a temporary folder is
+    set where there is none, and removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="sentrylake-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -69,7 +75,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Remove the stage tables of this application."""
-    app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sentrylake/{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = system_and_path(f"{shared_folder(spark)}/sentrylake/{spark.sparkContext.applicationId}")
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_dir(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -27,26 +28,28 @@ def text_lines(
 
 
 def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """``path`` and ``size`` of the files below a folder. Contents are not read."""
+    """``path``, ``file_path`` (as the readers' metadata have it) and ``size`` of the files below a folder, unread."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     try:
         files = reader.option("recursiveFileLookup", recursive).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "path string, size bigint")
-    return files.select("path", F.col("length").alias("size"))
+        return spark.createDataFrame([], "path string, file_path string, size bigint")
+    return files.select("path", F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("size"))
 
 
-def _system_and_path(uri: str):
+def system_and_path(uri: str):
+    """File system and path of an address: local disk, HDFS or an object store."""
     from pyarrow import fs
 
     for alias in ("s3a://", "s3n://"):
         if uri.startswith(alias):
             uri = "s3://" + uri[len(alias):]
-    if uri.startswith("file:/"):
-        uri = "file:///" + uri[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    if uri.startswith("file:/") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
 
 
 def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -59,7 +62,7 @@ def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
         for batch in batches:
             found = []
             for root in batch["path"]:
-                system, base = _system_and_path(root)
+                system, base = system_and_path(root)
                 scheme = root.split(":", 1)[0] + (":" if root.startswith("file:") else "://")
                 for info in system.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
                     hidden = any(part[:1] in "._" and "=" not in part for part in info.path[len(base):].split("/") if part)
@@ -72,23 +75,14 @@ def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 def open_file(uri: str) -> io.BufferedIOBase:
     """Open a file on local disk, HDFS or an object store inside a task."""
-    system, path = _system_and_path(uri)
+    system, path = system_and_path(uri)
     return io.BufferedReader(system.open_input_stream(path))
 
 
-def first_lines(files: DataFrame) -> DataFrame:
-    """``path`` and first line of every listed file; reads only the head of each, in tasks."""
-
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                try:
-                    with open_file(path) as stream:
-                        line = stream.readline().decode("utf-8-sig", errors="replace").rstrip("\r\n")
-                except OSError:
-                    continue
-                rows.append((path, line))
-            yield pd.DataFrame(rows, columns=["path", "header"])
-
-    return files.select("path").mapInPandas(heads, "path string, header string")
+def first_line(uri: str) -> tuple[str | None, str]:
+    """First line of a file, and why it could not be read (else empty)."""
+    try:
+        with open_file(uri) as stream:
+            return stream.readline().decode("utf-8-sig", errors="replace").rstrip("\r\n"), ""
+    except OSError as error:
+        return None, str(error)[:200]

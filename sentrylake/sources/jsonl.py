@@ -23,6 +23,7 @@ class JsonSource:
     constants: dict[str, str]
     timestamp: str = "@timestamp"
     file_name: str = field(default="")
+    unit: str | None = None  # of times that are bare numbers
 
 
 # The field maps of the three sources.
@@ -63,6 +64,7 @@ SYSMON = JsonSource(
 ZEEK_CONN = JsonSource(
     name="zeek_conn",
     file_name="zeek_conn.jsonl",
+    unit="s",
     mapping={
         "ts": "@timestamp",
         "id.orig_h": "source.ip",
@@ -102,20 +104,22 @@ def record_schema(source: JsonSource) -> T.StructType:
 def parse_json_lines(lines: DataFrame, source: JsonSource, column: str = "value") -> DataFrame:
     """Add struct ``record`` with the mapped fields; blank and malformed lines are dropped.
 
-    Only the mapped fields are read, in one pass per line. The line is parsed as the first member of
-    an object that ends in a marker: text after the record breaks the object or loses the marker, so
-    such a line is malformed too. A field of unexpected shape is null and does not spoil the rest.
+    Only the mapped fields are read. The line is parsed as the first member of an object that ends in a
+    marker and has no third member: whatever stands after the record breaks the object, loses the marker or
+    adds a member, so such a line is malformed too. A field of unexpected shape is null and does not
+    spoil the rest.
     """
     schema = T.StructType(
         [T.StructField("record", record_schema(source)), T.StructField("end", T.StringType())]
     )
     text = F.trim(F.col(column))
     wrapped = F.concat(F.lit('{"record":'), text, F.lit(f',"end":"{_END}"}}'))
-    parsed = with_once(
-        lines.filter(text != ""), _line=F.from_json(wrapped, schema, {"allowSingleQuotes": "false"})
-    )
-    whole = parsed.filter(F.col("_line")["end"] == _END)
-    return whole.withColumn("record", F.col("_line")["record"]).drop("_line")
+    options = {"allowSingleQuotes": "false"}
+    keys = F.json_object_keys(wrapped)  # null for numbers like NaN, which records may hold
+    members = F.when(keys.isNotNull(), F.size(keys)).otherwise(F.size(F.from_json(wrapped, "map<string,string>", options)))
+    parsed = with_once(lines.filter(text != ""), _line=F.from_json(wrapped, schema, options), _members=members)
+    whole = parsed.filter((F.col("_line")["end"] == _END) & (F.col("_members") == 2))
+    return whole.withColumn("record", F.col("_line")["record"]).drop("_line", "_members")
 
 
 def json_path(record: Column, path: str) -> Column:
@@ -153,7 +157,7 @@ def map_records(records: DataFrame, source: JsonSource) -> DataFrame:
     time = F.coalesce(json_path(record, source.timestamp), mapped_time, json_path(record, "@timestamp"))
     columns += [F.lit(value).alias(name) for name, value in source.constants.items()]
     mapped = records.select(time.alias("_time"), *columns)
-    timed = with_once(mapped, event_ts=utc_time(F.col("_time")))
+    timed = with_once(mapped, event_ts=utc_time(F.col("_time"), source.unit))
     return conform(timed.filter(F.col("event_ts").isNotNull()))
 
 

@@ -64,7 +64,7 @@ def parse_log_lines(
 
 
 def read_logs(
-    spark: SparkSession, root: str, default_year: int, tz: str = "UTC", host: str | None = None
+    spark: SparkSession, root: str, default_year: int, tz: str = "UTC", host: str | None = None, pattern: str = "*.log"
 ) -> DataFrame:
-    """All ``*.log`` files below a folder as events."""
-    return parse_log_lines(text_lines(spark, root, "*.log", recursive=True), default_year, tz, host)
+    """All log files (``*.log``) below a folder as events."""
+    return parse_log_lines(text_lines(spark, root, pattern, recursive=True), default_year, tz, host)

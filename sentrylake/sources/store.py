@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schema import EVENT_SCHEMA, STORE_SCHEMA, conform
+from ..session import stage
+
+SPREAD = 64
 
 
 def union_sources(frames: dict[str, DataFrame], columns: T.StructType = EVENT_SCHEMA) -> DataFrame:
@@ -17,13 +20,29 @@ def union_sources(frames: dict[str, DataFrame], columns: T.StructType = EVENT_SC
 
 
 def with_event_uid(events: DataFrame) -> DataFrame:
-    """Add ``event_uid``: content hash plus a row number, so that exact copies differ.
+    """Add ``event_uid``: content hash and the row's number among exact copies, whatever the file splits.
 
-    The row number is only stable once written; ``write_store`` is where it becomes so.
+    The events are written once with their hash. Only rows whose hash occurs again are numbered: in SPREAD
+    parts, whose sizes say where each part's numbers begin, so that a mass of copies is no hot group.
     """
-    content = F.xxhash64(*[F.col(name) for name in EVENT_SCHEMA.names])
-    return events.withColumn(
-        "event_uid", F.concat_ws("-", F.lower(F.hex(content)), F.monotonically_increasing_id().cast("string"))
+    content = F.lower(F.hex(F.xxhash64(*[F.col(name) for name in EVENT_SCHEMA.names])))
+    hashed = stage(events.withColumn("_content", content), "events")
+    again = stage(hashed.groupBy("_content").agg(F.count("*").alias("_n")).filter("_n > 1").select("_content"), "copies")
+    single = hashed.join(again, "_content", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    copies = stage(hashed.join(again, "_content").withColumn("_part", part), "copied-events")
+    earlier = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = copies.groupBy("_content", "_part").agg(F.count("*").alias("_n")).select(
+        "_content", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy("_content", "_part").orderBy("_content")
+    numbered = copies.withColumn("_row", F.row_number().over(inside)).join(starts, ["_content", "_part"])
+    numbered = numbered.withColumn("_copy", F.col("_start") + F.col("_row") - 1)
+    columns = [*events.columns, "_content", "_copy"]
+    return (
+        single.select(*columns).unionByName(numbered.select(*columns))
+        .withColumn("event_uid", F.concat_ws("-", "_content", F.col("_copy").cast("string")))
+        .drop("_content", "_copy")
     )
 
 

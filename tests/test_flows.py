@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sentrylake.sources.flows import normal_name, read_flows
+from sentrylake.sources.flows import flow_files, normal_name, read_flows, skipped_files
 
 
 def test_names():
@@ -40,3 +40,21 @@ def test_time_column_argument(spark, tmp_path):
     assert read_flows(spark, str(tmp_path), time_col="Seen At").first()["event_ts"].year == 2025
     assert read_flows(spark, str(tmp_path)).first()["event_ts"].year == 2020
     assert read_flows(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_time_layouts(spark, tmp_path):
+    texts = ["2017/07/05 08:55:00", "5/7/17 8:55", "5-JUL-2017 08:55", "05 July 2017 08:55:00", "5/7/2017 8:55:00 AM", "1499244900", "7/25/17 1:00", "5/7/99 1:00"]
+    (tmp_path / "a.csv").write_text("time,user\n" + "".join(f"{t},u{i}\n" for i, t in enumerate(texts)))
+    stamp = F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("t")
+    got = {r["user_name"]: r["t"] for r in read_flows(spark, str(tmp_path), time_unit="s").select("user_name", stamp).collect()}
+    assert got == {**{f"u{i}": "2017-07-05 08:55:00" for i in range(6)}, "u6": "2017-07-25 01:00:00", "u7": "1999-07-05 01:00:00"}
+    assert read_flows(spark, str(tmp_path)).count() == 7  # without a unit a bare number is no time
+
+
+def test_skipped_files_and_quoted_newlines(spark, tmp_path):
+    (tmp_path / "no time.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "q.csv").write_text('time,label\n2025-01-01 00:00:00,"two\nlines"\n2025-01-01 00:00:01,"a,b"\n')
+    files = flow_files(spark, str(tmp_path))
+    assert [(r["file_path"].rsplit("/", 1)[1], r["status"]) for r in skipped_files(files).collect()] == [("no%20time.csv", "no time column")]
+    rows = read_flows(spark, str(tmp_path), quoted_newlines=True, files=files).orderBy("event_ts").collect()
+    assert [r["event_action"] for r in rows] == ["two\nlines", "a,b"]

@@ -1,5 +1,8 @@
+import collections
 import json
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from sentrylake.operators.features import event_flags, feature_table
@@ -8,45 +11,45 @@ from sentrylake.sources.jsonl import SYSMON, WINDOWS_EVTX, ZEEK_CONN, map_record
 from sentrylake.sources.store import union_sources, with_event_uid
 
 
-def windows(time, host, user, code, ip, status, command):
-    return json.dumps(
-        {
-            "Event": {
-                "System": {"Computer": host, "EventID": code},
-                "EventData": {"TargetUserName": user, "IpAddress": ip, "Status": status, "CommandLine": command},
-            },
-            "@timestamp": f"2025-10-01T{time}Z",
-        }
-    )
-
-
-LOGON, ENCODED = "winlogon.exe -k", "powershell -enc JABwAHMAPQB7AH0="
-WINDOWS = [
-    windows("10:00:10", "host-a", "alice", 4625, "10.0.0.12", "Failure", LOGON),
-    windows("10:00:20", "host-b", "bob", 4624, "10.0.0.13", "Success", "cmd.exe /c dir"),
-    windows("10:02:00", "host-a", "alice", 4688, "10.0.0.12", "-", ENCODED),
-    windows("10:02:10", "host-a", "alice", 4625, "10.0.0.66", "Failure", LOGON),
-    windows("10:02:20", "host-a", "alice", 4625, "10.0.0.66", "Failure", LOGON),
-    windows("10:02:30", "host-a", "alice", 4625, "10.0.0.66", "Failure", LOGON),
+# Invented records: (second of the day, host, user, code, address, status, command)
+LOGONS = [
+    (3_600, "ws-7", "nora", 4625, "172.16.4.2", "Failure", "logonui -x"),
+    (3_645, "db-2", "omar", 4624, "172.16.9.9", "Success", "ls"),
+    (3_661, "ws-7", "nora", 4625, "172.16.4.2", "Failure", "logonui -x"),
+    (3_700, "ws-7", "nora", 4688, "172.16.4.2", "-", "rundll32 zz9,Start QWxwaGE="),
+    (4_100, "db-2", "nora", 4625, "172.16.4.3", "Failure", ""),
+    (4_599, "ws-7", "omar", 4625, "172.16.9.9", "Failure", "logonui -x"),
+    (4_600, "ws-7", "nora", 4624, "172.16.4.2", "Success", "notes é.txt"),
 ]
+# (second of the day, id, target, port, state)
+FLOWS = [
+    (7_200, "f1", "203.0.113.5", 443, "SF"), (7_319, "f2", "203.0.113.5", 443, "SF"), (7_440, "f3", "203.0.113.5", 443, "REJ"),
+    (7_200, "f4", "203.0.113.77", 4444, "SF"), (7_321, "f5", "203.0.113.77", 4444, "S0"), (9_000, "f6", "203.0.113.9", 22, "S0"),
+]
+DAY = "2024-11-20"
 
 
-def zeek(time, uid, target, port, state):
-    return json.dumps(
-        {
-            "ts": f"2025-10-01T{time}Z", "id.orig_h": "10.0.0.12", "id.orig_p": 52000, "id.resp_h": target,
-            "id.resp_p": port, "proto": "tcp", "service": "http", "conn_state": state, "uid": uid, "local_orig": True,
-        }
-    )
+def clock(second):
+    return f"{DAY}T{second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}Z"
 
 
-ZEEK = [
-    zeek("10:00:00", "C1", "93.184.216.34", 80, "SF"),
-    zeek("10:01:00", "C2", "93.184.216.34", 80, "SF"),
-    zeek("10:02:00", "C3", "198.51.100.10", 4444, "S0"),
-    zeek("10:02:10", "C4", "198.51.100.10", 4444, "S0"),
-    zeek("10:02:20", "C5", "198.51.100.10", 4444, "S0"),
-]
+def windows(second, host, user, code, address, status, command):
+    data = {"TargetUserName": user, "IpAddress": address, "Status": status, "CommandLine": command}
+    return json.dumps({"Event": {"System": {"Computer": host, "EventID": code}, "EventData": data}, "@timestamp": clock(second)})
+
+
+def zeek(second, uid, target, port, state):
+    ends = {"id.orig_h": "172.16.4.2", "id.orig_p": 40_001, "id.resp_h": target, "id.resp_p": port}
+    return json.dumps({"ts": clock(second), **ends, "proto": "udp", "service": "-", "conn_state": state, "uid": uid, "local_orig": False})
+
+
+WINDOWS = [windows(*record) for record in LOGONS]
+ZEEK = [zeek(*record) for record in FLOWS]
+
+
+def entropy(text):
+    counts = collections.Counter(text)
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values()) if text else 0.0
 
 
 def lines(spark, values):
@@ -60,12 +63,15 @@ def mapped(spark, values, source):
 def test_windows_features(spark):
     events = with_event_uid(union_sources({"windows_evtx": mapped(spark, WINDOWS, WINDOWS_EVTX)}))
     rows = feature_table(events).orderBy("event_ts").collect()
-    assert [r["login_failed"] for r in rows] == [1, 0, 0, 1, 1, 1]
-    entropy = [round(r["process_command_line_entropy"], 6) for r in rows]
-    assert entropy == [3.506891, 3.235926, 4.288910, 3.506891, 3.506891, 3.506891]
-    assert [r["login_failed_count_1m"] for r in rows] == [1, 0, 0, 1, 2, 3]
-    assert [r["login_failed_count_5m"] for r in rows] == [1, 0, 1, 2, 3, 4]
-    assert [r["login_failed_count_15m"] for r in rows] == [1, 0, 1, 2, 3, 4]
+    failed = [int(code == 4625 or status == "Failure") for _, _, _, code, _, status, _ in LOGONS]
+    assert [r["login_failed"] for r in rows] == failed
+    assert [r["process_command_line_entropy"] for r in rows] == pytest.approx([entropy(record[-1]) for record in LOGONS])
+    for minutes in (1, 5, 15):
+        want = [
+            sum(f for f, other in zip(failed, LOGONS) if other[2] == user and second - 60 * minutes < other[0] <= second)
+            for second, _, user, *_ in LOGONS
+        ]
+        assert [r[f"login_failed_count_{minutes}m"] for r in rows] == want
 
 
 def test_code_is_text_and_constants_are_set(spark):
@@ -75,11 +81,16 @@ def test_code_is_text_and_constants_are_set(spark):
 
 def test_zeek_flags_and_sessions(spark):
     events = event_flags(mapped(spark, ZEEK, ZEEK_CONN).withColumn("dt", F.to_date("event_ts")))
-    rows = sessionize(events).orderBy("event_id").collect()
-    assert [r["conn_suspicious"] for r in rows] == [0, 0, 1, 1, 1]
-    assert len({r["session_id"] for r in rows}) == 2
-    assert len({r["session_id"] for r in rows[2:]}) == 1
-    assert (rows[0]["source_port"], rows[0]["network_direction"]) == (52000, "true")
+    rows = {r["event_id"]: r for r in sessionize(events).collect()}
+    assert {uid: r["conn_suspicious"] for uid, r in rows.items()} == {
+        uid: int(port == 4444 or state == "S0") for _, uid, _, port, state in FLOWS
+    }
+    sessions = {}  # by target: a gap over 120 s opens the next
+    for second, uid, target, *_ in sorted(FLOWS, key=lambda f: f[0]):
+        number, last = sessions.get(target, (0, -1_000))
+        sessions[target] = (number + (second - last > 120), second)
+        assert rows[uid]["session_ordinal"] == sessions[target][0]
+    assert (rows["f1"]["source_port"], rows["f1"]["network_direction"]) == (40_001, "false")
 
 
 def test_nested_and_literal_keys(spark):
@@ -105,10 +116,11 @@ def test_time_precedence(spark):
 
 def test_malformed_lines_are_dropped(spark):
     good = WINDOWS[0]
-    values = ["", "   ", good[:40], good.replace('"', "'"), good + " x", good + good, good + "] x", "5", "null", '"text"', "[1]", f"  {good} ",
+    values = ["", "   ", good[:40], good.replace('"', "'"), good + " x", good + good, good + ',"x":5', good + ',"record":' + good,
+              good + ',"end":"~end-of-record~"', good + ',"y":{},"end":"~end-of-record~"', good + "] x", "5", "null", '"text"', "[1]", f"  {good} ",
               '{"@timestamp":null}', '{"@timestamp":"2025-10-01T00:00:00Z","@timestamp":"2025-10-02T00:00:00Z"}']
     rows = mapped(spark, values, WINDOWS_EVTX).orderBy("event_ts").collect()
-    assert [r["event_ts"].day for r in rows] == [1, 2]
+    assert [r["event_ts"].date().isoformat() for r in rows] == [DAY, "2025-10-02"]
 
 
 def test_field_of_other_shape_is_null(spark):
@@ -123,4 +135,12 @@ def test_field_of_other_shape_is_null(spark):
 def test_missing_file_is_empty(spark, tmp_path):
     assert read_json_source(spark, str(tmp_path / "none.jsonl"), SYSMON).count() == 0
     (tmp_path / "zeek_conn.jsonl").write_text("\n".join(ZEEK) + "\n")
-    assert read_json_source(spark, str(tmp_path / "zeek_conn.jsonl"), ZEEK_CONN).count() == 5
+    assert read_json_source(spark, str(tmp_path / "zeek_conn.jsonl"), ZEEK_CONN).count() == len(ZEEK)
+
+
+def test_times_of_other_layouts(spark):
+    """Zeek counts seconds since 1970 by default; other layouts of the same time are read alike."""
+    times = ['1732096800.25', '"1732096800.25"', '"2024/11/20 10:00:00.25"', '"20241120T100000.25Z"', '"2024-11-20T11:00:00.25+01:00"']
+    rows = mapped(spark, [f'{{"ts":{t},"uid":"u{i}"}}' for i, t in enumerate(times)], ZEEK_CONN).collect()
+    assert len(rows) == len(times) and {r["event_ts"].timestamp() for r in rows} == {1732096800.25}
+    assert mapped(spark, ['{"UtcTime":1732096800}'], SYSMON).count() == 0  # no unit stated: not guessed

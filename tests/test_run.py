@@ -10,9 +10,11 @@ from sentrylake.operators.evidence import Run
 from sentrylake.plans.run import Settings, ingest, run_all
 from sentrylake.sources.store import read_store
 
-from test_jsonl import WINDOWS, ZEEK
+from test_jsonl import FLOWS, LOGONS, WINDOWS, ZEEK
 from test_logs import AUTH, CBS
 
+FAILED_LOGS = [AUTH[0], AUTH[2], CBS[0]]  # the lines that the log parser calls a failure
+
 
 @pytest.fixture(scope="module")
 def settings(tmp_path_factory):
@@ -20,6 +22,7 @@ def settings(tmp_path_factory):
     (raw / "windows_evtx.jsonl").write_text("\n".join(WINDOWS))  # sysmon.jsonl is missing on purpose
     (raw / "zeek_conn.jsonl").write_text("\n".join(ZEEK))
     (raw / "auth.log").write_text("\n".join(AUTH + CBS))
+    (raw / "notes.csv").write_text("a,b\n1,2\n")
     (raw / "flows.csv").write_text("timestamp,src_ip,dst_ip,dst_port\n" + "".join(
         f"2025-10-01 09:{i:02d}:00,10.0.0.{i},10.0.1.1,{4444 if i == 5 else 80}\n" for i in range(40)))
     return Settings(str(raw), str(root), 2025, top_n=3, forest=ForestConfig(n_estimators=25))
@@ -29,7 +32,7 @@ def test_ingest_is_repeatable(spark, settings):
     for _ in range(2):
         assert ingest(spark, settings) == {}
         counts = {r["source"]: r["count"] for r in read_store(spark, settings.path("ecs")).groupBy("source").count().collect()}
-        assert counts == {"windows_evtx": 6, "zeek_conn": 5, "syslog_auth": 7, "custom_csv": 40}
+        assert counts == {"windows_evtx": 7, "zeek_conn": 6, "syslog_auth": 7, "custom_csv": 40}
 
 
 def test_run_all(spark, settings):
@@ -37,8 +40,12 @@ def test_run_all(spark, settings):
     features = spark.read.parquet(settings.path("features"))
     scores = spark.read.parquet(settings.path("scores"))
     alerts = spark.read.parquet(settings.path("alerts"))
-    assert features.count() == scores.count() == 58
-    assert features.agg(F.sum("login_failed"), F.sum("conn_suspicious")).first()[:] == (7, 4)
+    assert features.count() == scores.count() == 60
+    failed = sum(code == 4625 for _, _, _, code, *_ in LOGONS) + sum("ailed" in line or "ailure" in line for line in FAILED_LOGS)
+    suspicious = sum(port == 4444 or state == "S0" for *_, port, state in FLOWS) + 1
+    assert features.agg(F.sum("login_failed"), F.sum("conn_suspicious")).first()[:] == (failed, suspicious)
+    skipped = {r["file_path"].rsplit("/", 1)[1]: r["status"] for r in spark.read.parquet(settings.path("skipped")).collect()}
+    assert skipped == {"notes.csv": "no time column"}
     assert 1 <= alerts.count() <= 3
     assert {r["risk_level"] for r in alerts.collect()} == {"HIGH"}  # above 95 of 100 scores
     files = spark.read.text(out)

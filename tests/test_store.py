@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from sentrylake.sources.store import available_days, isolated, read_store, read_table, union_sources, write_store
+from sentrylake.sources.store import available_days, isolated, read_store, read_table, union_sources, with_event_uid, write_store
 
 
 def events(spark, *times, host="h"):
@@ -31,6 +31,14 @@ def test_exact_copies_get_their_own_id(spark, tmp_path):
     assert read_store(spark, path).select("event_uid").distinct().count() == 50
 
 
+def test_ids_do_not_depend_on_splits(spark):
+    base = events(spark, *["2025-01-01 10:00:00"] * 300, *[f"2025-01-02 10:00:{i:02d}" for i in range(60)])
+    one, many = (
+        sorted(r["event_uid"] for r in with_event_uid(union_sources({"a": base.repartition(n)})).collect()) for n in (1, 11)
+    )
+    assert one == many and len(set(one)) == 360
+
+
 def test_unreadable_file_can_be_skipped(spark, tmp_path):
     path = str(tmp_path / "ecs")
     write_store(union_sources({"a": events(spark, "2025-01-01 10:00:00")}), path)
