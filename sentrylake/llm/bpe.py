@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
@@ -227,7 +228,7 @@ def frequent_words(documents: DataFrame, size: int) -> list[str]:
     return [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
 
 
-def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 << 17) -> bytes:
+def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 << 18) -> bytes:
     """The compiled lexicon of the corpus's frequent words."""
     exact = Encoder(vocabulary)
     listed = sorted({w.encode("utf-8"): exact.merge(w) for w in frequent_words(documents, size)}.items())
@@ -237,6 +238,14 @@ def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 <<
 _encoders: dict[tuple[str, str], Encoder] = {}  # of this process; the last one used
 
 
+def _encoder(name: tuple[str, str], shared: Broadcast) -> Encoder:
+    """The encoder of this process, made once. (A function of the module: what a task brings along is its own.)"""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(shared.value[0], Lexicon.mapped(shared.value[1]))
+    return _encoders[name]
+
+
 def encode(documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of ``text``."""
     shared = documents.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
@@ -244,15 +253,13 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes, text: s
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = Encoder(shared.value[0], Lexicon.mapped(shared.value[1]))
+        encoder = _encoder(name, shared)
         lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         parts, start = [], 0
         while start < len(texts):
             done = lengths[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(lengths, done + TOGETHER, side="right")))
-            parts.append(_encoders[name].encode([t or "" for t in texts.slice(start, stop - start).to_pylist()]))
+            parts.append(encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()]))
             start = stop
         return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.int32()))])
 
