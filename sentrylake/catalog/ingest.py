@@ -290,9 +290,8 @@ FROM lineitem WHERE l_linenumber <> 6"""
 def json_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the three JSON sources written as files and read back."""
     v0, path = events(spark, sf_dir), new_folder(spark, "json")
-    made = {WINDOWS_EVTX: _windows_lines, SYSMON: _sysmon_lines, ZEEK_CONN: _zeek_lines}
     frames = {}
-    for source, lines in made.items():
+    for source, lines in ((WINDOWS_EVTX, _windows_lines), (SYSMON, _sysmon_lines), (ZEEK_CONN, _zeek_lines)):
         lines(v0).select("value").write.text(f"{path}/{source.file_name}")
         frames[source.name] = read_json_source(spark, f"{path}/{source.file_name}", source)
     return report(
