@@ -49,10 +49,10 @@ def alert_context(
 
     An interval join as an equi-join: time is cut into buckets of the interval's length, each
     alert is repeated for the three buckets it can reach, and the exact bounds are tested after
-    the join on day and bucket. No hint is given: alerts that come out of a ``limit`` have a known
-    small size, so Catalyst broadcasts them and prunes the event days; for an unlimited alert set
-    it shuffles both sides. There ``salt`` spreads each bucket of events over that many
-    tasks (the alerts, the smaller side, are repeated), for the case that one bucket is hot.
+    the join on day and bucket. With ``salt`` 1 no hint is given: alerts that come out of a ``limit`` have a
+    known small size, so Catalyst broadcasts them and prunes the event days. A larger ``salt`` is for alert
+    sets without limit: both sides are shuffled, and each bucket of events is spread over that many tasks
+    (the alerts, the smaller side, are repeated), for the case that one bucket is hot.
     """
     width = minutes * MINUTE
     t0 = F.unix_micros(F.col(ts))
@@ -72,6 +72,7 @@ def alert_context(
     if salt > 1:
         near = near.withColumn("_salt", F.pmod(F.xxhash64(uid), F.lit(salt)))
         reach = reach.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
+        reach = reach.hint("merge")  # both sides grow with the data
         on.append("_salt")
     joined = near.join(reach, on).filter(F.abs(F.col("_t") - F.col("_t0")) <= width)
     return joined.select("alert_id", "alert_ts", *[F.col(c) for c in events.columns])

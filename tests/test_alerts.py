@@ -67,6 +67,23 @@ def test_limited_alerts_are_broadcast_and_never_a_nested_loop(spark, events):
     assert "NestedLoop" not in limited and "Cartesian" not in limited
 
 
+def test_many_alerts_are_a_salted_shuffled_join(spark, events):
+    over = select_alerts(events, "score", None, contamination=0.5)
+    assert over.count() > 200
+    plan = plan_of(alert_context(events, over, 5, alert_id="event_uid", salt=8))
+    assert "SortMergeJoin [_bucket" in plan and "_salt" in plan.split("SortMergeJoin [", 1)[1].split("]", 1)[0]
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_rows_of_a_host_are_filtered_in_the_scan(spark, events, tmp_path):
+    events.write.parquet(str(tmp_path / "scores"))
+    stored = spark.read.parquet(str(tmp_path / "scores"))
+    found = rows_of_host(stored.withColumn("user_name", F.lit(None).cast("string")), "h1")
+    assert "EqualTo(host_name,h1)" in plan_of(found).split("PushedFilters: [", 1)[1]
+    unknown = rows_of_host(stored.withColumn("user_name", F.lit("u")), "unknown")
+    assert unknown.count() == stored.filter("host_name IS NULL").count() > 0
+
+
 def test_selection(spark, events):
     top = select_alerts(events, "score", 3).collect()
     assert top[0]["event_uid"] == 1003 and len(top) == 3

@@ -48,6 +48,13 @@ def test_samples_have_exact_size(points):
     assert {r["count"] for r in small.groupBy("tree_id").count().collect()} == {8}
 
 
+def test_trees_draw_from_all_rows_of_a_large_table(spark):
+    drawn = tree_samples(spark.range(60_000).withColumnRenamed("id", "event_uid"), "event_uid", 150, 256, 60_000, 42).cache()
+    assert {r["count"] for r in drawn.groupBy("tree_id").count().collect()} == {256}
+    ids = drawn.select("event_uid").distinct()
+    assert ids.count() > 25_000 and ids.agg(F.avg("event_uid")).first()[0] == pytest.approx(30_000, rel=0.02)
+
+
 def test_fit_does_not_depend_on_partitions(points, forest):
     again = fit_forest(points.repartition(13), NAMES, CONFIG)
     assert forest.nodes.equals(again.nodes) and forest.offset == again.offset
