@@ -17,11 +17,11 @@ PROSE, INSIDE, OPEN, BOILERPLATE = "p", "i", "o", "b"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript template iframe svg math object canvas xmp noembed noframes".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody tfoot thead tr ul".split()
 )
-_CELL = frozenset(("td", "th"))
+_SPACED = frozenset(("td", "th", "br"))  # white space inside their block
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption caption td th dd dt summary".split())
 _LANDMARK = frozenset(("article", "main"))
 _FRAME = frozenset("head nav footer aside form button select menu dialog fieldset search".split())
@@ -34,7 +34,7 @@ _NAMES = frozenset(
 )
 _NOT_THE_THING = frozenset("no has with without is not".split())  # "no-sidebar" is no sidebar
 _OF_CONTENT = frozenset("article entry post story content section".split())  # "entry-header" heads the text
-_CLOSES_P = _BLOCK - {"br", "option", "optgroup"}
+_CLOSES_P = _BLOCK - {"option", "optgroup"}
 _SCOPE = frozenset("article aside blockquote body div dl footer form header html li main nav ol section table td th ul".split())
 
 _TAG = re.compile(
@@ -118,7 +118,7 @@ def lines(page: str) -> tuple[list[str], str]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in _BLOCK or (place is not None and any(n in _BLOCK for n, _ in stack[place:])):
                 end_line()
-            elif name in _CELL:
+            elif name in _SPACED:
                 run.append(" ")
             if place is not None:
                 close(place)
@@ -131,7 +131,7 @@ def lines(page: str) -> tuple[list[str], str]:
             continue
         if name in _BLOCK:
             end_line()
-        elif name in _CELL:
+        elif name in _SPACED:
             run.append(" ")
         if name in _VOID:
             continue
