@@ -6,9 +6,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sentrylake.functions import entropy as entropies
 from sentrylake.functions.entropy import char_entropy, mean_token_entropy
 from sentrylake.functions.values import conn_suspicious, integer, login_failed, number, utc_time
 from sentrylake.operators.quantiles import RobustScaler, exact_quantiles, score_threshold
@@ -99,6 +101,13 @@ def test_entropy_of_texts_and_tokens(spark):
     assert [got[i] for i in range(5)] == pytest.approx([0, 0, 0, 0.5, 1.5])
 
 
+def test_entropy_is_the_same_in_small_portions(monkeypatch):
+    texts = pa.array(["", "aab", "x" * 500, "\U0001f600a" * 40, "", "abcabc"])
+    whole = entropies._entropies(texts)
+    monkeypatch.setattr(entropies, "TOGETHER", 100)
+    assert entropies._entropies(texts).tolist() == whole.tolist() == pytest.approx([entropy(t) for t in texts.to_pylist()])
+
+
 def test_flags_and_conversions(spark):
     rows = [("4625", None, None), (None, "FAILURE", "4444.0"), ("4624", "S0", "x"), (None, "s0", None)]
     df = spark.createDataFrame(rows, "code string, outcome string, port string")
