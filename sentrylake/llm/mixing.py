@@ -68,6 +68,8 @@ def mix(
     sized = documents.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), *carry
     )
+    if not carry:
+        sized = stage(sized, "mix-sizes")  # ranges are sampled first: texts are counted once for both
     placed = position_in_group(
         sized, ["source"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("_tie")], "mix"
     )
