@@ -22,7 +22,6 @@ import json
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,6 +37,7 @@ from .quality_rules import bucket
 
 NEVER = 1 << 60  # the rank of a pair that is never joined
 TOGETHER = 16 << 20  # code points of texts that are encoded together
+DECODED = 512  # lists of ids that are spelled out at a time
 MARKS = frozenset(".,;:!?")
 
 # Unicode white space; Python's own notion of it has the separators 0x1C to 0x1F besides.
@@ -89,7 +89,6 @@ class Encoder:
         self.pieces = regex.compile(vocabulary.pattern)
         self.characters = byte_characters()
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
-        self.merged = lru_cache(maxsize=1 << 16)(self.merge)
 
     def merge(self, piece: str) -> list[int]:
         """Join the neighbours of lowest rank, leftmost first, until none can be joined."""
@@ -163,7 +162,7 @@ class Encoder:
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         starts[known] = listed[1][ranks[known]]
         sizes[known] = listed[1][ranks[known] + 1] - starts[known]
-        merged = [[p] if isinstance(p, int) else self.merged(p) for p in map(pieces.__getitem__, np.flatnonzero(~known).tolist())]
+        merged = [[p] if isinstance(p, int) else self.merge(p) for p in map(pieces.__getitem__, np.flatnonzero(~known).tolist())]
         lengths = np.fromiter(map(len, merged), np.int64, len(merged))
         starts[~known], sizes[~known] = len(listed[0]) + np.cumsum(lengths) - lengths, lengths
         more = np.fromiter(chain.from_iterable(merged), np.int32, int(lengths.sum()))
@@ -272,8 +271,13 @@ def decode(documents: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text:
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
+        tokens, parts = pa.array(shared.value, pa.string()), [pa.array([], pa.string())]
         lists = pc.fill_null(lists, pa.scalar([], lists.type))
-        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pa.array(shared.value, pa.string()).take(lists.values)), " ")
+        for start in range(0, len(lists), DECODED):
+            own = lists.slice(start, DECODED)
+            spelled = pa.ListArray.from_arrays(pc.subtract(own.offsets, own.offsets[0]), tokens.take(own.flatten()))
+            parts.append(pc.binary_join(spelled, " "))
+        return pa.concat_arrays(parts)
 
     return documents.withColumn(text, decoded(F.col(ids)))
 
