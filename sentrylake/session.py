@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sources.files import system_and_path
 
-# Time zone and skew handling. All are runtime settings, so they also apply to a session made elsewhere.
+# Time zone, skew handling and batch size. All are runtime settings, so they also apply to a session made elsewhere.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows may hold whole texts: a batch of them lies in the JVM and in Python at once
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
 
