@@ -1,9 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines, their sentences, and runs of words of long unpunctuated lines at
-places that the words themselves decide). Each paragraph, with its number among equal ones, is a 64-bit
-digest. A sketch has three rows of ``width`` cells; a digest adds itself, 1 and a checksum to one cell of
-each row. Two sketches subtract cell by cell, what both texts hold cancels, and peeling cells that hold
+A text is cut into paragraphs: lines, their sentences, and those of LONG code points or more at words
+that the words themselves decide, so that a change of one place leaves the others alone. Each
+paragraph, with its number among equal ones, is a 64-bit digest. A sketch has three rows of ``width``
+cells; a digest adds itself, 1 and a checksum to one cell of each row. Two sketches subtract cell by cell, what both texts hold cancels, and peeling cells that hold
 a single digest recovers the digests on either side. If cells are left, both sketches are built again
 at twice the width until the peeling succeeds.
 
