@@ -245,22 +245,39 @@ def _encoder(name: tuple[str, str], shared: Broadcast) -> Encoder:
     return _encoders[name]
 
 
+def _encoded(texts: pa.Array, encoder: Encoder) -> pa.ListArray:
+    lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    parts, start = [], 0
+    while start < len(texts):
+        done = lengths[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(lengths, done + TOGETHER, side="right")))
+        parts.append(encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()]))
+        start = stop
+    return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.int32()))])
+
+
+def _decoded(lists: pa.ListArray, tokens: list[str]) -> pa.Array:
+    spellings, parts = pa.array(tokens, pa.string()), [pa.array([], pa.string())]
+    lists = pc.fill_null(lists, pa.scalar([], lists.type))
+    for start in range(0, len(lists), DECODED):
+        own = lists.slice(start, DECODED)
+        spelled = pa.ListArray.from_arrays(pc.subtract(own.offsets, own.offsets[0]), spellings.take(own.flatten()))
+        parts.append(pc.binary_join(spelled, " "))
+    return pa.concat_arrays(parts)
+
+
+def _shared(documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes) -> tuple[Broadcast, tuple[str, str]]:
+    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
+    return shared, (vocabulary.name, hashlib.sha256(lexicon).hexdigest())
+
+
 def encode(documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of ``text``."""
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, lexicon))
-    name = (vocabulary.name, hashlib.sha256(lexicon).hexdigest())
+    shared, name = _shared(documents, vocabulary, lexicon)
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(name, shared)
-        lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        parts, start = [], 0
-        while start < len(texts):
-            done = lengths[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(lengths, done + TOGETHER, side="right")))
-            parts.append(encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()]))
-            start = stop
-        return pa.concat_arrays([*parts, pa.array([], pa.list_(pa.int32()))])
+        return _encoded(texts, _encoder(name, shared))
 
     return documents.withColumn(ids, encoded(F.col(text)))
 
@@ -271,16 +288,26 @@ def decode(documents: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text:
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        tokens, parts = pa.array(shared.value, pa.string()), [pa.array([], pa.string())]
-        lists = pc.fill_null(lists, pa.scalar([], lists.type))
-        for start in range(0, len(lists), DECODED):
-            own = lists.slice(start, DECODED)
-            spelled = pa.ListArray.from_arrays(pc.subtract(own.offsets, own.offsets[0]), tokens.take(own.flatten()))
-            parts.append(pc.binary_join(spelled, " "))
-        return pa.concat_arrays(parts)
+        return _decoded(lists, shared.value)
 
     return documents.withColumn(text, decoded(F.col(ids)))
 
 
+def round_trip(
+    documents: DataFrame, vocabulary: Vocabulary, lexicon: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode`` and ``decode`` one after the other in the same task, so that the ids go to Python once."""
+    shared, name = _shared(documents, vocabulary, lexicon)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(name, shared)
+        lists = _encoded(texts, encoder)
+        return pa.StructArray.from_arrays([lists, _decoded(lists, encoder.vocabulary.tokens)], ["ids", "decoded"])
+
+    rows = documents.withColumn("_both", both(F.col(text)))
+    return rows.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

@@ -17,8 +17,7 @@ def encoded_documents(documents: DataFrame, path: str | None = None, carry: Sequ
     """Digests of the ids and of the decoded text of every document, and the columns of ``carry``."""
     vocabulary = bpe.Vocabulary.load(path or public_tokenizers.path(VOCABULARY))
     given = [c for c in carry if c != "ids"]
-    encoded = bpe.encode(documents.select("doc_id", "text", *given), vocabulary, bpe.build_lexicon(documents, vocabulary))
-    decoded = bpe.decode(encoded.drop("text"), vocabulary)
+    decoded = bpe.round_trip(documents.select("doc_id", "text", *given), vocabulary, bpe.build_lexicon(documents, vocabulary))
     return decoded.select(
         "doc_id", *carry, F.size("ids").cast("long").alias("n_tokens"),
         bpe.digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,9 +57,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprint_column(text: Column, shingle: int = 4) -> Column:
     """Fingerprints as bigint (the same 64 bits)."""
 
-    @F.pandas_udf("bigint")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("bigint")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
     return of(text)
 

@@ -111,6 +111,8 @@ def test_bpe(documents, nothing, vocabulary):
     assert rows[1]["ids"] == rows[2]["ids"] == rows[3]["ids"] == [] and rows[1]["decoded"] == ""
     assert len(rows[4]["ids"]) > 60_000 and coded.count() == len(TEXTS)
     assert set(coded.columns) == set(documents.columns)
+    both = bpe.round_trip(documents, vocabulary, lexicon).select("doc_id", "ids", "decoded", "fp")
+    assert sorted(map(str, both.collect())) == sorted(map(str, coded.select("doc_id", "ids", "decoded", "fp").collect()))
     empty = bpe.decode(bpe.encode(nothing, vocabulary, bpe.build_lexicon(nothing, vocabulary)), vocabulary)
     assert empty.count() == 0
 
