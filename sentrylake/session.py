@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.files import system_and_path
@@ -20,7 +19,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # rows may hold whole texts: a batch of them lies in the JVM and in Python at once
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
@@ -77,6 +76,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Remove the stage tables of this application."""
+    from pyarrow import fs
+
     system, path = system_and_path(f"{shared_folder(spark)}/sentrylake/{spark.sparkContext.applicationId}")
     if system.get_file_info(path).type != fs.FileType.NotFound:
         system.delete_dir(path)

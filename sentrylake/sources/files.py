@@ -7,7 +7,6 @@ import io
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,7 +55,8 @@ def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     """``path`` and ``size`` of the files of zero bytes below a folder, listed in a task; hidden ones are left out."""
     uri = path if "://" in path or path.startswith("file:/") else f"file://{path}"
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator) -> Iterator:
+        import pandas as pd  # not for every task that imports this module
         from pyarrow import fs
 
         for batch in batches:
