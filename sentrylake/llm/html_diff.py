@@ -1,16 +1,20 @@
 """HTML extraction by differencing pages with nearby URLs.
 
-Pages are ordered by host and URL path, and each is compared with the neighbour of its host whose path
-has the longer common beginning. Their text lines are aligned by longest common subsequence; lines that both
-share belong to the site and are deleted. A neighbour that shares nearly all text that may be main text is a copy
-of the page and says nothing about the site; the other neighbour is taken then, or none.
+Pages are ordered by host and URL path, pages of a host with equal lines once: copies take the site lines of the
+first of them. Each is compared with the neighbours of its host, so with the nearest different pages, first with
+that whose path has the longer common beginning. Text lines are aligned by longest common subsequence; lines shared
+with the page compared belong to the site and are deleted. A neighbour that shares nearly all text that may be main
+text, as far as the other neighbour does not share it too, is a near copy and says nothing about the site; the other
+is taken then. Lines shared with any neighbour that half of the different pages of the host share are the site's in any
+case, so a page between near copies, or whose text is nearly all menu, loses its menu as well.
 
 Markup has its say too: lines inside elements marked as navigation, advert, form and so on always go, and if a page
 has text in an article or main element, text outside it goes. Sharing does not delete paragraphs, headings and
 list items of an article: passages that several articles quote are text.
 
 Lines are compared by 64-bit hashes. Hosts may be of any size: pages are dealt by ranges of (host, path), and a
-task holds a batch of them.
+task holds a batch of them. How many pages share a line is counted by host and line; what half of the pages share
+is no longer than two of them.
 
 Defined cases: null and empty html has an empty text; a page without host (null or odd URL) and a lone page
 of a host is not compared; repeated rows are copies of each other; an empty table gives an empty result;
@@ -31,6 +35,7 @@ from .html_lines import INSIDE, OPEN, PROSE, lines
 from .neighbours import with_neighbours
 
 COPY = 0.9  # share of the text that may be main text from which a neighbour is a copy
+COMMON, LEAST_PAGES = 0.5, 3  # share of a host's different pages that makes a shared line the site's; pages that takes
 
 
 def common_lines(left: list, right: list) -> list[int]:
@@ -66,16 +71,22 @@ def candidates(kinds: str) -> list[int]:
     return [i for i, kind in enumerate(kinds) if kind in ((PROSE, INSIDE) if marked else (OPEN,))]
 
 
-def site_lines(own: list, sizes: list[int], kinds: str, neighbours: list[list]) -> list[int]:
-    """Lines shared with the neighbour compared (the nearest that is no copy): they belong to the site."""
+def site_lines(own: list, sizes: list[int], kinds: str, neighbours: list[list]) -> tuple[list[int], set[int]]:
+    """Lines shared with any neighbour, and those shared with the nearest that is no copy: they belong to the site."""
     may_be = candidates(kinds)
-    size = sum(sizes[i] for i in may_be)
-    for other in neighbours:
-        shared = common_lines(own, other)
-        found = set(shared)
-        if sum(sizes[i] for i in may_be if i in found) <= COPY * size:
-            return shared
-    return []
+    shared = [set(common_lines(own, other)) for other in neighbours]
+
+    def nearly_all(found: set[int], of: list[int]) -> bool:
+        return sum(sizes[i] for i in of if i in found) > COPY * sum(sizes[i] for i in of)
+
+    alike = [nearly_all(found, may_be) for found in shared]
+    site: set[int] = set()
+    for at, found in enumerate(shared):
+        others = set().union(*(o for i, o in enumerate(shared) if i != at and not alike[i]))
+        if not nearly_all(found, [i for i in may_be if i not in others]):
+            site = found
+            break
+    return sorted(set().union(*shared)), site
 
 
 def main_text(own: list[str], kinds: str, site: list[int]) -> str:
@@ -119,6 +130,10 @@ def text_without(pages: pa.Array, site: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(numbers, pa.int32())], ["text", "n_lines"])
 
 
+SHARED = "array<struct<at:int,line:bigint,sure:boolean>>"
+_SHARED = pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64()), ("sure", pa.bool_())]))
+
+
 def _differenced(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
     first, last = max(0, start - 1), min(rows.num_rows, stop + 1)
     near = rows.slice(first, last - first)
@@ -127,28 +142,62 @@ def _differenced(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
     for at in range(start - first, stop - first):
         beside = [i for i in (at - 1, at + 1) if 0 <= i < len(hosts) and hosts[i] and hosts[i] == hosts[at]]
         beside.sort(key=lambda i: -len(os.path.commonprefix([paths[i], paths[at]])))
-        found.append(site_lines(hashes[at], sizes[at], kinds[at], [hashes[i] for i in beside]))
+        shared, site = site_lines(hashes[at], sizes[at], kinds[at], [hashes[i] for i in beside])
+        found.append([{"at": i, "line": hashes[at][i], "sure": i in site} for i in shared])
     own = rows.slice(start, stop - start)
-    return pa.RecordBatch.from_arrays(
-        [own.column("_page"), own.column("_key"), pa.array(found, pa.list_(pa.int32()))], ["_page", "_key", "site"]
-    )
+    names = ["_content", "_check", "host"]
+    return pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(found, _SHARED)], [*names, "shared"])
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def settled(shared: pa.Array, common: pa.Array) -> pa.Array:
+    """The shared lines that belong to the site: those of the page compared and those common on the host."""
+    site = []
+    for found, lines_of_host in zip(shared, common):
+        often = set(lines_of_host.as_py() or ())
+        site.append([s["at"] for s in found.as_py() or () if s["sure"] or s["line"] in often])
+    return pa.array(site, pa.list_(pa.int32()))
+
+
+def common_of_hosts(shared: DataFrame) -> DataFrame:
+    """host, common: the lines that enough of the host's different pages share with a neighbour."""
+    held = shared.select("host", F.explode(F.array_distinct("shared.line")).alias("line"))
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pages = shared.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    often = counts.join(pages.hint("merge"), "host").where(F.col("n") >= F.col("pages") * COMMON)
+    return often.groupBy("host").agg(F.collect_list("line").alias("common"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
-    Only hashes of lines go through the order; the pages themselves move once, to where their site lines
-    are. Rows equal in id, URL and html are one page in the order.
+    Only hashes of lines go through the order, once for all pages of a host with equal lines; the pages
+    themselves move once, to where their site lines are. Rows equal in id, URL and html are one page.
     """
     key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     slim = pages.select(
         F.col("page_id").cast("bigint").alias("_page"), key.alias("_key"), *host_and_path(F.col("url")), line_hashes("html").alias("_l")
     )
-    rows = stage(slim.select("_page", "_key", "host", "path", "_l.*"), "page-lines").dropDuplicates(["_page", "_key"])
+    content = [F.col("host"), F.col("_l.hashes"), F.col("_l.kinds")]
+    rows = stage(slim.select(
+        "_page", "_key", F.xxhash64(*content).alias("_content"), F.hash(*content).alias("_check"), "host", "path", "_l.*"
+    ), "page-lines")
+    # the first page of those with equal lines
+    parts = ["path", "_page", "_key", "hashes", "sizes", "kinds"]
+    different = rows.groupBy("_content", "_check", "host").agg(F.min(F.struct(*parts)).alias("_f")).select(
+        "_content", "_check", "host", "_f.*"
+    )
     order = [F.col("host"), F.col("path"), F.col("_page"), F.col("_key")]
-    site = stage(with_neighbours(rows, order, _differenced, "_page bigint, _key bigint, site array<int>", name="pages"), "site")
+    shared = stage(
+        with_neighbours(different, order, _differenced, f"_content bigint, _check int, host string, shared {SHARED}", name="pages"), "shared"
+    )
+    # shuffled joins at every size: hosts, copies and site lines grow with the pages
+    site = shared.join(common_of_hosts(shared).hint("merge"), "host", "left").select(
+        "_content", "_check", settled("shared", "common").alias("site")
+    )
+    of_rows = rows.select("_page", "_key", "_content", "_check").distinct()
+    site = stage(of_rows.join(site.hint("merge"), ["_content", "_check"]).select("_page", "_key", "site"), "site")
     same = F.col("page_id").cast("bigint").eqNullSafe(F.col("_page")) & (key == F.col("_key"))
-    # a shuffled join at every size: the site lines grow with the pages
     joined = pages.select("page_id", "url", "html").join(site.hint("merge"), same, "left")
     text = joined.select("page_id", "url", text_without("html", "site").alias("_t"), F.size("site").alias("n_shared"))
     return text.select(

@@ -372,3 +372,23 @@ def test_pipeline_against_brute_force(spark, tokenizer):
     got = Counter((r["doc_id"], r["source"], tuple(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == +want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-duplicates", "mixing", "encoding"]
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_diff.extract(pages.repartition(5)).collect()}
+
+
+def test_copies_and_short_texts_lose_the_menu(spark):
+    """Runs of exact and near copies, and pages that are nearly all menu, lose what their site shares."""
+    menu = "".join(f"<div>Entry {i} of the long menu of this site</div>" for i in range(30))
+    one = "".join(f"<div>Paragraph {i} of the one text that was copied, again and again</div>" for i in range(90))
+    text = "\n".join(f"Paragraph {i} of the one text that was copied, again and again" for i in range(90))
+    rows = [(f"http://copies.org/a/{i}", f"{menu}{one}") for i in range(5)]
+    rows += [(f"http://copies.org/b/{i}", f"{menu}<div>Other text {i}</div>") for i in range(6)]
+    rows += [(f"http://near.org/a/{i}", f"{menu}<div>{i}.5.2024</div>{one}") for i in range(5)]
+    rows += [(f"http://near.org/b/{i}", f"{menu}<div>Other text {i}</div>") for i in range(8)]
+    rows += [(f"http://short.org/{i}", f"{menu}<div>Short {i}</div>") for i in range(9)]
+    expected = [text] * 5 + [f"Other text {i}" for i in range(6)] + [f"{i}.5.2024\n{text}" for i in range(5)]
+    expected += [f"Other text {i}" for i in range(8)] + [f"Short {i}" for i in range(9)]
+    assert extracted(spark, rows) == dict(enumerate(expected))
