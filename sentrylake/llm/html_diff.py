@@ -8,9 +8,10 @@ text, as far as the other neighbour does not share it too, is a near copy and sa
 is taken then. Lines shared with any neighbour that half of the different pages of the host share are the site's in any
 case, so a page between near copies, or whose text is nearly all menu, loses its menu as well.
 
-Markup has its say too: lines inside elements marked as navigation, advert, form and so on always go, and if a page
-has text in an article or main element, text outside it goes. Sharing does not delete paragraphs, headings and
-list items of an article: passages that several articles quote are text.
+Markup has its say too: lines inside elements marked as navigation, advert, form and so on always go. Paragraphs,
+headings and list items of an article go if all neighbours that are no near copies share them and they are common
+on the host: passages that several articles quote are text. If a page has text in an article or main element, text
+outside it goes, unless what is left outside is longer than what is left inside.
 
 Lines are compared by 64-bit hashes. Hosts may be of any size: pages are dealt by ranges of (host, path), and a
 task holds a batch of them. How many pages share a line is counted by host and line; what half of the pages share
@@ -31,11 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import stage
-from .html_lines import INSIDE, OPEN, PROSE, lines
+from .html_lines import BOILERPLATE, OPEN, PROSE, lines
 from .neighbours import with_neighbours
 
 COPY = 0.9  # share of the text that may be main text from which a neighbour is a copy
-COMMON, LEAST_PAGES = 0.5, 3  # share of a host's different pages that makes a shared line the site's; pages that takes
+COMMON, LEAST_PAGES = 0.5, 3  # share of a host's different pages that makes a shared line the site's; least pages
 
 
 def common_lines(left: list, right: list) -> list[int]:
@@ -65,34 +66,44 @@ def common_lines(left: list, right: list) -> list[int]:
     return shared[::-1]
 
 
-def candidates(kinds: str) -> list[int]:
-    """Lines that may be main text: those of an article if one is marked, else all that are not boilerplate."""
-    marked = PROSE in kinds or INSIDE in kinds
-    return [i for i, kind in enumerate(kinds) if kind in ((PROSE, INSIDE) if marked else (OPEN,))]
+def candidates(sizes: list[int], kinds: str) -> list[int]:
+    """Lines that may be main text and tell copies: those of an article if it is the longer part, else all but boilerplate."""
+    article = [i for i, kind in enumerate(kinds) if kind not in (OPEN, BOILERPLATE)]
+    outside = sum(sizes[i] for i, kind in enumerate(kinds) if kind == OPEN)
+    if sum(sizes[i] for i in article) > outside:
+        return article
+    return [i for i, kind in enumerate(kinds) if kind != BOILERPLATE]
 
 
-def site_lines(own: list, sizes: list[int], kinds: str, neighbours: list[list]) -> tuple[list[int], set[int]]:
-    """Lines shared with any neighbour, and those shared with the nearest that is no copy: they belong to the site."""
-    may_be = candidates(kinds)
+def site_lines(own: list, sizes: list[int], kinds: str, neighbours: list[list]) -> list[tuple[int, bool | None]]:
+    """Lines shared with any neighbour: True if they belong to the site, False if they do where common on the host, else None."""
+    may_be = candidates(sizes, kinds)
     shared = [set(common_lines(own, other)) for other in neighbours]
 
     def nearly_all(found: set[int], of: list[int]) -> bool:
         return sum(sizes[i] for i in of if i in found) > COPY * sum(sizes[i] for i in of)
 
     alike = [nearly_all(found, may_be) for found in shared]
-    site: set[int] = set()
+    different = []
     for at, found in enumerate(shared):
         others = set().union(*(o for i, o in enumerate(shared) if i != at and not alike[i]))
         if not nearly_all(found, [i for i in may_be if i not in others]):
-            site = found
-            break
-    return sorted(set().union(*shared)), site
+            different.append(found)
+    site = different[0] if different else set()
+    in_all = set.intersection(*different) if different else set()
+    return [
+        (i, (False if i in in_all else None) if kinds[i] == PROSE else i in site) for i in sorted(set().union(*shared))
+    ]
 
 
 def main_text(own: list[str], kinds: str, site: list[int]) -> str:
-    """The lines that stay, joined."""
+    """The lines that stay, joined: of the article, and those outside it if they are longer."""
     gone = set(site)
-    return "\n".join(own[i] for i in candidates(kinds) if kinds[i] == PROSE or i not in gone)
+    left = [i for i, kind in enumerate(kinds) if kind != BOILERPLATE and i not in gone]
+    outside = sum(len(own[i]) for i in left if kinds[i] == OPEN)
+    if outside <= sum(len(own[i]) for i in left if kinds[i] != OPEN):
+        left = [i for i in left if kinds[i] != OPEN]
+    return "\n".join(own[i] for i in left)
 
 
 def host_and_path(url: Column) -> list[Column]:
@@ -142,8 +153,8 @@ def _differenced(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
     for at in range(start - first, stop - first):
         beside = [i for i in (at - 1, at + 1) if 0 <= i < len(hosts) and hosts[i] and hosts[i] == hosts[at]]
         beside.sort(key=lambda i: -len(os.path.commonprefix([paths[i], paths[at]])))
-        shared, site = site_lines(hashes[at], sizes[at], kinds[at], [hashes[i] for i in beside])
-        found.append([{"at": i, "line": hashes[at][i], "sure": i in site} for i in shared])
+        shared = site_lines(hashes[at], sizes[at], kinds[at], [hashes[i] for i in beside])
+        found.append([{"at": i, "line": hashes[at][i], "sure": sure} for i, sure in shared])
     own = rows.slice(start, stop - start)
     names = ["_content", "_check", "host"]
     return pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(found, _SHARED)], [*names, "shared"])
@@ -155,17 +166,18 @@ def settled(shared: pa.Array, common: pa.Array) -> pa.Array:
     site = []
     for found, lines_of_host in zip(shared, common):
         often = set(lines_of_host.as_py() or ())
-        site.append([s["at"] for s in found.as_py() or () if s["sure"] or s["line"] in often])
+        site.append([s["at"] for s in found.as_py() or () if s["sure"] or (s["sure"] is False and s["line"] in often)])
     return pa.array(site, pa.list_(pa.int32()))
 
 
 def common_of_hosts(shared: DataFrame) -> DataFrame:
     """host, common: the lines that enough of the host's different pages share with a neighbour."""
     held = shared.select("host", F.explode(F.array_distinct("shared.line")).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pages = shared.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    # both small tables are written so that the joins on host are plain ones, which AQE splits at a host of any size
+    pages = stage(shared.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-pages")
     often = counts.join(pages.hint("merge"), "host").where(F.col("n") >= F.col("pages") * COMMON)
-    return often.groupBy("host").agg(F.collect_list("line").alias("common"))
+    return stage(often.groupBy("host").agg(F.collect_list("line").alias("common")), "host-lines")
 
 
 def extract(pages: DataFrame) -> DataFrame:

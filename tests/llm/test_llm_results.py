@@ -392,3 +392,19 @@ def test_copies_and_short_texts_lose_the_menu(spark):
     expected = [text] * 5 + [f"Other text {i}" for i in range(6)] + [f"{i}.5.2024\n{text}" for i in range(5)]
     expected += [f"Other text {i}" for i in range(8)] + [f"Short {i}" for i in range(9)]
     assert extracted(spark, rows) == dict(enumerate(expected))
+
+
+def test_sharing_decides_inside_articles_too(spark):
+    """A prompt in every article goes, a passage that some quote stays, and so does a text outside that is the longer one."""
+    def article(host, i, own):
+        quote = "<p>A passage that two articles quote</p>" if i in (3, 4) else ""
+        return f"http://{host}/{i}", f"<article><p>{own} {i}, of its own</p>{quote}<p>Please support our site today</p></article>"
+
+    rows = [article("many.org", i, "Article") for i in range(9)] + [article("two.org", i, "Article") for i in range(2)]
+    menu = "".join(f"<div>Menu entry {i}</div>" for i in range(8))
+    long = [f"Main text {i}, in a plain division that is certainly longer than the teaser beside it" for i in range(6)]
+    rows += [(f"http://teaser.org/{i}", f"{menu}<article><p>Teaser {i}</p></article><div>{t}</div>") for i, t in enumerate(long)]
+    expected = [f"Article {i}, of its own" + ("\nA passage that two articles quote" if i in (3, 4) else "") for i in range(9)]
+    expected += [f"Article {i}, of its own\nPlease support our site today" for i in range(2)]
+    expected += [f"Teaser {i}\n{t}" for i, t in enumerate(long)]
+    assert extracted(spark, rows) == dict(enumerate(expected))
