@@ -1,7 +1,8 @@
 """Secret scans: patterns, and a battery of randomness tests under false-discovery control (DataFrame functions only).
 
 The base kinds are patterns. The method adds kind ``random``: tokens of key-like characters whose
-encoding is inferred (hex, base32, alphanumeric, base64) and which pass a battery of tests.
+encoding is inferred and which pass a battery of tests. The encoding is the smallest alphabet that holds the token:
+hex, letters of one case, base32 and alphanumeric of one case, alphanumeric, base64.
 
 1. A token must look uniform over its alphabet: chi-squared statistic of its characters, number of runs
    of character classes, and correlation of neighbouring characters each lie within ``normal`` standard
@@ -34,13 +35,18 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
-# encoding: (characters, alphabet size, chance that neighbours are of different classes)
+# encoding: (characters, alphabet size, chance that neighbours are of different classes), smallest alphabet first
 ENCODINGS = {
     "hex": ("^[0-9a-f]+$|^[0-9A-F]+$", 16, 2 * 10 * 6 / 16**2),
+    "letters": ("^[a-z]+$|^[A-Z]+$", 26, 0),
     "base32": ("^[A-Z2-7]+$", 32, 2 * 26 * 6 / 32**2),
+    "lower32": ("^[a-z2-7]+$", 32, 2 * 26 * 6 / 32**2),  # by case: words of text with digits are mostly lower-case
+    "base36": ("^[A-Z0-9]+$", 36, 2 * 26 * 10 / 36**2),
+    "lower36": ("^[a-z0-9]+$", 36, 2 * 26 * 10 / 36**2),
     "alnum": ("^[A-Za-z0-9]+$", 62, 1 - (26**2 + 26**2 + 10**2) / 62**2),
     "base64": ("", 64, 1 - (26**2 + 26**2 + 10**2) / 62**2),
 }
+LARGER_FIRST = [name for name in reversed(ENCODINGS) if name != "base64"]
 TEXT_PAIRS, TEXT_CHANGES = 0.066, 0.08  # chance that two characters of text are equal; that neighbours change class
 STEPS, LAST_STEP = 4, 400  # p-value steps per power of ten, and their number
 BLOCK = 256
@@ -101,7 +107,7 @@ def _battery(token: Column, normal: float) -> Column:
 
     def tests(body: Column) -> Column:
         enc = F.lit("base64")
-        for name in ("alnum", "base32", "hex"):
+        for name in LARGER_FIRST:
             enc = F.when(F.rlike(body, F.lit(ENCODINGS[name][0])), F.lit(name)).otherwise(enc)
         codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), F.ascii)
         return let(codes, lambda c: let(enc, lambda e: scored(c, e)))
@@ -111,7 +117,7 @@ def _battery(token: Column, normal: float) -> Column:
 
         def of_encoding(column: int) -> Column:
             value = F.lit(float(ENCODINGS["base64"][column]))
-            for name in ("alnum", "base32", "hex"):
+            for name in LARGER_FIRST:
                 value = F.when(enc == name, F.lit(float(ENCODINGS[name][column]))).otherwise(value)
             return value
 
@@ -146,7 +152,8 @@ def _battery(token: Column, normal: float) -> Column:
     def judged(v: Column) -> Column:
         n, k = v["n"], v["k"]
         chi = (k / n * v["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        runs = (v["changes"] - (n - 1) * v["change"]) / F.sqrt((n - 1) * v["change"] * (1 - v["change"]))
+        spread = F.sqrt((n - 1) * v["change"] * (1 - v["change"]))
+        runs = F.when(spread > 0, (v["changes"] - (n - 1) * v["change"]) / spread).otherwise(F.lit(0.0))  # letters have one class
         serial = F.when(v["serial"]["own"] > 0, v["serial"]["next"] / v["serial"]["own"]).otherwise(F.lit(1.0)) * F.sqrt(n)
         uniform = (F.abs(chi) <= normal) & (F.abs(runs) <= normal) & (F.abs(serial) <= normal)
         # Chernoff bounds under the text model, in natural logarithms

@@ -408,3 +408,32 @@ def test_sharing_decides_inside_articles_too(spark):
     expected += [f"Article {i}, of its own\nPlease support our site today" for i in range(2)]
     expected += [f"Teaser {i}\n{t}" for i, t in enumerate(long)]
     assert extracted(spark, rows) == dict(enumerate(expected))
+
+
+def test_random_keys_of_every_alphabet_and_length(spark):
+    import random
+
+    dice = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {
+        "hex": digits + "abcdef", "base32": lower.upper() + "234567", "lower base32": lower + "234567", "lower base36": lower + digits,
+        "upper base36": lower.upper() + digits, "base62": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/",
+    }
+    planted = [(a, n) for a in alphabets for n in (24, 32, 64, 96, 128, 256)] + [("letters", n) for n in (128, 256)]
+    alphabets["letters"] = lower
+    keys = [(a, n, "".join(dice.choices(alphabets[a], k=n))) for a, n in planted for _ in range(30)]
+    words = ["internationalization", "donaudampfschifffahrtsgesellschaft", "some_long_identifier_name", "thisisalongnameofsomething42"]
+    docs = spark.createDataFrame(
+        [(i, f"{words[i % 4]} {key} end") for i, (_, _, key) in enumerate(keys)] + [(-1 - i, f"{words[i % 4]} end") for i in range(400)],
+        "doc_id bigint, text string",
+    )
+    found = {(a, n): 0 for a, n in planted}
+    for r in secret_scan.secrets(docs).collect():
+        spans = [r["spans"][i] for i in range(len(r["spans"])) if r["spans"][i]["rank"] == 3]
+        at = len(words[r["doc_id"] % 4]) + 1 if r["doc_id"] >= 0 else None
+        assert all(s["start"] == at for s in spans)  # the key, never a word
+        if spans:
+            found[keys[r["doc_id"]][:2]] += 1
+    # 24 or 32 characters of base32 and base36 are less unlike text: fewer of them are discoveries at the rate
+    least = {("base32", 24): 5, ("base32", 32): 20, ("base36", 24): 20}
+    assert {(a, n): k for (a, n), k in found.items() if k < least.get((a.split()[-1], n), 27)} == {}
