@@ -8,8 +8,8 @@ A batch is merged with the runs on the hash: keys found in ``min_docs`` document
 lines, except in the largest doc_id. The lines that stay are the anti join; what is computed is its
 complement, the far fewer lines that go.
 
-``dedup`` adds the runs of all batches first and then merges every batch with them, so that the result
-does not depend on the batches. ``LineRuns`` serves batches that arrive over time.
+``dedup`` adds the runs of all batches first and then joins the keys of all batches with them once, so that the
+result does not depend on the batches. ``LineRuns`` serves batches that arrive over time.
 
 Defined cases: null and empty text is one empty line; a null doc_id counts as the smallest; each row is a
 document of its own, so of rows that share the largest doc_id all keep their lines; texts that lose all
