@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_native, queries_text
+from . import queries_dedup, queries_native, queries_selection, queries_text
 
-QUERIES = {**queries_native.QUERIES, **queries_dedup.QUERIES, **queries_text.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_dedup.QUERIES, **queries_text.QUERIES, **queries_selection.QUERIES}
