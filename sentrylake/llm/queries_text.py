@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_diff, iblt, quality_model
+from . import bpe, chat, html_diff, iblt, quality_model, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -73,10 +73,16 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents, quality_model.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_html_extract": (op1_html_extract, None),
     "op4_bpe": (op4_bpe, None),
     "op6_fingerprints": (op6_fingerprints, None),
     "op7_chat_perspectives": (op7_chat_perspectives, OP7_SQL),
     "op8_quality_model": (op8_quality_model, None),
+    "op11_toxicity": (op11_toxicity, None),
 }
