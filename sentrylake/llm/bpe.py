@@ -133,11 +133,18 @@ class Encoder:
 
     def words(self, text: str) -> list[str | int]:
         """Normalized words between white space; special tokens as their ids."""
+        if not self.special:
+            return self._plain_words(text)
+        out, at = [], 0
+        for found in self.special.finditer(text):
+            out += self._plain_words(text[at : found.start()])
+            out.append(self.vocabulary.special[found.group()])
+            at = found.end()
+        return out + self._plain_words(text[at:] if at else text)
+
+    def _plain_words(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.special and (found := self.special.search(text)):
-            number = self.vocabulary.special[found.group()]
-            return [*self.words(text[: found.start()]), number, *self.words(text[found.end() :])]
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final form of sigma
         if _SEPARATORS.search(text):
             return [word for word in _SPACE.split(text) if word]
