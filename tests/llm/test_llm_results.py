@@ -73,6 +73,52 @@ def test_lines_of_a_full_page():
     assert kept == ["Big title & more", "First bold text", "Next © 2020", "Quote", "plain", "a b"]
 
 
+def kept_lines(page):
+    found, kinds = html_lines.lines(page)
+    return [line for line, kind in zip(found, kinds) if kind != html_lines.BOILERPLATE]
+
+
+PROSE = "A long paragraph about the matter itself, longer than all that stands around it on this page, and then some."
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="overflow-hidden">{}</div>', '<div class="content-with-sidebar"><article>{}</article></div>',
+    '<div class="layout-sidebar-right">{}</div>', '<main class="page comments-open">{}</main>',
+    '<article class="post related-tag">{}</article>', '<div class="article-share-wrapper">{}</div>',
+    '<section class="social-policy">{}</section>', '<form id="aspnetForm"><article>{}</article></form>',
+    '<head><title>x</title><body><div class="widget"><main>{}</main></div>', '<article>{}</article><div class="comments"><article>short</article></div>',
+    '<div class="menu-open"><nav>Menu</nav><article>{}</article><div class="related"><article>Teaser</article></div></div>',
+    '<table><tr><td class="sidebar">Menu</td><td>{}</td></tr></table>',
+])
+def test_classes_are_hints_only(around):
+    assert kept_lines(f"<nav>Start</nav>{around.format(f'<p>{PROSE}</p>')}<footer>End</footer>") == [PROSE]
+
+
+@pytest.mark.parametrize("inside", [
+    "<svg><path>", "<svg><g><path d='x'/>", "<noscript>x", "<template>x", "<object>x", "<canvas>x", "<iframe src=x>y", "<svg/>",
+])
+def test_unclosed_elements_end_with_their_parent(inside):
+    page = f"<article><div><p>one</p>{inside}</div><p>two</p></article>"
+    assert kept_lines(page) == ["one", "two"]
+
+
+def test_text_of_formulas_stays_and_drawings_do_not_break_lines():
+    assert kept_lines("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>") == ["Let x=1 be"]
+    assert kept_lines("<article><p>a <svg><title>I</title><text>no</text></svg> b<object>no</object></p></article>") == ["a b"]
+    assert kept_lines("<article><p>one</p><svg><path><p>two</p>") == ["one", "two"]
+    assert kept_lines("<article><p>one</p><script>var a = 1;<p>two</p>") == ["one"]
+    assert kept_lines('<article><p>a <span class="social">b</span> c</p></article>') == ["a b c"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    page = "<div>" * 20_000 + "text" + "</i>" * 20_000 + "<i>" * 20_000 + "<p>x" * 20_000
+    start = time.perf_counter()
+    assert len(html_lines.lines(page)[0]) == 20_001
+    assert time.perf_counter() - start < 5
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_common_lines_are_longest(left, right):
@@ -121,6 +167,11 @@ def test_any_text_is_encoded_as_the_tokenizer_does(parts):
     assert EXACT.encode([text]).to_pylist() == LISTED.encode([text]).to_pylist() == [want]
 
 
+def test_a_hundred_thousand_special_tokens():
+    text = "<|endoftext|>the" * 50_000 + "<|startoftext|>" * 50_000 + " hers"
+    assert EXACT.encode([text]).to_pylist() == [LIBRARY.encode(text, add_special_tokens=False).ids]
+
+
 def test_long_pieces_merge_alike():
     piece = "".join(chr(97 + i * i % 26) for i in range(3000))
     parts = [EXACT.characters[b] for b in piece.encode()]
