@@ -7,7 +7,7 @@ values in the block; candidates whose bounds rule them out leave the bitmap, unt
 remain are complete. The first scan finds each anchor's nearest rows of its label; the second finds, for
 each of these, the best rows of other labels whose score lies in a window below the positive's score.
 
-Scores are inner products of integers and exact (Python integers where a sum could pass 2^53). Blocks bound
+Scores are inner products of integers, exact as long as they fit 64 bits (Python integers where a sum could pass 2^53). Blocks bound
 memory only; every anchor meets every row, so the work grows with anchors times rows.
 
 Defined cases: rows with a null label, a null vector or a null component take no part; vectors of different

@@ -9,7 +9,7 @@ WIDTH characters, half overlapping.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import combinations
 
@@ -21,15 +21,15 @@ START = "\N{START OF TEXT}"
 _GAP = np.tril(DECAY ** (np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :] - 1.0), -1)  # between two places
 
 
-def character(c: str) -> int:
-    code = ord(c)
-    if 97 <= code <= 122:
-        return code - 97
-    return code - 22 if 48 <= code <= 57 else 63 if c == START else 36 + code % 27
-
-
 def encode(text: str) -> np.ndarray:
-    return np.fromiter(map(character, text), np.int64, len(text))
+    """The class of each character."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    out = 36 + code % 27
+    out[code == ord(START)] = CLASSES - 1
+    for first, last, base in (("a", "z", 0), ("0", "9", 26)):
+        own = (code >= ord(first)) & (code <= ord(last))
+        out[own] = code[own] - ord(first) + base
+    return out
 
 
 def windows(word: str) -> list[str]:
@@ -44,7 +44,7 @@ def windows(word: str) -> list[str]:
 @cache
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
     """All i < j < k below ``length``, and DECAY ** (k - i + 1)."""
-    at = np.array(list(combinations(range(length), 3)), np.int64).reshape(-1, 3)
+    at = np.array(list(combinations(range(length), 3)), np.int32).reshape(-1, 3)
     return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
@@ -94,18 +94,52 @@ class Landmarks:
         for (number, place), w in found.items():
             self.table[self.row[number], place] = w
 
-    def kernel(self, texts: Sequence[str], cells: int = 1 << 21) -> np.ndarray:
-        """The kernel of each string (at most WIDTH characters) with each landmark."""
-        out = np.zeros((len(texts), len(self.texts)), np.float32)
+    def _shared(self, texts: Sequence[str], exact: bool, cells: int = 1 << 20) -> Iterator[tuple]:
+        """Strings that share triples with a landmark: their places, and per triple shared the string (as a
+        place among these), the row of the table and the weight divided by the string's norm.
+
+        If not ``exact``, by a norm as if no triple occurred twice, which is not greater.
+        """
         for at, codes in of_length(texts):
-            step = max(1, cells // (len(_triples(codes.shape[1])[1]) * max(1, len(self.texts))))
+            step = max(1, cells // len(_triples(codes.shape[1])[1]))
             for start in range(0, len(at), step):
                 part = codes[start : start + step]
                 numbers, weight = triples(part)
                 rows = self.row[numbers]
-                norm = np.sqrt(with_itself(part))
-                shared = np.einsum("btm,t->bm", self.table[rows], weight.astype(np.float32))
-                out[at[start : start + step]] = (shared / norm[:, None]) ** POWER
+                string, triple = np.nonzero(rows)  # most triples are no landmark's
+                if len(string):
+                    first = np.flatnonzero(np.diff(string, prepend=-1))
+                    own = np.repeat(np.arange(len(first)), np.diff(first, append=len(string)))
+                    known = string[first]
+                    share = weight[triple] / np.sqrt(with_itself(part[known]))[own] if exact else (weight / np.sqrt((weight**2).sum()))[triple]
+                    yield at[start + known], own, rows[string, triple], share.astype(np.float32)
+
+    def kernel(self, texts: Sequence[str]) -> np.ndarray:
+        """The kernel of each string (at most WIDTH characters) with each landmark."""
+        out = np.zeros((len(texts), len(self.texts)), np.float32)
+        for at, own, row, weight in self._shared(texts, exact=True):
+            count = np.bincount(own)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            order = np.argsort(place, kind="stable")
+            shared = np.zeros((len(at), len(self.texts)), np.float32)
+            for now in np.split(order, np.cumsum(np.bincount(place))[:-1]):  # the first triple of each string, the second, ...
+                shared[own[now]] += self.table[row[now]] * weight[now, None]
+            out[at] = shared**POWER
+        return out
+
+    def at_most(self, texts: Sequence[str], weight: np.ndarray) -> np.ndarray:
+        """Not less than the weighted sum of each string's kernels, without working these out.
+
+        The sum of w k^POWER over the landmarks of positive weight is at most the greatest k to the power
+        POWER - 1 times the sum of w k; both follow from one number per triple.
+        """
+        gain = np.maximum(weight, 0)
+        peak = self.table[:, gain > 0].max(axis=1, initial=0)
+        total = self.table @ gain
+        out = np.zeros(len(texts))
+        for at, own, row, w in self._shared(texts, exact=False):
+            most, summed = (np.bincount(own, x[row] * w) for x in (peak, total))
+            out[at] = most ** (POWER - 1) * summed * 1.001  # more than rounding takes away
         return out
 
 

@@ -3,15 +3,16 @@
 A text is a set of sentences, a sentence a set of words, and a run of letters set apart is one more word. A
 word's features are its kernel with each landmark (``subsequences``), mapped so that their inner products
 approximate the kernel. The machine is trained on labelled sentences: a sentence has its document's label,
-and of the sentences of a toxic document only those whose worst word is about as bad as the document's
-stay positive; the machine then judges the words anew, a few times. A sentence scores as its worst word, a document as its worst sentence.
+and of the sentences of a toxic document only those stay positive that hold words about as bad as its worst;
+the machine then judges the words anew, a few times. A sentence scores as its worst word, a document as its worst sentence.
+Decision values below half that of an empty text are not told apart, so that most words need only a bound.
 
 Fitting uses at most ``sample`` labelled documents (those with the smallest hash of their id), none of them held
 out. Spark counts their words; what reaches the driver is bounded by CANDIDATES, CLOSE, USUAL, SENTENCES and ``sample``.
 Every document is scored over its whole text.
 
-Defined cases: null and empty texts, and words without a landmark's triples, score as the machine's constant; a
-null doc_id counts as the empty text, is not held out and has no label; documents with contradicting labels
+Defined cases: null and empty texts, and words without a landmark's triples, score as the
+floor; a null doc_id counts as the empty text, is not held out and has no label; documents with contradicting labels
 are toxic if at least half of them say so; null labels are ignored; without labels of both classes the
 score is a constant; repeated rows are scored each; an empty table gives an empty result.
 """
@@ -37,7 +38,7 @@ CANDIDATES, CLOSE, USUAL = 1_000, 4_000, 8_000  # words of toxic, of clean sente
 SENTENCES = 60_000  # of toxic documents
 TOXIC_MARKS, CLEAN_MARKS = 48, 48  # landmarks
 ROUNDS = 4
-REMEMBERED = 200_000  # scores of words kept by a Python worker
+REMEMBERED = 500_000  # words that a Python worker knows, some 100 bytes each
 GROUP = 20_000  # new words that are worked out together
 _OTHER = re.compile(r"[\W_]+")
 _END = re.compile(r"[.!?\n]+(?=\s|$)")
@@ -66,7 +67,10 @@ def spelled(tokens: Sequence[str]) -> list[str]:
 
 def words(text: str) -> set[str]:
     tokens = text.lower().split()
-    return set(tokens).union(spelled(tokens))
+    own = set(tokens)
+    if any(len(bare(token)) == 1 for token in own if len(token) <= 2):
+        own.update(spelled(tokens))
+    return own
 
 
 def pieces(word: str) -> list[str]:
@@ -82,14 +86,23 @@ class Machine:
     constant: float
     slope: float = 1.0
     offset: float = 0.0
-    known: dict[str, float] = field(default_factory=dict)
+    known: dict[str, float] = field(default_factory=dict)  # decision values of words seen lately
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
+    @property
+    def floor(self) -> float:
+        """Half the constant: all that is cleaner has this decision value."""
+        return max(self.constant, self.constant / 2)
+
     def margins(self, texts: Sequence[str]) -> np.ndarray:
-        """Decision value of each piece of at most WIDTH characters."""
-        return self.marks.kernel(texts) @ self.weight + self.constant
+        """Decision value of each piece of at most WIDTH characters; where a bound is not above the floor, the floor."""
+        out = np.full(len(texts), self.floor)
+        doubtful = np.flatnonzero(self.marks.at_most(texts, self.weight) + self.constant > self.floor)
+        exact = self.marks.kernel([texts[at] for at in doubtful]) @ self.weight + self.constant
+        out[doubtful] = np.maximum(exact, self.floor)
+        return out
 
     def learn(self, new: Sequence[str]) -> None:
         """Work out the worst piece of each new word."""
@@ -99,8 +112,8 @@ class Machine:
         self.known.update(zip(new, np.maximum.reduceat(found, ends).tolist() if len(new) else []))
 
     def worst(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Decision value of each text: that of its worst word, or the constant."""
-        out = np.full(len(texts), self.constant)
+        """Decision value of each text: that of its worst word, or the floor."""
+        out = np.full(len(texts), self.floor)
         held: list[tuple[int, set[str]]] = []
         new: set[str] = set()
 
@@ -136,16 +149,18 @@ def sentences(text: str) -> list[str]:
 
 def _sentence_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, toxic, sentence, piece) of every labelled sentence, each piece once in it."""
-    names = ["doc", "toxic", "sentence", "piece"]
+    schema = pa.schema([("doc", pa.int64()), ("toxic", pa.bool_()), ("sentence", pa.int32()), ("piece", pa.string())])
+    columns: list[list] = [[], [], [], []]
     for batch in batches:
         for doc, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
             for at, sentence in enumerate(sentences(text or "")):
                 found = sorted({p for word in words(sentence) for p in pieces(word) if len(p) > 3})
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array([toxic] * n, pa.bool_()), pa.array([at] * n, pa.int32()), pa.array(found, pa.string())],
-                    names,
-                )
+                for column, values in zip(columns, ([doc] * len(found), [toxic] * len(found), [at] * len(found), found)):
+                    column += values
+            if len(columns[0]) > GROUP:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                columns = [[], [], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -171,7 +186,7 @@ def fit_machine(marks: Landmarks, clean: Sequence[str], said: Sequence[tuple[int
     """A machine from words of clean sentences and from sentences of toxic documents.
 
     ``said`` has, for each such sentence, its document and its words that are commoner in toxic documents, with
-    their excess there. A sentence counts as toxic while its worst word is at least half as bad as the worst of
+    their excess there. A sentence counts as toxic for the words in it that are at least half as bad as the worst of
     its document: first by excess, then by the machine. Each document has the weight of one clean word in all.
     """
     toxic = sorted({word for _, own in said for word, _ in own})
@@ -181,29 +196,28 @@ def fit_machine(marks: Landmarks, clean: Sequence[str], said: Sequence[tuple[int
     inverse = vectors[:, kept] / np.sqrt(values[kept])  # Nyström: features are kernel values times this
     features = [np.c_[marks.kernel(texts) @ inverse, np.ones(len(texts))] for texts in (toxic, list(clean))]
     place = {word: i for i, word in enumerate(toxic)}
-    doc = np.unique([d for d, _ in said], return_inverse=True)[1]
-    own = [np.array([place[word] for word, _ in words_]) for _, words_ in said]
-    bad = [np.array([excess for _, excess in words_]) for _, words_ in said]
+    docs = np.unique([d for d, _ in said], return_inverse=True)[1]
+    doc = np.repeat(docs, [len(own) for _, own in said])
+    spoken = np.array([place[word] for _, own in said for word, _ in own])
+    bad = np.array([excess for _, own in said for _, excess in own])
     ridge = np.eye(features[1].shape[1])
     ridge[-1, -1] = 1e-3
     weight = np.zeros(len(ridge))
     for _ in range(ROUNDS):
-        worst = np.array([b.max() for b in bad])
-        of_doc = np.full(doc.max() + 1, -np.inf)
-        np.maximum.at(of_doc, doc, worst)
-        positive = worst >= np.where(of_doc > 0, of_doc / 2, of_doc)[doc]
-        witness = np.array([o[b.argmax()] for o, b in zip(own, bad)])[positive]
-        share = 1 / np.bincount(doc[positive], minlength=len(of_doc))[doc[positive]]
-        cost = np.bincount(witness, share, len(toxic))
+        worst = np.full(doc.max() + 1, -np.inf)
+        np.maximum.at(worst, doc, bad)
+        positive = bad >= np.where(worst > 0, worst / 2, worst)[doc]
+        share = 1 / np.bincount(doc[positive], minlength=len(worst))[doc[positive]]
+        cost = np.bincount(spoken[positive], share, len(toxic))
         chosen = np.flatnonzero(cost)
         rows = np.r_[features[0][chosen], features[1]]
         weight = _newton(
             rows, np.r_[np.ones(len(chosen)), -np.ones(len(features[1]))], np.r_[cost[chosen], np.ones(len(features[1]))], ridge
         )
         found = features[0] @ weight
-        bad = [found[o] for o in own]
+        bad = found[spoken]
     # insults with one more character are insults too
-    spread = [v for word in sorted({toxic[w] for w in witness.tolist() if found[w] > 0.5}) for v in with_one_more(word)]
+    spread = [v for word in (toxic[w] for w in chosen if found[w] > 0.5) for v in with_one_more(word)]
     if spread:
         more = np.c_[marks.kernel(spread) @ inverse, np.ones(len(spread))]
         each = cost.sum() / 2 / len(spread)

@@ -257,7 +257,20 @@ def test_memory_of_words_changes_nothing(judged, machine, monkeypatch):
     monkeypatch.setattr(toxicity, "REMEMBERED", 5)
     monkeypatch.setattr(toxicity, "GROUP", 3)
     machine.known.clear()
-    assert machine.worst(texts).tolist() == want
+    assert machine.worst(texts).tolist() == pytest.approx(want, abs=1e-9)
+
+
+@given(st.lists(st.text("abegiklmnoprsd .-", max_size=60), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_bounded_words_equal_all_words(machine, texts):
+    texts = texts + [t.replace("a", "snarkle") for t in texts]
+    machine.known.clear()
+    got = machine.worst(texts)
+    for text, worst in zip(texts, got):
+        cut = [p for word in toxicity.words(text) for p in toxicity.pieces(word)]
+        values = machine.marks.kernel(cut) @ machine.weight + machine.constant
+        assert worst == pytest.approx(max([machine.floor, *values.tolist()]), abs=1e-5)
+        assert (machine.marks.at_most(cut, machine.weight) + machine.constant >= values - 1e-6).all()
 
 
 def test_odd_texts_and_labels(spark, judged, machine):
