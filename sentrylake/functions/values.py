@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 # day, separator, month, year of four or two digits, and optionally hour, minute, second, AM/PM
@@ -83,6 +85,12 @@ def syslog_time(month: Column, day: Column, clock: Column, year: int, tz: str =
     return F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")), tz)
 
 
+def micros(moment: dt.datetime) -> int:
+    """Microseconds since 1970; a time without zone is UTC."""
+    moment = moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
+    return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
 def is_true(condition: Column) -> Column:
     """1 where the condition holds, 0 where it is false or null."""
     return F.coalesce(condition, F.lit(False)).cast("int")

@@ -65,12 +65,13 @@ def rolling_counts(
     inside = Window.partitionBy(*scope, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*scope).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        changes.groupBy(*scope, "chunk").agg(*[F.sum(name).alias(name) for name in names])
-        .select(*scope, "chunk", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in names])
+        # is_event is asked for here too: with the same columns on both sides the step table is shuffled once
+        changes.groupBy(*scope, "chunk").agg(*[F.sum(name).alias(name) for name in names], F.max("is_event").alias("_events"))
+        .select(*scope, "chunk", "_events", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in names])
     )
     running = changes.select(*scope, "chunk", "t", "is_event", *[F.sum(name).over(inside).alias(name) for name in names])
     counts = (
-        running.filter("is_event").join(carried, [*scope, "chunk"])
+        running.filter("is_event").join(carried.filter("_events IS NOT NULL"), [*scope, "chunk"])
         .select(*scope, "t", *[(F.col(name) + F.col(f"_{name}")).cast("double").alias(name) for name in names])
     )
     return _attach(df, counts, scope, us, names)

@@ -12,7 +12,7 @@ SECOND = 1_000_000
 NUMBERS = ["session_ordinal", "session_number"]
 
 
-def _key_text(keys: list[str]) -> Column:
+def key_text(keys: list[str]) -> Column:
     """One text per key; nulls count as equal. Sorts like the columns one after the other."""
     return F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
 
@@ -89,7 +89,7 @@ def sessionize(
     """
     keys = FLOW_KEYS if keys is None else keys
     scope = ([dt] if reset_daily else []) + ["_key"]
-    keyed = df.withColumn("_key", _key_text(keys))
+    keyed = df.withColumn("_key", key_text(keys))
     numbered = _numbered_times(keyed, scope, timeout_seconds, chunk_minutes, ts, dense)
     left = keyed.withColumn("_us", F.unix_micros(F.col(ts))).alias("l")
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in scope] + [F.col("l._us") == F.col("r.t")]

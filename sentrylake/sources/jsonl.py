@@ -104,22 +104,20 @@ def record_schema(source: JsonSource) -> T.StructType:
 def parse_json_lines(lines: DataFrame, source: JsonSource, column: str = "value") -> DataFrame:
     """Add struct ``record`` with the mapped fields; blank and malformed lines are dropped.
 
-    Only the mapped fields are read. The line is parsed as the first member of an object that ends in a
-    marker and has no third member: whatever stands after the record breaks the object, loses the marker or
-    adds a member, so such a line is malformed too. A field of unexpected shape is null and does not
+    Only the mapped fields are read, in one parse. The line is parsed as the first element of an array whose second and
+    last one holds a hash of the line: whatever stands after the record breaks the array, adds an element or ends
+    it before the hash, so such a line is malformed too. A field of unexpected shape is null and does not
     spoil the rest.
     """
-    schema = T.StructType(
-        [T.StructField("record", record_schema(source)), T.StructField("end", T.StringType())]
-    )
+    fields = record_schema(source)
     text = F.trim(F.col(column))
-    wrapped = F.concat(F.lit('{"record":'), text, F.lit(f',"end":"{_END}"}}'))
-    options = {"allowSingleQuotes": "false"}
-    keys = F.json_object_keys(wrapped)  # null for numbers like NaN, which records may hold
-    members = F.when(keys.isNotNull(), F.size(keys)).otherwise(F.size(F.from_json(wrapped, "map<string,string>", options)))
-    parsed = with_once(lines.filter(text != ""), _line=F.from_json(wrapped, schema, options), _members=members)
-    whole = parsed.filter((F.col("_line")["end"] == _END) & (F.col("_members") == 2))
-    return whole.withColumn("record", F.col("_line")["record"]).drop("_line", "_members")
+    mark = F.xxhash64(text).cast("string")
+    wrapped = F.concat(F.lit("["), text, F.lit(f',{{"{_END}":"'), mark, F.lit('"}]'))
+    schema = T.ArrayType(T.StructType([*fields, T.StructField(_END, T.StringType())]))
+    parsed = with_once(lines.filter(text != ""), _parts=F.from_json(wrapped, schema, {"allowSingleQuotes": "false"}), _mark=mark)
+    parts = F.col("_parts")
+    whole = parsed.filter((F.size(parts) == 2) & (parts[1].getField(_END) == F.col("_mark")) & parts[0].isNotNull())
+    return whole.withColumn("record", parts[0]).drop("_parts", "_mark")
 
 
 def json_path(record: Column, path: str) -> Column:
