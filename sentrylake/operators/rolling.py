@@ -50,6 +50,8 @@ def rolling_counts(
         .select("*", F.explode(F.when(any_flag, flagged).otherwise(arrival)).alias("step"))
         .withColumn("t", F.col("us") + step.cast("long") * F.lit(MINUTE))
         .withColumn("chunk", F.col("t") - F.pmod("t", F.lit(chunk)))
+        # said here, not left to the join below, so that both uses of the step table share its shuffle
+        .filter(F.col("chunk").isNotNull())
     )
     if reset_daily:
         points = points.filter(F.to_date(F.timestamp_micros("t")) == F.col(dt))
@@ -65,7 +67,7 @@ def rolling_counts(
     inside = Window.partitionBy(*scope, "chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*scope).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        # is_event is asked for here too: with the same columns on both sides the step table is shuffled once
+        # is_event is asked for here too, for the same reason
         changes.groupBy(*scope, "chunk").agg(*[F.sum(name).alias(name) for name in names], F.max("is_event").alias("_events"))
         .select(*scope, "chunk", "_events", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in names])
     )
