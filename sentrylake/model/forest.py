@@ -117,21 +117,41 @@ def grow_tree(points: np.ndarray, tree_id: int, seed: int, depth_limit: int) ->
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
+def offers(uid: Column, trees: int, share: float, seed: int) -> Column:
+    """The trees that a row is offered to, each with probability ``share``; for most rows of a large table none.
+
+    How many they are is binomial, so it is drawn by the inverse of that distribution from one hash of the id; which
+    ones, from a second hash as a start and a step prime to their number. A row that no tree draws costs two hashes.
+    """
+    chance, passed, limits = (1 - share) ** trees, 0.0, []
+    for k in range(trees):
+        passed += chance
+        limits.append(passed)
+        if 1 - passed < 1e-18:
+            break
+        chance *= (trees - k) / (k + 1) * share / (1 - share)
+    drawn = F.xxhash64(uid, F.lit(seed), F.lit("offers")) / F.lit(2.0**64) + 0.5
+    n = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda limit: limit <= drawn))
+    steps = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
+    which = F.xxhash64(uid, F.lit(seed), F.lit("trees"))
+    first, step = F.pmod(which, F.lit(trees)), F.get(F.array(*map(F.lit, steps)), F.pmod(F.shiftright(which, 20), F.lit(len(steps))).cast("int"))
+    # an empty range if no tree is drawn: sequence(1, 0) would count down
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: F.pmod(first + j * step, F.lit(trees)).cast("int"))
+    return F.when(n > 0, some)
+
+
 def tree_samples(df: DataFrame, uid: str, trees: int, samples: int, n: int, seed: int) -> DataFrame:
     """Each tree's own sample of ``samples`` rows of all, without replacement, as rows with ``tree_id``.
 
-    A tree takes the rows of smallest hash of (id, tree). Every row is offered to every tree, and those under
-    a limit that somewhat more than ``samples`` rows are expected to pass are written; should a tree get too
-    few, the limit is doubled. The cut to ``samples`` is exact.
+    A tree takes the rows of smallest hash of (id, tree) of those that are offered to it, somewhat more than
+    ``samples``, which are written; should a tree get too few, twice as many are offered. Only a table not
+    much larger than a sample is offered to every tree as a whole. The cut to ``samples`` is exact.
     """
     share = (samples + 6 * math.sqrt(samples) + 16) / max(n, 1)
     while True:
-        offered = df.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-            "_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))
-        )
-        if share < 1.0:
-            offered = offered.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
-        offered = stage(offered, "tree-samples")
+        every = F.sequence(F.lit(0), F.lit(trees - 1))
+        offered = df.withColumn("tree_id", F.explode(every if share >= 1.0 else offers(F.col(uid), trees, share, seed)))
+        offered = stage(offered.withColumn("_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))), "tree-samples")
         full = offered.groupBy("tree_id").count().filter(F.col("count") >= min(samples, n)).count()
         if full == trees or share >= 1.0:
             break
@@ -213,6 +233,43 @@ def mean_paths(trees: list[dict[str, np.ndarray]], batch: np.ndarray) -> np.ndar
     return total[back.reshape(-1)] / len(trees)
 
 
+@dataclass(frozen=True)
+class Stacked:
+    """All trees as one array of nodes, so that a batch goes down all of them together; leaves lead to themselves."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    split: np.ndarray
+    below: np.ndarray  # (nodes, 2): where to go if not above the split, if above
+    path: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, trees: list[dict[str, np.ndarray]]) -> "Stacked":
+        sizes = [len(tree["feature"]) for tree in trees]
+        roots = np.cumsum([0, *sizes])[:-1]
+        leaf = np.concatenate([tree["feature"] < 0 for tree in trees])
+        itself = np.arange(len(leaf))
+        left, right = (np.concatenate([tree[side] + root for tree, root in zip(trees, roots)]) for side in ("left", "right"))
+        below = np.where(leaf[:, None], itself[:, None], np.column_stack([left, right]))
+        feature, split, path = (np.concatenate([tree[name] for tree in trees]) for name in ("feature", "split", "path"))
+        return cls(roots, np.maximum(feature, 0), split, below.ravel(), path, max(int(tree["depth"].max()) for tree in trees))
+
+    def mean_paths(self, batch: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
+        """As the function of that name, in as many steps as the deepest tree has levels."""
+        points, back = np.unique(batch, axis=0, return_inverse=True)
+        total, step = np.zeros(len(points)), max(1, cells // len(self.roots))
+        for start in range(0, len(points), step):
+            part = points[start : start + step]
+            flat, base = part.ravel(), np.arange(len(part))[:, None] * part.shape[1]
+            node = np.repeat(self.roots[None, :], len(part), axis=0)
+            for _ in range(self.depth):
+                above = flat[base + self.feature[node]] > self.split[node]
+                node = self.below[2 * node + above]
+            total[start : start + step] = self.path[node].sum(axis=1)
+        return total[back.reshape(-1)] / len(self.roots)
+
+
 def scaled_points(forest: Forest) -> Callable[[tuple[pd.Series, ...]], np.ndarray]:
     """Feature series of one Arrow batch -> scaled matrix; nulls count as 0."""
     centers = np.array([forest.scaler.centers[f] for f in forest.features])
@@ -227,12 +284,12 @@ def scaled_points(forest: Forest) -> Callable[[tuple[pd.Series, ...]], np.ndarra
 
 def isolation(forest: Forest) -> Column:
     """2^(-E[h] / c(samples)) of the feature columns, in (0, 1); only these columns go to Python."""
-    trees, matrix = tree_arrays(forest.nodes), scaled_points(forest)
+    trees, matrix = Stacked.of(tree_arrays(forest.nodes)), scaled_points(forest)
     norm = float(mean_depth(forest.samples)) or 1.0
 
     @F.pandas_udf("double")
     def evaluate(*columns: pd.Series) -> pd.Series:
-        return pd.Series(np.exp2(-mean_paths(trees, matrix(columns)) / norm))
+        return pd.Series(np.exp2(-trees.mean_paths(matrix(columns)) / norm))
 
     return evaluate(*[F.col(f) for f in forest.features])
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylake.model.forest import (
-    Forest, ForestConfig, coerce_features, fit_forest, grow_tree, isolation, mean_depth, mean_paths, numeric_features,
-    score, tree_arrays, tree_samples,
+    Forest, ForestConfig, Stacked, coerce_features, fit_forest, grow_tree, isolation, mean_depth, mean_paths, numeric_features,
+    offers, score, tree_arrays, tree_samples,
 )
 from sentrylake.model.shap import contributions, explain_by_shap, leaf_paths
 
@@ -55,6 +55,29 @@ def test_trees_draw_from_all_rows_of_a_large_table(spark):
     assert ids.count() > 25_000 and ids.agg(F.avg("event_uid")).first()[0] == pytest.approx(30_000, rel=0.02)
 
 
+def test_a_tree_is_offered_its_share_of_rows_and_a_row_no_tree_twice(spark):
+    df = spark.range(20_000).withColumn("trees", offers(F.col("id"), 30, 0.05, 7))
+    assert df.filter(F.size(F.array_distinct("trees")) != F.size("trees")).count() == 0
+    per_tree = {r["tree"]: r["count"] for r in df.select(F.explode("trees").alias("tree")).groupBy("tree").count().collect()}
+    assert sorted(per_tree) == list(range(30)) and all(800 < n < 1200 for n in per_tree.values())
+    per_row = df.select(F.coalesce(F.size("trees"), F.lit(0)).alias("n")).groupBy("n").count().collect()
+    for r in per_row:
+        if r["n"] <= 4:  # binomial
+            want = 20_000 * math.comb(30, max(r["n"], 0)) * 0.05 ** max(r["n"], 0) * 0.95 ** (30 - max(r["n"], 0))
+            assert r["count"] == pytest.approx(want, rel=0.1)
+
+
+def test_stacked_trees_equal_one_by_one():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    data = np.round(rng.normal(size=(300, 5)), 1)
+    trees = tree_arrays(pd.concat([grow_tree(data[rng.integers(0, 300, 64)], t, 3, 6) for t in range(25)]))
+    trees += tree_arrays(grow_tree(np.ones((4, 5)), 99, 3, 6))  # a tree of one leaf
+    batch = np.concatenate([data, rng.normal(size=(200, 5)) * 9, np.full((1, 5), np.inf)])
+    assert Stacked.of(trees).mean_paths(batch, cells=400) == pytest.approx(mean_paths(trees, batch))
+
+
 def test_fit_does_not_depend_on_partitions(points, forest):
     again = fit_forest(points.repartition(13), NAMES, CONFIG)
     assert forest.nodes.equals(again.nodes) and forest.offset == again.offset
