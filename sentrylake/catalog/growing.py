@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.alerts import select_alerts
 from ..operators.carried import advance, labelled_rows
+from ..operators.daily import days_between, overview_of_days, quantile_of_days, refresh_days
 from ..operators.features import event_flags
 from ..operators.segments import segment_context
 from ..schema import FLAGS, STORE_SCHEMA
@@ -15,7 +16,8 @@ from ..session import new_folder
 from ..sources.batches import append_batch, merge_batches, read_batches
 from ..sources.jsonl import ZEEK_CONN
 from ..sources.skipping import build_index, cluster_by_host, host_rows_indexed
-from ..sources.store import union_sources
+from ..sources.logs import read_logs
+from ..sources.store import union_sources, write_days
 from ..streaming.files import available, json_reader, log_reader
 from .features import _counts_sql
 from .ingest import _zeek_lines
@@ -139,7 +141,78 @@ SELECT event_uid, {ts_sql('event_ts')} AS event_ts, host_name, user_name, source
 WHERE host_name = 'host3' OR host_name IS NULL
   OR (host_name = 'host7' AND event_ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 00:00:00')"""
 
+def _scored_days(spark: SparkSession, sf_dir: str) -> tuple[str, str, DataFrame]:
+    """A score table by day and its summaries, of which one day was written later than the others."""
+    root = new_folder(spark, "daily")
+    rows = events(spark, sf_dir).select("event_uid", "event_ts", "dt", "host_name", F.col("score_proxy").alias("anom_score"))
+    late = F.dayofmonth("dt") == 7
+    for part in (rows.filter(~late), rows.filter(late)):
+        write_days(part, f"{root}/scores", ["dt"], ["event_ts"])
+        refresh_days(spark, f"{root}/scores", f"{root}/days")
+    return f"{root}/scores", f"{root}/days", spark.read.parquet(f"{root}/scores")
+
+
+SPANS = [(None, None), ("2024-01-05", "2024-01-14"), ("2030-01-01", None)]
+
+
+def overview_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview of spans of days, from the summaries alone."""
+    _, days, _ = _scored_days(spark, sf_dir)
+    frames = [
+        overview_of_days(days_between(spark, days, *span)).withColumn("span", F.lit(number)) for number, span in enumerate(SPANS)
+    ]
+    return report(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+
+
+def score_quantile_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact thresholds of spans of days, bracketed by their sketches."""
+    _, days, scores = _scored_days(spark, sf_dir)
+    rows = [(number, p, quantile_of_days(scores, days_between(spark, days, *span), p)) for number, span in enumerate(SPANS[:2]) for p in (0.5, 0.95, 1.0)]
+    return report(spark.createDataFrame(rows, "span int, p double, threshold double"))
+
+
+def _spans_sql() -> str:
+    rows = ", ".join(f"({n}, DATE '{first or '0001-01-01'}', DATE '{last or '9999-12-31'}')" for n, (first, last) in enumerate(SPANS))
+    return f"spans(span, first, last) AS (VALUES {rows})"
+
+
+OVERVIEW_DAYS = f"""
+WITH {EVENTS_SQL}, {_spans_sql()}
+SELECT span, count(event_uid) AS n_rows, round(max(score_proxy), 6) AS max_score, {ts_sql('min(event_ts)')} AS first_ts,
+  {ts_sql('max(event_ts)')} AS last_ts, count(DISTINCT host_name) AS n_hosts
+FROM spans LEFT JOIN v0 ON dt BETWEEN first AND last GROUP BY span"""
+
+SCORE_QUANTILE_DAYS = f"""
+WITH {EVENTS_SQL}, {_spans_sql()}, ps(p) AS (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE))
+SELECT span, p, round(CASE p WHEN 0.5 THEN quantile_cont(score_proxy, 0.5) WHEN 0.95 THEN quantile_cont(score_proxy, 0.95)
+  ELSE max(score_proxy) END, 6) AS threshold
+FROM spans JOIN v0 ON dt BETWEEN first AND last, ps WHERE span < 2 GROUP BY span, p"""
+
+
+def syslog_new_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files of three machines that run from December to January, without a year in their lines."""
+    v0, path = events(spark, sf_dir), new_folder(spark, "new-year")
+    v0 = v0.withColumn("event_ts", F.col("event_ts") - F.expr("INTERVAL 15 DAYS"))
+    stamp = F.concat(
+        F.date_format("event_ts", "MMM"), F.lit(" "), F.lpad(F.date_format("event_ts", "d"), 2, " "), F.lit(" "), F.date_format("event_ts", "HH:mm:ss")
+    )
+    line = F.concat(stamp, F.lit(" "), "host_name", F.lit(" sshd[77]: session "), F.col("event_uid").cast("string"))
+    noise = F.when(F.col("event_uid") % 10 == 0, F.array(line, F.lit("no time here"))).otherwise(F.array(line))
+    for machine in range(3):
+        own = v0.filter(F.col("event_uid") % 3 == machine).orderBy("event_ts", "event_uid").coalesce(1)
+        own.select(F.explode(noise).alias("value")).write.text(f"{path}/machine{machine}.log")
+    found = read_logs(spark, path, 2024, pattern="*.txt", over_new_year=True)
+    return report(found.select("event_ts", "host_name", "message"))
+
+
+SYSLOG_NEW_YEAR = f"""
+WITH {EVENTS_SQL}
+SELECT {ts_sql("date_trunc('second', event_ts - INTERVAL 15 DAYS)")} AS event_ts, host_name, 'session ' || event_uid AS message FROM v0"""
+
 QUERIES = {
+    "overview_days": (overview_days, OVERVIEW_DAYS),
+    "score_quantile_days": (score_quantile_days, SCORE_QUANTILE_DAYS),
+    "syslog_new_year": (syslog_new_year, SYSLOG_NEW_YEAR),
     "store_batches": (store_batches, STORE_BATCHES),
     "stream_files": (stream_files, STREAM_FILES),
     "sessions_incremental": (sessions_incremental, SESSIONS_INCREMENTAL),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evidence import Run
@@ -10,7 +13,7 @@ from ..schema import ID_COLUMNS, STORE_SCHEMA, feature_names
 from ..session import new_folder
 from ..sources.store import write_store
 from .features import FEATURES_SQL
-from .views import day_sql, events, report, ts_sql
+from .views import EVENTS_SQL, day_sql, events, report, ts_sql
 
 NOW = "2025-01-01T00:00:00Z"
 
@@ -59,7 +62,30 @@ def stage_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and days of the table that each stage writes, with a training sample of 20 rows a day."""
+    settings = replace(_stored(spark, sf_dir), sample_per_day=20, max_scores=500)
+    featurize(spark, settings)
+    train(spark, settings)
+    alerts(spark, settings, NOW)
+    frames = []
+    for name in ("ecs", "features", "sample", "scores", "scores_capped", "alerts"):
+        rows = spark.read.parquet(settings.path(name))
+        frames.append(rows.agg(F.count("*").alias("n_rows"), F.count_distinct("dt" if name != "scores_capped" else F.lit(1)).alias("n_days")).withColumn("stage", F.lit(name)))
+    return report(reduce(DataFrame.unionByName, frames).filter("stage <> 'alerts'").unionByName(
+        frames[-1].withColumn("n_days", F.lit(0)).filter("n_rows > 0")
+    ))
+
+
+STAGE_COUNTS = f"""
+WITH {EVENTS_SQL}, days AS (SELECT dt, count(*) AS n FROM v0 GROUP BY dt), n AS (SELECT count(*) AS n, count(DISTINCT dt) AS d FROM v0)
+SELECT stage, n AS n_rows, d AS n_days FROM n, (VALUES ('ecs'), ('features'), ('scores')) AS s(stage)
+UNION ALL SELECT 'sample', CAST(sum(least(n, 20)) AS BIGINT), count(*) FROM days
+UNION ALL SELECT 'scores_capped', least(n, 500), 1 FROM n
+UNION ALL SELECT 'alerts', least(10, n), 0 FROM n"""
+
 QUERIES = {
+    "stage_counts": (stage_counts, STAGE_COUNTS),
     "stage_features": (stage_features, STAGE_FEATURES),
     "stage_alerts": (stage_alerts, None),
     "stage_bundles": (stage_bundles, None),

@@ -79,9 +79,10 @@ def day_first_time(value: Column, unit: str | None = None) -> Column:
     return F.coalesce(utc_time(value, unit), other)
 
 
-def syslog_time(month: Column, day: Column, clock: Column, year: int, tz: str = "UTC") -> Column:
+def syslog_time(month: Column, day: Column, clock: Column, year: int | Column, tz: str = "UTC") -> Column:
     """Syslog has no year: add the given one, read as local time of ``tz``, return UTC."""
-    text = F.concat_ws(" ", F.lit(str(year)), F.initcap(F.lower(month)), day, clock)
+    year = year if isinstance(year, Column) else F.lit(year)
+    text = F.concat_ws(" ", year.cast("string"), F.initcap(F.lower(month)), day, clock)
     return F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")), tz)
 
 

@@ -38,7 +38,7 @@ class Settings:
     quoted_newlines: bool = False
     recursive: bool = True
     compression: str = "zstd"
-    sample_per_day: int | None = None  # train on so many rows of a day; None: on all
+    sample_per_day: int | None = None  # train on so many rows of a day, written as the table ``sample``; None: on all
     max_scores: int | None = None  # also write a copy of the scores of at most so many rows
     threshold_method: str = "quantile"
     top_n: int = 10
@@ -79,18 +79,21 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, str]:
 
 
 def featurize(spark: SparkSession, settings: Settings) -> DataFrame:
-    """Features of all days."""
+    """Features of all days, and where its size is set the training sample, which may be empty."""
     features = feature_table(read_store(spark, settings.path("ecs")))
     write_days(features, settings.path("features"), ["dt"], ["event_ts"])
-    return spark.read.schema(features.schema).parquet(settings.path("features"))
+    table = spark.read.schema(features.schema).parquet(settings.path("features"))
+    if settings.sample_per_day is not None:
+        sample = sample_per_day(table, settings.sample_per_day, seed=settings.forest.random_state)
+        sample.write.mode("overwrite").option("compression", settings.compression).parquet(settings.path("sample"))
+    return table
 
 
 def train(spark: SparkSession, settings: Settings) -> Forest:
     """Fit on all rows of the feature table and write their scores; on a sample only where its size is set."""
     table = read_table(spark, settings.path("features"))
     if settings.sample_per_day is not None:
-        sample = sample_per_day(table, settings.sample_per_day, seed=settings.forest.random_state)
-        forest = fit_forest(sample, config=settings.forest)
+        forest = fit_forest(read_table(spark, settings.path("sample")), config=settings.forest)
         scored = score(table, forest)
     else:
         forest, scored = fit_and_score(table, config=settings.forest)

@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def text_lines(
-    spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False
+    spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, places: bool = False
 ) -> DataFrame:
-    """Lines with ``value`` and ``file_path``; a missing path gives an empty frame."""
+    """Lines with ``value`` and ``file_path``; a missing path gives an empty frame.
+
+    With ``places`` also where they stand: ``file_at``, the start of their split in the file, and ``row``, which grows
+    along the split. The rows must be written before they are moved, since ``row`` is that of the scan.
+    """
+    more = [F.col("_metadata.file_block_start").alias("file_at"), F.monotonically_increasing_id().alias("row")] if places else []
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     try:
-        return reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+        return reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"), *more)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "value string, file_path string")
+        return spark.createDataFrame([], "value string, file_path string" + ", file_at bigint, row bigint" * places)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
