@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .neighbours import with_neighbours
 
-ROWS, WIDTH = 3, 4
+ROWS, WIDTH = 3, 8
 LONG = 48  # code points of a paragraph from which it is cut further
 _PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -184,8 +184,8 @@ def likeness(left: Sets, right: Sets, built: tuple[Sketches, Sketches] | None =
 
 
 def written(cells: Sketches) -> list[bytes]:
-    """Each text's sketch as counts (16 bits), digest sums (64) and checksums (16), low bits first."""
-    parts = (cells.count.astype("<i2"), cells.key.astype("<u8"), cells.check.astype("<u2"))
+    """Each text's sketch as counts (32 bits), digest sums (64) and checksums (32), low bits first."""
+    parts = (cells.count.astype("<i4"), cells.key.astype("<u8"), cells.check.astype("<u4"))
     return [b"".join(p[i].tobytes() for p in parts) for i in range(len(cells.count))]
 
 

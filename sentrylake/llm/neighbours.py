@@ -2,8 +2,9 @@
 
 The table is dealt by ranges of the order and sorted inside its partitions. A task streams over its
 partition and holds one batch and two rows. The first and last row of a partition lack a neighbour: they
-are written with what is known and paired afterwards, two rows per partition, so that nothing but these
-is ever brought together. The streamed results are written, which also fixes the partition numbers.
+are written with what is known and paired afterwards, two rows per partition. What is brought together to find
+out who follows whom are their numbers; the rows themselves come by an equi-join on these. The streamed
+results are written, which also fixes the partition numbers.
 """
 
 from __future__ import annotations
@@ -88,17 +89,22 @@ def with_neighbours(
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     held = StructType.fromDDL(f"{schema}, _part int, _place int, _own {own}, _inner {own}")
     staged = stage(ranged.mapInArrow(stream, held), name)
+    # two rows per partition; a partition of one row has only its last, whose inner neighbour is missing
+    open_rows = staged.where("_part IS NOT NULL").select("_part", "_place", "_own", "_inner")
     ends = Window.orderBy("_part", "_place")
     every = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag("_own").over(ends), F.lead("_own").over(ends)
+    at = F.struct("_part", "_place")
+    before, after = F.lag(at).over(ends), F.lead(at).over(ends)
     if wrap:
-        before, after = F.coalesce(before, F.last("_own").over(every)), F.coalesce(after, F.first("_own").over(every))
-    # two rows per partition; a partition of one row has only its last, whose inner neighbour is missing
-    open_rows = staged.where("_part IS NOT NULL").select("_part", "_place", "_own", "_inner").withColumns(
-        {"_before": before, "_after": after}
-    )
+        before, after = F.coalesce(before, F.last(at).over(every)), F.coalesce(after, F.first(at).over(every))
+    numbers = open_rows.select("_part", "_place", F.col("_inner").isNull().alias("_alone")).withColumns({"_b": before, "_a": after})
     first = F.col("_place") == 0
-    paired = open_rows.select(
+    links = numbers.select(
+        "_part", "_place", F.when(first | F.col("_alone"), F.col("_b")).alias("_b"), F.when(~first, F.col("_a")).alias("_a")
+    )
+    beside = [open_rows.select(F.struct("_part", "_place").alias(key), F.col("_own").alias(name)) for key, name in (("_b", "_before"), ("_a", "_after"))]
+    found = links.join(beside[0], "_b", "left").join(beside[1], "_a", "left").select("_part", "_place", "_before", "_after")
+    paired = open_rows.join(found, ["_part", "_place"]).select(
         F.when(first, F.col("_before")).otherwise(F.coalesce("_inner", "_before")).alias("_before"), "_own",
         F.when(first, F.col("_inner")).otherwise(F.col("_after")).alias("_after"),
     )
