@@ -129,33 +129,30 @@ def quartiles(sketched: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def fences(sketched: DataFrame, min_docs: int = 200, reach: int = 3) -> DataFrame:
+def fences(sketched: DataFrame, weight: int = 200, reach: int = 3) -> DataFrame:
     """One row per (lang, source) with columns ``<rate>_high``, and ``<rate>_low`` for two-sided rates.
 
-    A group with fewer than ``min_docs`` documents takes the quartiles of its language, and a small
-    language those of all documents. The tables joined have one row per group and rate.
+    A group's quartiles are blended with those of its language as if ``weight`` documents spoke for these, and a
+    language's in the same way with those of all documents: the larger a group, the more its own count. The
+    tables joined have one row per group and rate.
     """
-    own = quartiles(sketched, ["lang", "source"])
-    by_lang = quartiles(sketched, ["lang"]).select(
-        F.col("lang").alias("_l"), F.col("rate").alias("_lr"), F.struct("docs", "q1", "q3").alias("of_lang")
-    )
-    overall = quartiles(sketched, []).select(F.col("rate").alias("_r"), F.struct("docs", "q1", "q3").alias("of_all"))
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("rate") == F.col("_lr"))).join(
-        overall, F.col("rate") == F.col("_r")
-    )
-    chosen = (
-        F.when(F.col("docs") >= min_docs, F.struct("docs", "q1", "q3"))
-        .when(F.col("of_lang.docs") >= min_docs, F.col("of_lang"))
-        .otherwise(F.col("of_all"))
+
+    def blended(docs: str, mine: str, whole: str) -> Column:
+        return (F.col(docs) * F.col(mine) + weight * F.col(whole)) / (F.col(docs) + weight)
+
+    overall = quartiles(sketched, []).select(F.col("rate").alias("_r"), F.col("q1").cast("double").alias("a1"), F.col("q3").cast("double").alias("a3"))
+    by_lang = quartiles(sketched, ["lang"]).join(overall, F.col("rate") == F.col("_r")).select(
+        F.col("lang").alias("_l"), F.col("rate").alias("_lr"), blended("docs", "q1", "a1").alias("l1"), blended("docs", "q3", "a3").alias("l3")
     )
-    ranged = joined.withColumn("_q", chosen)
+    ranged = quartiles(sketched, ["lang", "source"]).join(by_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("rate") == F.col("_lr")))
+    ranged = ranged.select("lang", "source", "rate", blended("docs", "q1", "l1").alias("q1"), blended("docs", "q3", "l3").alias("q3"))
     columns = []
     for name, (_, _, _, least, two_sided) in RATES.items():
-        spread = F.greatest(F.col("_q.q3") - F.col("_q.q1"), F.lit(least))
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(float(least)))
         mine = F.col("rate") == name
-        columns.append(F.max(F.when(mine, F.col("_q.q3") + reach * spread)).alias(f"{name}_high"))
+        columns.append(F.max(F.when(mine, F.col("q3") + reach * spread)).alias(f"{name}_high"))
         if two_sided:
-            columns.append(F.max(F.when(mine, F.col("_q.q1") - reach * spread)).alias(f"{name}_low"))
+            columns.append(F.max(F.when(mine, F.col("q1") - reach * spread)).alias(f"{name}_low"))
     return ranged.groupBy("lang", "source").agg(*columns)
 
 
@@ -171,13 +168,13 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return measured.withColumn("_base_failed", base_failed()).join(limits, same).withColumn("_kept", verdict)
 
 
-def assess(documents: DataFrame, carry: list[Column] | None = None, min_docs: int = 200, reach: int = 3) -> DataFrame:
+def assess(documents: DataFrame, carry: list[Column] | None = None, weight: int = 200, reach: int = 3) -> DataFrame:
     """One row per document with the measures, ``base_failed`` and ``kept``, and the columns of ``carry``."""
     slim = documents.select("doc_id", "lang", "source", "text", *(carry or []))
     measured = measure(slim)
     measured = stage(measured.drop("text"), "quality-measures")
     # written, so that the planner knows how small they are before it moves documents to them
-    judged = judge(measured, stage(fences(sketch(measured), min_docs, reach), "quality-fences"))
+    judged = judge(measured, stage(fences(sketch(measured), weight, reach), "quality-fences"))
     extra = [c for c in slim.columns if c not in ("doc_id", "lang", "source", "text")]
     return judged.select(
         "doc_id", *[F.col(f"_m.{m}").alias(m) for m in MEASURES],

@@ -90,12 +90,14 @@ WITH d AS (
   FROM b GROUP BY lang, rate
 ), overall AS (
   SELECT rate, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY rate
+), l AS (
+  SELECT by_lang.lang, by_lang.rate, (docs * by_lang.q1 + 200 * a.q1::DOUBLE) / (docs + 200) AS q1,
+    (docs * by_lang.q3 + 200 * a.q3::DOUBLE) / (docs + 200) AS q3
+  FROM by_lang JOIN overall a ON a.rate = by_lang.rate
 ), f AS (
-  SELECT own.lang, own.source, own.rate,
-    CASE WHEN own.docs >= 200 THEN own.q1 WHEN l.docs >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN own.docs >= 200 THEN own.q3 WHEN l.docs >= 200 THEN l.q3 ELSE a.q3 END AS q3
-  FROM own JOIN by_lang l ON own.rate = l.rate AND own.lang IS NOT DISTINCT FROM l.lang
-  JOIN overall a ON a.rate = own.rate
+  SELECT own.lang, own.source, own.rate, (own.docs * own.q1 + 200 * l.q1) / (own.docs + 200) AS q1,
+    (own.docs * own.q3 + 200 * l.q3) / (own.docs + 200) AS q3
+  FROM own JOIN l ON own.rate = l.rate AND own.lang IS NOT DISTINCT FROM l.lang
 ), g AS (
   SELECT lang, source, rate,
     q3 + 3 * greatest(q3 - q1, CASE rate WHEN 'symbols' THEN 300 WHEN 'repeated' THEN 1200 WHEN 'dup_lines' THEN 2000
