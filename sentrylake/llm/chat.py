@@ -5,7 +5,8 @@ assistant and all others as named users; system turns stay system turns. Only th
 assistant's turns are trained on. The result has one row per participant and turn: the rendered segment,
 where it lies in the dialogue (the segments in order, code points, end exclusive) and the part of it that is
 trained on (empty where none). Rows instead of whole dialogues, because a conversation has no bound: its turns are ranked by
-ranges and their lengths summed in chunks, so that a conversation of a third of all rows is spread.
+ranges and their lengths summed in chunks, so that a conversation of a third of all rows is spread. ``dialogues``
+puts the segments together as text, in parts of bounded length.
 
 Defined cases: a null text is empty; a null speaker is a user named ``unknown`` and no participant; a null
 conv_id is a conversation of its own; null turns come last, equal ones by speaker and text; repeated rows
@@ -24,6 +25,7 @@ from ..session import stage
 from .common import position_in_group
 
 CHUNK = 4096  # turns whose lengths one window sums
+PART = 1 << 20  # code points at which a rendered dialogue goes on in another row
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -82,3 +84,19 @@ def rotate(conversations: DataFrame, system: Sequence[str] = ("system",)) -> Dat
         F.when(trained, F.col("start") + F.length(header)).otherwise(F.col("stop")).alias("mask_start"),
         F.when(trained, F.col("stop") - 1).otherwise(F.col("stop")).alias("mask_stop"),
     )
+
+
+def dialogues(rotated: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, perspective, part, start, text, masks: the rendered dialogue of every participant with its masks.
+
+    A dialogue is one row, or if it is longer several that follow each other: a segment is in the part in which it
+    begins. ``masks`` are the spans to train on, in code points of the whole dialogue, end exclusive.
+    """
+    rows = rotated.select("conv_id", "perspective", F.floor(F.col("start") / part).alias("part"), "start", "segment", "trained", "mask_start", "mask_stop")
+    ordered = F.sort_array(F.collect_list(F.struct("start", "segment", "trained", "mask_start", "mask_stop")))
+    held = rows.groupBy("conv_id", "perspective", "part").agg(ordered.alias("_s"))
+    spans = F.transform(F.filter("_s", lambda x: x["trained"]), lambda x: F.struct(x["mask_start"].alias("start"), x["mask_stop"].alias("stop")))
+    return held.select(
+        "conv_id", "perspective", "part", F.col("_s")[0]["start"].alias("start"),
+        F.array_join(F.transform("_s", lambda x: x["segment"]), "").alias("text"), spans.alias("masks"),
+    )

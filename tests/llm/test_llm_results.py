@@ -15,7 +15,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sentrylake.llm import boosted_trees, bpe, components, html_diff, html_lines, iblt, line_dedup, secret_scan, simhash
+from sentrylake.llm import boosted_trees, bpe, chat, components, html_diff, html_lines, iblt, line_dedup, quality_rules, secret_scan, simhash
 from sentrylake.llm.catalog import QUERIES
 from sentrylake.llm.lexicon import Lexicon, compile_lexicon
 from sentrylake.llm.queries_native import OP2_SQL, OP3_SQL
@@ -488,3 +488,48 @@ def test_random_keys_of_every_alphabet_and_length(spark):
     # 24 or 32 characters of base32 and base36 are less unlike text: fewer of them are discoveries at the rate
     least = {("base32", 24): 5, ("base32", 32): 20, ("base36", 24): 20}
     assert {(a, n): k for (a, n), k in found.items() if k < least.get((a.split()[-1], n), 27)} == {}
+
+
+@pytest.mark.parametrize("part", [1 << 20, 200])
+def test_dialogues_of_every_participant(spark, part):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id < 40")
+    turns = sorted((r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in rows.collect())
+    found = {}
+    for r in chat.dialogues(chat.rotate(rows), part).collect():
+        found.setdefault((r["conv_id"], r["perspective"]), []).append((r["start"], r["text"], r["masks"]))
+    people = {(conv, role) for conv, _, role, _ in turns if role not in (None, "system")}
+    assert set(found) == people
+    assert part > 200 or any(len(parts) > 1 for parts in found.values())
+    for (conv, who), parts in found.items():
+        parts.sort()
+        text = "".join(t for _, t, _ in parts)
+        want, trained = "", []
+        for _, _, role, said in (t for t in turns if t[0] == conv):
+            name = "system" if role == "system" else "assistant" if role == who else f"user name={role}"
+            want += f"<|im_start|>{name}\n{said}<|im_end|>\n"
+            if role == who:
+                trained.append(f"{said}<|im_end|>")
+        assert text == want
+        assert [text[m["start"] : m["stop"]] for _, _, masks in parts for m in masks] == trained
+        assert [start for start, _, _ in parts] == [sum(len(t) for _, t, _ in parts[:i]) for i in range(len(parts))]
+
+
+def test_two_sources_of_different_habits_have_different_fences(spark):
+    def group(source, symbols, n):
+        return [(i, "en", source, ("word " * 9 + "# " * symbols) * 10) for i in range(n)]
+
+    docs = spark.createDataFrame(group("plain", 0, 900) + group("marked", 4, 900) + group("few", 0, 5), "doc_id bigint, lang string, source string, text string")
+    limits = {r["source"]: r["symbols_high"] for r in quality_rules.fences(quality_rules.sketch(quality_rules.measure(docs))).collect()}
+    assert limits["marked"] > limits["plain"] + 1500
+    # a small group goes by its language, of which half have symbols
+    assert limits["plain"] < limits["few"]
+
+
+def test_fences_change_little_as_a_group_grows(spark):
+    def limit(n):
+        rows = [(i, "en", "own" if i < n else "other", "word " * 9 * 10 + "# " * (30 if i < n else 0)) for i in range(n + 400)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+        return {r["source"]: r["symbols_high"] for r in quality_rules.fences(quality_rules.sketch(quality_rules.measure(docs))).collect()}["own"]
+
+    sizes = [limit(n) for n in (198, 199, 200, 201)]
+    assert max(sizes) - min(sizes) < 0.02 * max(sizes)
