@@ -35,6 +35,16 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
         .load(path)
         .select("path", F.col("length").alias("size"))
     )
+    return hashed(files).unionByName(hashed_empty(spark, path, pattern))
+
+
+def hashed_empty(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The files of zero bytes as ``file_hashes`` gives them."""
+    return empty_files(spark, path, pattern).withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """``path``, ``sha256``, ``size`` of the files listed by path and size, which are read here."""
 
     def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,9 +57,7 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
                 digests.append(digest.hexdigest())
             yield pd.DataFrame({"path": batch["path"], "sha256": digests, "size": batch["size"]})
 
-    hashed = files.mapInPandas(in_blocks, "path string, sha256 string, size bigint")
-    empty = empty_files(spark, path, pattern).withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
-    return hashed.unionByName(empty)
+    return files.select("path", "size").mapInPandas(in_blocks, "path string, sha256 string, size bigint")
 
 
 @dataclass(frozen=True)

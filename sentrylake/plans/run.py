@@ -15,6 +15,7 @@ from ..operators.evidence import (
 )
 from ..operators.explain import triage
 from ..operators.features import feature_table
+from ..operators.merkle import update
 from ..operators.quantiles import exact_quantiles
 from ..operators.sampling import capped, sample_per_day
 from ..session import stage
@@ -146,7 +147,7 @@ def bundles(spark: SparkSession, settings: Settings, run: Run) -> str:
         read_store(spark, settings.path("ecs")), found.select("alert_id", "event_ts"), settings.context_minutes
     )
     lines = context_lines(context).select("alert_id", F.lit("raw_logs.jsonl").alias("file_name"), "content")
-    inputs = stage(file_hashes(spark, settings.path("ecs"), "*.parquet"), "input-hashes")  # read and hashed once
+    inputs = update(spark, settings.path("ecs"), settings.path("evidence"), "*.parquet")  # only files that are new are read
     documents = bundle_documents(found, forest.features, params=forest.params())
     files = stage(documents.unionByName(lines), "bundle-files")
     content = files.unionByName(manifest_documents(bundle_manifest(files)))
