@@ -74,6 +74,15 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges, edges[1:])]
 
 
+def blocks_for(n: int, max_bits: int) -> int:
+    """Blocks for ``n`` fingerprints: more of them make longer keys, which few share by chance, but more keys each."""
+    for blocks in range(max_bits + 3, 16):
+        bits = 64 * (blocks - max_bits) // blocks
+        if n <= 1 << max(bits - 2, 0):
+            return blocks
+    return 16
+
+
 def links(nodes: DataFrame, max_bits: int = 4, blocks: int = 7, crowd: int = 256) -> DataFrame:
     """(fp) distinct -> (a, b) pairs that differ in ``max_bits`` bits or fewer and connect all such pairs."""
     masks, agree = block_masks(blocks), blocks - max_bits
@@ -129,7 +138,7 @@ def _crowd_links(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 7, crowd: int = 256,
+    documents: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int | None = None, crowd: int = 256,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: doc_id, fp (bigint), component_id, and the columns of ``carry``."""
@@ -137,9 +146,10 @@ def near_duplicates(
     return _grouped(stage(prints, "simhash"), max_bits, blocks, crowd)
 
 
-def _grouped(prints: DataFrame, max_bits: int, blocks: int, crowd: int) -> DataFrame:
-    """Add component_id to documents with fingerprints."""
+def _grouped(prints: DataFrame, max_bits: int, blocks: int | None, crowd: int) -> DataFrame:
+    """Add component_id to documents with fingerprints. The links are the same for any number of blocks."""
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    blocks = blocks or blocks_for(nodes.count(), max_bits)
     rooted = components(links(nodes.select("fp"), max_bits, blocks, crowd))
     labelled = nodes.join(rooted, F.col("fp") == F.col("node"), "left")
     labelled = stage(labelled.select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
@@ -152,7 +162,7 @@ def hex_print(fp: Column) -> Column:
 
 
 def one_of_each(
-    documents: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 7, crowd: int = 256
+    documents: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int | None = None, crowd: int = 256
 ) -> DataFrame:
     """The rows of ``documents``, one of each component: the one with the smallest doc_id.
 
