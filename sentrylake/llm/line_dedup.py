@@ -2,14 +2,14 @@
 
 A line's key is the line with ASCII spaces stripped at both ends and A-Z lower-cased; lines with a key
 shorter than ``min_chars`` are never touched. A run holds, sorted by 128-bit key hash, in how many
-documents of its batches a key was found and the largest doc_id that holds it. Every batch adds a run on
-the lowest level; ``fanout`` runs of a level are compacted into one of the next, which adds the counts.
-A batch is merged with the runs on the hash: keys found in ``min_docs`` documents or more lose their
-lines, except in the largest doc_id. The lines that stay are the anti join; what is computed is its
-complement, the far fewer lines that go.
+documents of its batch a key was found and the largest doc_id that holds it. Each batch is merged with
+the runs on the hash: keys that no run has (the anti join) become a run of the lowest level, what it adds to
+known keys is kept as hits; ``fanout`` runs of a level are compacted into one of the next. Keys found in
+``min_docs`` documents or more lose their lines, except in the largest doc_id. What is computed in the end is
+the lines that go, which are far fewer than those that stay.
 
-``dedup`` adds the runs of all batches first and then joins the keys of all batches with them once, so that the
-result does not depend on the batches. ``LineRuns`` serves batches that arrive over time.
+``dedup`` cuts the documents into batches by hash and adds one after the other; a line goes by its count over all of
+them, so the result does not depend on the batches. ``LineRuns`` serves batches that arrive over time as well.
 
 Defined cases: null and empty text is one empty line; a null doc_id counts as the smallest; each row is a
 document of its own, so of rows that share the largest doc_id all keep their lines; texts that lose all
@@ -19,6 +19,7 @@ lines become empty; an empty table gives an empty result; other columns are carr
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -68,10 +69,14 @@ def line_keys(documents: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Runs by level. A run is a Parquet folder, partitioned by ranges of the hash and sorted by it."""
+    """Runs by level. A run is a Parquet folder, partitioned by ranges of the hash and sorted by it.
+
+    A key is in one run only, that of the batch in which it came first, with its count there; what later batches
+    add to it is kept apart as hits.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
-        self.spark, self.fanout, self.levels = spark, fanout, []
+        self.spark, self.fanout, self.levels, self.hits = spark, fanout, [], []
 
     def _write(self, rows: DataFrame) -> str:
         path = new_folder(self.spark, "line-run")
@@ -83,28 +88,41 @@ class LineRuns:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).parquet(*paths)
 
+    def _runs(self) -> DataFrame:
+        return self._read([path for level in self.levels for path in level])
+
     def add(self, keys: DataFrame) -> None:
-        """Add a batch (rows of ``line_keys``) as a run, and compact full levels."""
-        run = self._write(keys.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")))
-        level = 0
+        """Merge a batch (rows of ``line_keys``) with the runs: keys that none has become a run, the others hits.
+
+        Full levels are compacted.
+        """
+        batch = stage(keys.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")), "line-batch")
+        if any(self.levels):
+            known = self._runs().select("h", "g")
+            self.hits.append(stage(batch.join(known, ["h", "g"], "left_semi"), "line-hits"))
+            batch = batch.join(known, ["h", "g"], "left_anti")
+        run, level = self._write(batch), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, old = self._write(self._merged(self.levels[level])), self.levels[level]
+            run, old = self._write(self._read(self.levels[level])), self.levels[level]
             self.levels[level] = []
             for path in old:  # emptied, so that a compacted run holds no disk
                 self.spark.createDataFrame([], RUN).coalesce(1).write.mode("overwrite").parquet(path)
             level += 1
 
-    def _merged(self, paths: Sequence[str]) -> DataFrame:
-        return self._read(paths).groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
     def repeated(self, min_docs: int) -> DataFrame:
         """Keys found in ``min_docs`` documents or more, with the largest doc_id."""
-        return self._merged([p for level in self.levels for p in level]).where(F.col("n") >= min_docs)
+        if not self.hits:
+            return self._runs().where(F.col("n") >= min_docs)
+        hits = reduce(DataFrame.unionByName, self.hits).groupBy("h", "g").agg(F.sum("n").alias("_n"), F.max("last").alias("_last"))
+        counted = self._runs().join(hits, ["h", "g"], "left").select(
+            "h", "g", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("last", "_last").alias("last")
+        )
+        return counted.where(F.col("n") >= min_docs)
 
     def going(self, keys: DataFrame, min_docs: int) -> DataFrame:
         """Line numbers that go, per document: (doc_id, text_hash, gone)."""

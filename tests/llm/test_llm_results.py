@@ -355,7 +355,7 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
-@pytest.mark.parametrize("max_bits, blocks, crowd", [(4, 7, 256), (4, 7, 3), (4, 5, 2), (3, 6, 2), (2, 4, 5)])
+@pytest.mark.parametrize("max_bits, blocks, crowd", [(4, 7, 256), (4, 7, 3), (4, 5, 2), (3, 6, 2), (2, 4, 5), (4, 9, 256)])
 def test_links_join_all_close_pairs(spark, max_bits, blocks, crowd):
     """Joined pairs and crowded keys give the components of all pairs, and no pair that is too far apart."""
     rng = np.random.default_rng(7)
@@ -533,3 +533,21 @@ def test_fences_change_little_as_a_group_grows(spark):
 
     sizes = [limit(n) for n in (198, 199, 200, 201)]
     assert max(sizes) - min(sizes) < 0.02 * max(sizes)
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 4), (2, 2), (7, 2), (5, 3)])
+def test_runs_do_not_depend_on_batches(spark, batches, fanout):
+    """One batch at a time gives the counts of all lines at once, and a key lies in one run."""
+    rows = [(i, "\n".join(f"line {k % (3 + i % 11)} that is long enough to have a key" for k in range(i % 6))) for i in range(120)]
+    keys = line_dedup.line_keys(spark.createDataFrame(rows + [(None, rows[5][1])], "doc_id bigint, text string"), 20).cache()
+    runs = line_dedup.LineRuns(spark, fanout)
+    for number in range(batches):
+        runs.add(keys.where(f"coalesce(doc_id, 3) % {batches} = {number}"))
+    want = {(r["h"], r["g"]): (r["n"], r["last"]) for r in keys.groupBy("h", "g").agg({"*": "count", "doc_id": "max"}).toDF("h", "g", "n", "last").collect()}
+    assert {(r["h"], r["g"]): (r["n"], r["last"]) for r in runs.repeated(4).collect()} == {k: v for k, v in want.items() if v[0] >= 4}
+    assert runs._runs().count() == len(want) and len(runs.levels) > (batches >= fanout)
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    found = [simhash.blocks_for(n, 4) for n in (0, 1 << 20, 1 << 25, 1 << 28, 1 << 33, 1 << 36)]
+    assert found == sorted(found) and found[0] == found[2] == 7 < found[3] < found[-1] <= 16
