@@ -12,7 +12,7 @@ DAY_FIRST = (
 )
 NAMED_MONTH = r"^(\d{1,2})[-/ ]([A-Za-z]{3})[A-Za-z]*[-/ ](\d{4}|\d{2})\b"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2}(?:\.\d+)?)(Z|[+-]\d{2}:?\d{2})?$"
-MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 UNITS = {"s": 1e6, "ms": 1e3, "us": 1.0, "ns": 1e-3}  # microseconds
 CENTURY = 69  # two-digit years from here on are of the 1900s
 
@@ -44,6 +44,11 @@ def utc_time(value: Column, unit: str | None = None) -> Column:
     return F.coalesce(time, F.when(text.rlike(r"^-?\d+(\.\d*)?([eE][+-]?\d+)?$"), F.timestamp_micros(micros)))
 
 
+def month_number(name: Column) -> Column:
+    """1 to 12 by the first three letters of a month's name in any case, 0 for other texts."""
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(name))
+
+
 def day_first_time(value: Column, unit: str | None = None) -> Column:
     """As ``utc_time``; all other texts are read day-first, or month-first if there is no such month.
 
@@ -53,7 +58,7 @@ def day_first_time(value: Column, unit: str | None = None) -> Column:
     """
     text = F.trim(value.cast("string"))
     name = F.regexp_extract(text, NAMED_MONTH, 2)
-    month = F.floor((F.instr(F.lit(MONTHS), F.upper(name)) + 2) / 3).cast("string")
+    month = month_number(name).cast("string")
     text = F.when(name == "", text).otherwise(
         F.regexp_replace(text, F.lit(NAMED_MONTH), F.concat(F.lit("$1/"), month, F.lit("/$3")))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.once import with_once
 from ..functions.text import ACCEPTED_USER, CBS_LINE, FAILED_USER, SYSLOG_LINE, extract, first_ipv4
-from ..functions.values import MONTHS, syslog_time, utc_time
+from ..functions.values import month_number, syslog_time, utc_time
 from ..schema import conform
 from ..session import stage
 from .files import text_lines
@@ -24,8 +24,7 @@ def with_years(lines: DataFrame, last_year: int) -> DataFrame:
     ``last_year``. Lines are ordered by file, place of their split in it (``file_at``) and number inside that
     (``row``). Turns are added up inside chunks of lines; one row per chunk carries them on along the file.
     """
-    month = F.instr(F.lit(MONTHS), F.upper(F.regexp_extract("value", SYSLOG_LINE, 1)))
-    known = with_once(lines, _month=F.when(F.col("value").rlike(SYSLOG_LINE) & (month % 3 == 1), F.floor(month / 3) + 1))
+    known = with_once(lines, _month=F.nullif(month_number(F.regexp_extract("value", SYSLOG_LINE, 1)), F.lit(0)))
     rows = stage(known.withColumn("_chunk", F.floor(F.col("row") / CHUNK)), "log-lines")
     chunk = ["file_path", "file_at", "_chunk"]
 
