@@ -150,7 +150,8 @@ def dedup(
     same = F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     lines, gone = F.split(text, "\n"), F.array_distinct("gone")
     left = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(_without(lines, gone))
-    return rows.join(going, same, "left").select(
+    # line numbers are hashed, texts stream by: a merge join would sort whole texts
+    return rows.join(going.hint("shuffle_hash"), same, "left").select(
         *[left.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns],
         F.size(lines).cast("long").alias("_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("_dropped"),

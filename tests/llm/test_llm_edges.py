@@ -129,6 +129,14 @@ def test_lines(documents, nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_op5_sorts_no_texts(documents):
+    """Texts meet their line numbers as a stream; before, a merge join sorted them and an executor ran out of memory."""
+    plan = line_dedup.dedup(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftOuter, BuildRight" in plan and "SortMergeJoin" not in plan.split("ShuffledHashJoin")[0]
+    texts = plan.split("ShuffledHashJoin", 1)[1].split("Exchange", 1)[0]
+    assert "Sort " not in texts
+
+
 def test_line_runs_grow_by_batches(spark):
     """A line goes once enough batches hold it, whatever the levels the runs are on."""
     runs, last = line_dedup.LineRuns(spark, fanout=2), None
