@@ -17,7 +17,7 @@ from ..operators.sampling import capped
 from ..schema import ECS_NAMES, ENTROPY
 from ..session import prepare
 from .features import FEATURES, FEATURES_SQL
-from .views import EVENTS_SQL, day_sql, events, report, table, ts_sql
+from .views import EVENTS_SQL, day_sql, events, report, table, time_text, ts_sql
 
 SCORE = "score_proxy"
 _THRESHOLD_SQL = "threshold AS (SELECT quantile_cont(score_proxy, 0.95) AS threshold FROM v0)"
@@ -90,9 +90,16 @@ ALERT_CONTEXT_5M = f"WITH {EVENTS_SQL}, {_TOP_SQL}, {_context_sql('top', 5)} SEL
 
 
 def alert_context_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For all rows at or above the threshold, as a shuffled join with salted buckets."""
-    context = _context(spark, sf_dir, _top(spark, sf_dir, None), 5, salt=8)
-    return report(context.select("alert_id", "alert_ts", "event_uid", "event_ts", "host_name"))
+    """For all rows at or above the threshold, as a shuffled join with salted buckets.
+
+    The pairs grow with the square of the events of a span of time, so times become text before they are paired.
+    """
+    rows = events(spark, sf_dir).withColumn("event_time", time_text("event_ts"))
+    over = _top(spark, sf_dir, None).withColumn("alert_time", time_text("event_ts"))
+    context = alert_context(rows, over, 5, alert_id="event_uid", salt=8, carry=["alert_time"])
+    return report(
+        context.select("alert_id", F.col("alert_time").alias("alert_ts"), "event_uid", F.col("event_time").alias("event_ts"), "host_name")
+    )
 
 
 ALERT_CONTEXT_BUCKETED = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import prepare
 
@@ -60,13 +60,17 @@ def day_sql(column: str = "dt") -> str:
     return f"CAST({column} AS VARCHAR)"
 
 
+def time_text(time: Column | str) -> Column:
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def report(df: DataFrame) -> DataFrame:
     """Plain output types: times and days as text, whole numbers as bigint, doubles to 6 places."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            column = time_text(column)
         elif isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.DoubleType):

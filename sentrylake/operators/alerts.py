@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .quantiles import threshold
@@ -44,9 +46,13 @@ def alert_context(
     ts: str = "event_ts",
     salt: int = 1,
     uid: str = "event_uid",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """All events within ``minutes`` of an alert (both ends included), with ``alert_id`` and ``alert_ts``.
 
+    ``carry`` names further columns of the alerts: what depends on the alert alone is worked out once per
+    alert and not per pair, of which there are far more.
+
     An interval join as an equi-join: time is cut into buckets of the interval's length, each
     alert is repeated for the three buckets it can reach, and the exact bounds are tested after
     the join on day and bucket. With ``salt`` 1 no hint is given: alerts that come out of a ``limit`` have a
@@ -62,6 +68,7 @@ def alert_context(
         F.col(alert_id).alias("alert_id"),
         F.col(ts).alias("alert_ts"),
         t0.alias("_t0"),
+        *carry,
         F.explode(F.sequence(first, first + F.lit(2 * width), F.lit(width))).alias("_bucket"),
     )
     near = events.withColumn("_t", t0).withColumn("_bucket", F.col("_t") - F.pmod(F.col("_t"), F.lit(width)))
@@ -75,7 +82,7 @@ def alert_context(
         reach = reach.hint("merge")  # both sides grow with the data
         on.append("_salt")
     joined = near.join(reach, on).filter(F.abs(F.col("_t") - F.col("_t0")) <= width)
-    return joined.select("alert_id", "alert_ts", *[F.col(c) for c in events.columns])
+    return joined.select("alert_id", "alert_ts", *carry, *[F.col(c) for c in events.columns])
 
 
 def first_rows(context: DataFrame, k: int = 200, ts: str = "event_ts", uid: str = "event_uid") -> DataFrame:

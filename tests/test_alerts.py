@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sentrylake.catalog.alerts import alert_context_bucketed
 from sentrylake.operators.alerts import (
     alert_context, alert_table, first_rows, host_list, last_rows, overview, rows_of_host, select_alerts, timeline,
 )
@@ -75,6 +76,23 @@ def test_many_alerts_are_a_salted_shuffled_join(spark, events):
     assert "Broadcast" not in plan and "CartesianProduct" not in plan
 
 
+def test_times_become_text_before_they_are_paired(spark, events, tmp_path):
+    noted = events.withColumn("note", F.concat(F.lit("n"), "event_uid"))
+    carried = alert_context(events, select_alerts(noted, "score", 5), 5, "event_uid", carry=["note"]).collect()
+    assert carried and all(r["note"] == f"n{r['alert_id']}" for r in carried)
+    rows = events.select(
+        F.col("event_uid").cast("bigint").alias("event_id"), F.to_timestamp_ntz(F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"),
+        F.lit(7).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.col("score").alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found = alert_context_bucketed(spark, str(tmp_path))
+    assert "date_format" not in plan_of(found).split("SortMergeJoin", 1)[0]
+    over = select_alerts(events, "score", None)
+    got = {(r["alert_id"], r["event_uid"], r["alert_ts"], r["event_ts"]) for r in found.collect()}
+    shown = {r["event_uid"]: r["event_ts"].strftime("%Y-%m-%d %H:%M:%S.%f") for r in events.collect()}
+    assert got == {(a, e, shown[a], shown[e]) for a, e in brute(events, over, 5)}
+
+
 def test_rows_of_a_host_are_filtered_in_the_scan(spark, events, tmp_path):
     events.write.parquet(str(tmp_path / "scores"))
     stored = spark.read.parquet(str(tmp_path / "scores"))
