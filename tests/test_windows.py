@@ -155,3 +155,18 @@ def test_session_shuffles_are_shared(spark):
         assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_that_are_small_only_as_files_are_not_broadcast(spark, tmp_path):
+    """Files of a few MB hold events that are hundreds of MB as rows of counts."""
+    i = F.col("id")
+    made = spark.range(200_000).select(
+        i.alias("event_uid"), F.timestamp_seconds(1735689600 + i % 80_000).alias("event_ts"), F.concat(F.lit("u"), i % 40).alias("user_name"),
+        *[F.lit(1).alias(f) for f in FLAGS],
+    )
+    made.withColumn("dt", F.to_date("event_ts")).write.parquet(str(tmp_path / "events"))
+    assert sum(f.stat().st_size for f in (tmp_path / "events").iterdir()) < 5_000_000
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    counted = rolling_counts(sessionize(stored, ["user_name"]), ["user_name"], FLAGS, [5, 60], source=stored)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
