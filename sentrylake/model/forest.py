@@ -117,11 +117,20 @@ def grow_tree(points: np.ndarray, tree_id: int, seed: int, depth_limit: int) ->
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
+def _drawn(uid: Column, seed: int) -> Column:
+    return F.xxhash64(uid, F.lit(seed), F.lit("offers")) / F.lit(2.0**64) + 0.5
+
+
+def offered_rows(df: DataFrame, uid: str, trees: int, share: float, seed: int) -> DataFrame:
+    """The rows for which ``offers`` is not null, by one hash of the id and nothing else."""
+    return df.filter(_drawn(F.col(uid), seed) >= F.lit((1 - share) ** trees))
+
+
 def offers(uid: Column, trees: int, share: float, seed: int) -> Column:
     """The trees that a row is offered to, each with probability ``share``; for most rows of a large table none.
 
     How many they are is binomial, so it is drawn by the inverse of that distribution from one hash of the id; which
-    ones, from a second hash as a start and a step prime to their number. A row that no tree draws costs two hashes.
+    ones, from a second hash as a start and a step prime to their number. ``offered_rows`` are those that some tree draws.
     """
     chance, passed, limits = (1 - share) ** trees, 0.0, []
     for k in range(trees):
@@ -130,7 +139,7 @@ def offers(uid: Column, trees: int, share: float, seed: int) -> Column:
         if 1 - passed < 1e-18:
             break
         chance *= (trees - k) / (k + 1) * share / (1 - share)
-    drawn = F.xxhash64(uid, F.lit(seed), F.lit("offers")) / F.lit(2.0**64) + 0.5
+    drawn = _drawn(uid, seed)
     n = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda limit: limit <= drawn))
     steps = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
     which = F.xxhash64(uid, F.lit(seed), F.lit("trees"))
@@ -149,8 +158,11 @@ def tree_samples(df: DataFrame, uid: str, trees: int, samples: int, n: int, seed
     """
     share = (samples + 6 * math.sqrt(samples) + 16) / max(n, 1)
     while True:
-        every = F.sequence(F.lit(0), F.lit(trees - 1))
-        offered = df.withColumn("tree_id", F.explode(every if share >= 1.0 else offers(F.col(uid), trees, share, seed)))
+        if share >= 1.0:
+            offered = df.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        else:
+            some = offered_rows(df, uid, trees, share, seed)
+            offered = some.withColumn("tree_id", F.explode(offers(F.col(uid), trees, share, seed)))
         offered = stage(offered.withColumn("_h", F.xxhash64(F.col(uid), F.col("tree_id"), F.lit(seed))), "tree-samples")
         full = offered.groupBy("tree_id").count().filter(F.col("count") >= min(samples, n)).count()
         if full == trees or share >= 1.0:

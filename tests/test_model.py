@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.model.forest import (
     Forest, ForestConfig, Stacked, coerce_features, fit_forest, grow_tree, isolation, mean_depth, mean_paths, numeric_features,
-    offers, score, tree_arrays, tree_samples,
+    offered_rows, offers, score, tree_arrays, tree_samples,
 )
 from sentrylake.model.shap import contributions, explain_by_shap, leaf_paths
 
@@ -27,6 +27,16 @@ def forest(points):
     return fit_forest(points, NAMES, CONFIG)
 
 
+def test_rows_that_no_tree_draws_are_left_out_first(spark):
+    """Every row of a large table went through the whole draw, though a tree wants about one in a hundred."""
+    for trees, share in ((30, 0.05), (150, 6e-5), (1, 0.5), (150, 0.9)):
+        df = spark.range(30_000).withColumn("trees", offers(F.col("id"), trees, share, 7))
+        some = offered_rows(spark.range(30_000), "id", trees, share, 7)
+        assert {r["id"] for r in some.collect()} == {r["id"] for r in df.filter("trees IS NOT NULL").select("id").collect()}
+    drawn = offered_rows(spark.range(100_000).withColumnRenamed("id", "event_uid"), "event_uid", 150, 6e-5, 42)
+    assert 0 < drawn.count() < 2_000
+
+
 def test_mean_depth():
     assert mean_depth(np.array([0, 1, 2])).tolist() == [0, 0, 1]
     assert float(mean_depth(256)) == pytest.approx(2 * (math.log(255) + np.euler_gamma) - 2 * 255 / 256)
