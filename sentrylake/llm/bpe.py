@@ -216,11 +216,12 @@ class Ragged:
         return self.values[np.repeat(self.starts[chosen], sizes) + inside]
 
 
-def frequent_words(documents: DataFrame, size: int) -> list[str]:
-    """The most frequent runs of letters of the whole corpus, in lower case: ``size`` or somewhat fewer.
+def frequent_words(documents: DataFrame, size: int) -> pa.Array:
+    """The most frequent runs of letters of the whole corpus, in lower case, as sorted UTF-8: ``size`` or fewer.
 
     The least count is chosen from a histogram of the counts (to 7 bits), so that no more than ``size`` words
-    reach the driver, whatever the number of partitions.
+    reach the driver, whatever the number of partitions. They come as Arrow batches: rows would take many times
+    their size, in the JVM and in Python.
     """
     words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-counts")
@@ -231,14 +232,17 @@ def frequent_words(documents: DataFrame, size: int) -> list[str]:
         if total > size:
             break
         least = row["n"]
-    return [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
+    if not least:
+        return pa.array([], pa.binary())
+    listed = counts.where(F.col("n") >= least).select(F.col("word").cast("binary")).toArrow()["word"].combine_chunks()
+    return listed.take(pc.array_sort_indices(listed))
 
 
 def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, size: int = 1 << 18) -> bytes:
-    """The compiled lexicon of the corpus's frequent words."""
+    """The compiled lexicon of the corpus's frequent words, which are spelled out and merged one at a time."""
     exact = Encoder(vocabulary)
-    listed = sorted({w.encode("utf-8"): exact.merge(w) for w in frequent_words(documents, size)}.items())
-    return compile_lexicon([word for word, _ in listed], [ids for _, ids in listed])
+    listed = frequent_words(documents, size)
+    return compile_lexicon((word.as_py() for word in listed), (exact.merge(word.as_py().decode()) for word in listed))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}  # of this process; the last one used

@@ -12,56 +12,64 @@ from __future__ import annotations
 import hashlib
 import mmap
 import tempfile
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
 _open: dict[str, "Lexicon"] = {}
 
 
-def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
-    """The block for different, sorted, non-empty words and their ids."""
-    register: dict[tuple, int] = {}
-    states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
+def compile_lexicon(words: Iterable[bytes], ids: Iterable[Sequence[int]]) -> bytes:
+    """The block for different, sorted, non-empty words and their ids.
 
-    def frozen(final: bool, arcs: list[tuple[int, int]]) -> int:
-        """The number of the state with these arcs, the same for equal states."""
-        state = (final, tuple(arcs))
-        if state not in register:
-            register[state] = len(states)
-            states.append(state)
-        return register[state]
+    Both are read once, in step, and may be generators; a state is kept as flat numbers only.
+    """
+    register: dict[bytes, int] = {}
+    final, accepted = array("i"), array("i")  # accepted: words from each state on
+    keys, targets, skips = array("i"), array("i"), array("i")
+    offsets, listed = array("i", [0]), array("i")
+
+    def frozen(ends: bool, arcs: list[int]) -> int:
+        """The number of the state with these arcs (byte, target, byte, target, ...), the same for equal states."""
+        state = array("i", [ends, *arcs]).tobytes()
+        number = register.setdefault(state, len(final))
+        if number == len(final):
+            total = int(ends)
+            for byte, target in zip(arcs[::2], arcs[1::2]):
+                keys.append(number << 8 | byte)
+                targets.append(target)
+                skips.append(total)
+                total += accepted[target]  # targets have smaller numbers
+            final.append(ends)
+            accepted.append(total)
+        return number
 
     # the path of the last word, as states still open: [final, arcs, byte that leads to the next]
     path: list[list] = [[False, [], 0]]
     before = b""
-    for word in [*words, b""]:
+
+    def close(depth: int) -> None:
+        while len(path) > depth:
+            ends, arcs, _ = path.pop()
+            path[-1][1] += path[-1][2], frozen(ends, arcs)
+
+    for word, own in zip(words, ids, strict=True):
         common = 0
         while common < min(len(word), len(before)) and word[common] == before[common]:
             common += 1
-        while len(path) > common + 1:
-            final, arcs, _ = path.pop()
-            path[-1][1].append((path[-1][2], frozen(final, arcs)))
+        close(common + 1)
         for byte in word[common:]:
             path[-1][2] = byte
             path.append([False, [], 0])
-        path[-1][0] = path[-1][0] or bool(word)
+        path[-1][0] = True
         before = word
+        listed.extend(own)
+        offsets.append(len(listed))
+    close(1)
     root = frozen(False, path[0][1])
-    accepted = [0] * len(states)  # words from each state on; targets have smaller numbers
-    keys, targets, skips = [], [], []
-    for number, (final, arcs) in enumerate(states):
-        total = int(final)
-        for byte, target in arcs:
-            keys.append(number << 8 | byte)
-            targets.append(target)
-            skips.append(total)
-            total += accepted[target]
-        accepted[number] = total
-    offsets = np.cumsum([0, *map(len, ids)])
-    parts = [keys, targets, skips, [int(final) for final, _ in states], offsets, [i for own in ids for i in own]]
-    head = [root, *map(len, parts)]
-    return b"".join(np.asarray(p, np.int32).tobytes() for p in [head, *parts])
+    parts = [keys, targets, skips, final, offsets, listed]
+    return b"".join([array("i", [root, *map(len, parts)]).tobytes(), *(part.tobytes() for part in parts)])
 
 
 class Lexicon:

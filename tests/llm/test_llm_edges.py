@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrylake.llm import (
     bpe, chat, html_diff, iblt, line_dedup, mixing, quality_model, quality_rules, secret_scan, simhash,
 )
+from sentrylake.llm.lexicon import Lexicon
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
 LINE = "This line is certainly longer than forty code points, it is."
@@ -117,6 +119,22 @@ def test_bpe(documents, nothing, vocabulary):
     assert empty.count() == 0
 
 
+def test_the_driver_needs_little_for_the_lexicon(spark, vocabulary):
+    """Words and ids pass one at a time; as rows, lists and nested states they took 489 bytes a word."""
+    words = 20_000
+    documents = spark.range(2 * words).selectExpr(f"translate(cast(100000 + id % {words} AS string), '0123456789', 'abcdefghij') AS text")
+    bpe.build_lexicon(documents.limit(1), vocabulary)  # modules are loaded
+    tracemalloc.start()
+    try:
+        lexicon = bpe.build_lexicon(documents, vocabulary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    listed = Lexicon(lexicon)
+    assert len(listed.offsets) == words + 1 and listed.ranks([b"baaaaa", b"bbjjjj", b"baaaa"]).tolist() == [0, words - 1, -1]
+    assert peak < 200 * words
+
+
 def test_lines(documents, nothing):
     rows = line_dedup.dedup(documents, batches=3, fanout=2).collect()
     left = {}
